@@ -7,15 +7,35 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .quality import remainder, score, train
+from .secret_scan import scan_secrets
 from .token_counts import token_counts
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counted = token_counts(docs.withColumn("n_bytes", F.octet_length("text").cast("long")).select("doc_id", "n_bytes", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), folds=3, held_out_fold=1)
+    scored = score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs, min_docs=10, min_chars=1)
@@ -23,7 +43,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mix": op2_source_mix,
     "op4_token_counts": op4_token_counts,
+    "op5_quality": op5_quality,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
 }
 
