@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import contamination
+from .lattice import score_documents
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .quality import remainder, score, train
@@ -14,6 +15,10 @@ from .secret_scan import scan_secrets
 from .token_counts import token_counts
 
 
+def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), folds=7, held_out_fold=2)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,6 +54,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_score": op1_lattice_score,
     "op2_source_mix": op2_source_mix,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
