@@ -10,6 +10,7 @@ from .decontamination import contamination
 from .lattice import score_documents
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .near_dedup import near_duplicate_classes
 from .quality import remainder, score, train
 from .secret_scan import scan_secrets
 from .token_counts import token_counts
@@ -53,6 +54,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_source_mix": op2_source_mix,
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {
