@@ -13,6 +13,7 @@ from .mixing import mix
 from .near_dedup import near_duplicate_classes
 from .quality import remainder, score, train
 from .secret_scan import scan_secrets
+from .surrogates import replace_pii
 from .token_counts import token_counts
 
 
@@ -43,6 +44,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, key="corpus-key-1")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op10_near_dedup": op10_near_dedup,
