@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, lower_ascii, texts, written
+from .common import LOWER, blocks, content_key, fresh, lower_ascii, texts, written
 
 #: A word of the contract, as a Java regular expression over lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -216,3 +216,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n_hit = covered("hits")
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without its contaminated rows, with all their columns."""
+    t1, t2 = content_key(F.col(text_col))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), t1.alias("t1"), t2.alias("t2")).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(keyed, items, "key", "text", **options)
+    bad = written(found.where("contaminated").select("doc_id.*").distinct(), "contaminated")
+    h1, h2 = fresh(docs, "h1", "h2")
+    left = docs.withColumns({h1: t1, h2: t2})
+    bad = bad.toDF(*fresh(left, "bad_id", "bad_1", "bad_2"))
+    i, b1, b2 = bad.columns
+    return left.join(bad, left[id_col].eqNullSafe(bad[i]) & (left[h1] == bad[b1]) & (left[h2] == bad[b2]), "left_anti").select(*docs.columns)

@@ -165,3 +165,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(model.scores(x), pa.float64())], names=names)
 
     return docs.withColumn(text, F.col(text_col)).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score `least` or more, with all their columns."""
+    scored = score(docs, model, text_col)
+    return scored.where(F.col(scored.columns[-1]) >= least).select(*docs.columns)

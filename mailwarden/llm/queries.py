@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import recording_classes
 from .common import table
 from .decontamination import contamination
 from .lattice import score_documents
@@ -60,6 +61,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables have no sound, so each document's bytes are read as a recording: 8-bit PCM samples."""
+    recordings = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
+    found = recording_classes(recordings)
+    return found.select("doc_id", "class_id", "class_size", "n_codes", F.sha2("codes", 256).alias("codes_sha256"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -73,6 +81,7 @@ QUERIES = {
     "op6_pii_surrogates": op6_pii_surrogates,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_near_dedup": op10_near_dedup,
 }
 
