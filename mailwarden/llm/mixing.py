@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return own.select("source", F.col("source_no").cast("int").alias("source_no"), F.col("source_size").cast("long").alias("source_size"), target.alias("target"), "n_docs")
 
 
-def offsets(rows: DataFrame, per_chunk: int = 20_000) -> DataFrame:
+def offsets(rows: DataFrame, per_chunk: int = 2_000) -> DataFrame:
     """rows with `start`, the words before each in its source, in order of a hash of the document.
 
     Running sums go in two levels, so that a large source isn't summed in one task: within chunks of about per_chunk
