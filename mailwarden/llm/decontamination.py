@@ -29,7 +29,7 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(SPLIT).split()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, segment_bytes: int = 6 << 20) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, segment_bytes: int = 4 << 20) -> DataFrame:
     """Store the postings of docs: (segment, term, n, positions, ids, sizes), written to the shared folder.
 
     positions are differences of int32 word positions in the segment, where one position stays free after each
