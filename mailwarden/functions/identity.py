@@ -26,7 +26,8 @@ def longest_common_subsequence(a: Column, b: Column) -> Column:
     def lengths(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([lcs_length(p, q) if p and q else 0 for p, q in zip(x, y, strict=True)], dtype="int32")
 
-    return lengths(a, b)
+    # Not to be computed again where its value is used, nor inside other functions.
+    return lengths.asNondeterministic()(a, b)
 
 
 def name_tokens(name: Column) -> Column:
