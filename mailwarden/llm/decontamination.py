@@ -64,14 +64,14 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = np.flatnonzero(term >= 0).astype(np.int32)
             order = at[np.argsort(term[at], kind="stable")]
             here, begin = np.unique(term[order], return_index=True)
-            end = [*begin[1:], len(order)]
+            edges = [*begin, len(order)]  # one more than there are terms
             names = list(ids)
-            lists = [np.diff(order[a:b], prepend=np.int32(0)).tobytes() for a, b in zip(begin, end, strict=True)]
+            lists = [np.diff(order[a:b], prepend=np.int32(0)).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
             k = len(here) + 1
             yield pa.RecordBatch.from_arrays([
                 pa.array([number] * k, pa.int64()),
                 pa.array(["", *(names[i].decode() for i in here)], pa.string()),
-                pa.array([batch.num_rows, *(int(b - a) for a, b in zip(begin, end, strict=True))], pa.int64()),
+                pa.array([batch.num_rows, *(int(b - a) for a, b in zip(edges, edges[1:], strict=False))], pa.int64()),
                 pa.array([b"", *lists], pa.binary()),
                 pa.array([batch.column("id").to_pylist(), *[None] * (k - 1)], ids_type),
                 pa.array([np.array(sizes, dtype=np.int64).tobytes(), *[None] * (k - 1)], pa.binary()),
