@@ -119,7 +119,8 @@ def forest_score(df: DataFrame, model: dict, calibrate: int = 1, out: str = "sco
             yield pd.Series(total / len(trees))
 
     have = {c.lower() for c in df.columns}
-    inputs = [F.col(n).cast("double") if n.lower() in have else F.lit(None).cast("double") for n in names] or [F.lit(0.0)]
+    inputs = [F.col(n).cast("double") if n.lower() in have else F.lit(None).cast("double") for n in names]
+    inputs += [F.lit(0.0)] * max(0, 2 - len(inputs))  # a single column wouldn't come as a tuple
     score = walk.asNondeterministic()(*inputs)  # computed once, before what uses it
     scored = df.withColumn(out, score)
     for _ in range(calibrate if cal else 0):
