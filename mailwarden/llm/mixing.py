@@ -105,9 +105,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     begin = F.greatest(F.col("start"), F.col("index") * block)
     parts = parts.select("source_no", "index", "doc", "start", (begin - F.col("start")).alias("first"), (F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block) - begin).alias("words"))
     slots = draw(targets, block, shard_words, seed)
-    mixed = slots.join(parts, ["source_no", "index"])
+    # Spark takes slots for as small as the targets they are unrolled from, and would broadcast them; hence the hints.
+    mixed = slots.join(parts.hint("merge"), ["source_no", "index"])
     uses = slots.groupBy("source_no", "index").agg(F.count("*").alias("uses"))
-    taken = parts.join(uses, ["source_no", "index"]).groupBy("source_no", "start", "doc").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = parts.hint("merge").join(uses, ["source_no", "index"]).groupBy("source_no", "start", "doc").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     taken = taken.toDF("s", "at", "d", "taken")
     # A start belongs to one row with words in each source; rows without words take nothing.
     found = placed.join(taken, (placed["size"] > 0) & (placed["source_no"] == taken["s"]) & (placed["start"] == taken["at"]), "left")
