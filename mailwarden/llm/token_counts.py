@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from .common import fresh
 
-#: A cut is safe where white space follows another character: no token of a byte-level BPE with the usual
-#: pre-tokenizer spans such a place, and special strings hold no white space.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+# White space as the tokenizers' patterns have it: Python's, without four control characters.
+SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+#: Pieces between safe cuts. A cut is safe where white space follows another character: no token of a byte-level BPE
+#: with the usual pre-tokenizer spans such a place, and special strings hold no white space.
+PIECES = re.compile(rf"{SPACE}*{OTHER}+|{SPACE}+")
 
 
 def vocabulary_path(name: str) -> str:
@@ -24,27 +26,16 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(text: str, most: int) -> list[str]:
-    """Cut a text at safe places into pieces of about `most` characters; a stretch without such a place stays whole."""
-    if len(text) <= most:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > most:
-        m = SAFE.search(text, at + most)
-        if not m:
-            break
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
-
-
-def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 1 << 18, piece_chars: int = 1 << 16, out_col: str = "n_tokens") -> DataFrame:
+def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", batch_bytes: int = 1 << 18, kept_pieces: int = 300_000, out_col: str = "n_tokens") -> DataFrame:
     """docs with a column of token counts, as the library gives them for whole texts.
 
     No begin or end tokens are added; special strings inside texts are treated as the library does by default. Null
-    texts count as empty: 0 tokens. `out_col` gets underscores before it where docs has such a column. The library
-    works on batches of about batch_bytes, whatever the number of rows; texts over piece_chars are cut at safe
-    boundaries and their counts added. Only .json vocabularies cut long texts; .model ones encode them whole.
+    texts count as empty: 0 tokens. `out_col` gets underscores before it where docs has such a column.
+
+    Texts are cut at all safe places, so their counts add up. The library gets the pieces whose counts a task doesn't
+    know yet, in batches balanced by bytes, whatever the number and length of rows; a task keeps the counts of about
+    kept_pieces pieces, then begins anew. A stretch without white space stays whole. Texts for .model vocabularies,
+    which treat white space in another way, are encoded whole.
     """
     (out_col,) = fresh(docs, out_col)
     (text,) = fresh(docs, "text_to_count")
@@ -61,35 +52,47 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
             tok.no_padding()
             encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
             lengths = lambda xs: [len(e) for e in encode(xs, add_special_tokens=False)]
-            cut = piece_chars
+            cut = PIECES.findall
         else:
             import sentencepiece
 
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             lengths = lambda xs: [len(e) for e in sp.encode(xs, num_threads=1)]
-            cut = 1 << 62
+            cut = lambda t: [t]
+        known: dict[str, int] = {}
+
+        def learn(new: set[str]) -> None:
+            part: list[str] = []
+            size = 0
+            for x in new:
+                part.append(x)
+                size += len(x)
+                if size >= batch_bytes:
+                    known.update(zip(part, lengths(part), strict=True))
+                    part, size = [], 0
+            if part:
+                known.update(zip(part, lengths(part), strict=True))
+
         for batch in batches:
-            totals = [0] * batch.num_rows
-            some: list[str] = []
-            whose: list[int] = []
+            totals: list[int] = []
+            waiting: list[list[str]] = []
             size = 0
 
-            def flush() -> None:
-                for i, n in zip(whose, lengths(some), strict=True):
-                    totals[i] += n
-                some.clear()
-                whose.clear()
-
-            for i, value in enumerate(batch.column(text)):
-                for piece in pieces(value.as_py() or "", cut):
-                    some.append(piece)
-                    whose.append(i)
-                    size += len(piece)
-                    if size >= batch_bytes:
-                        flush()
-                        size = 0
-            if some:
-                flush()
+            def settle() -> None:
+                learn({p for ps in waiting for p in ps if p not in known})
+                totals.extend(sum(map(known.__getitem__, ps)) for ps in waiting)
+                waiting.clear()
+                if len(known) > kept_pieces:
+                    known.clear()
+
+            for value in batch.column(text):
+                t = value.as_py() or ""
+                waiting.append(cut(t))
+                size += len(t)
+                if size >= batch_bytes:
+                    settle()
+                    size = 0
+            settle()
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != text]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(totals, pa.int64())], names=names)
 
