@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from ..functions import tables
 from ..functions.grams import BIGRAMS, ENGLISH_BIGRAMS, ENGLISH_TRIGRAMS, TRIGRAMS
+from ..operators.features import FEATURES
 from ..sources.fixtures import WITH_SIGNUPS, WITH_VALIDATIONS
 from .signup_queries import DIRTY, ODD, YEAR
 
+RULES = (
+    ("risk_score", ((0.9, 0.98, "heuristic_tld_extreme"), (0.8, 0.66, "heuristic_tld_high"))), ("id % 100 / 100", ((0.95, 0.96, "heuristic_domain_reputation_critical"), (0.85, 0.64, "heuristic_domain_reputation_watch"))),
+    ("id % 50 / 50", ((0.98, 0.93, "heuristic_sequence_numeric_extreme"), (0.9, 0.61, "heuristic_sequence_numeric_high"))), ("id % 33 / 33", ((0.9, 0.93, "heuristic_digit_ratio_extreme"), (0.8, 0.61, "heuristic_digit_ratio_high"))),
+    ("id % 10 / 10", ((0.8, 0.91, "heuristic_plus_tag_abuse"),)))
+
 BASE = f"{WITH_SIGNUPS}, s AS (SELECT *, lower(trim(email)) AS e, split_part(lower(trim(email)), '@', 1) AS l, split_part(lower(trim(email)), '@', 2) AS d FROM signups)"
 
 
@@ -168,7 +174,52 @@ FMT = "^[\\p{L}\\p{N}!#$%&''*+/=?^_`{|}~.-]+@[\\p{L}\\p{N}]([\\p{L}\\p{N}-]{0,61
 ODDS = f"{WITH_SIGNUPS}, s0 AS (SELECT id, lower(trim({ODD})) AS e FROM signups), s AS (SELECT *, split_part(e, '@', 1) AS l, split_part(e, '@', 2) AS d FROM s0), ok AS (SELECT *, regexp_matches(e, '{FMT}') AND len(l) BETWEEN 1 AND 64 AND len(d) <= 255 AND contains(d, '.') AND len(string_split(d, '.')[-1]) >= 2 AS ok FROM s)"
 BENFORD = (0.301, 0.176, 0.125, 0.097, 0.079, 0.067, 0.058, 0.051, 0.046)
 
+# F8: the score and reasons after each rule
+LIFTS = ", x0 AS (SELECT id, risk_score, id % 77 / 77 AS x, '' AS r FROM s)" + "".join(
+    f", y{k} AS (SELECT *, CASE {' '.join(f'WHEN {v} >= {t} THEN {g}' for t, g, _ in rules)} END AS g, CASE {' '.join(f'WHEN {v} >= {t} THEN {chr(39)}{name}{chr(39)}' for t, _, name in rules)} END AS n FROM x{k}), "
+    f"x{k + 1} AS (SELECT id, risk_score, CASE WHEN g > x THEN g ELSE x END AS x, CASE WHEN g > x THEN CASE WHEN r = '' THEN n ELSE r || ',' || n END ELSE r END AS r FROM y{k})" for k, (v, rules) in enumerate(RULES))
+
+# Dated and numbered forms of the address as its provider reads it, structure and randomness of the one without its tag
+BASE9 = f"{WITH_SIGNUPS}, s8 AS (SELECT *, lower(trim(email)) AS e, split_part(lower(trim(email)), '@', 1) AS l, split_part(lower(trim(email)), '@', 2) AS d FROM signups), s AS (SELECT id, d, {DOTLESS} AS l FROM s8), s9 AS (SELECT id, d, split_part(l, '+', 1) AS l, contains(l, '+') AS plus, coalesce(regexp_matches({TAG}, '{SUSPICIOUS}'), false) AS odd FROM s8)"
+FAMILY = f"""{SEQ} {DATED} {NGRAM.replace('FROM s)', 'FROM s9)')},
+fam AS (SELECT g.id, g.l, g.d, g.plus, q.c >= 0.4 AS has_sequential, dd.has AS has_dated,
+  CASE WHEN dd.has AND dd.c0 >= 0.6 THEN 'dated' WHEN q.c >= 0.5 THEN 'sequential' WHEN g.plus THEN 'plus-addressing' WHEN {RANDOM.replace('l,', 'g.l,').replace('(l)', '(g.l)')} THEN 'random' WHEN regexp_matches(g.l, '[._-]') THEN 'formatted' ELSE 'simple' END AS type,
+  dd.c0, q.c, g.odd, {_structure('g.l')} AS structure, {_structure('dd.base0')} AS sd, {_structure('q.b')} AS sq, CASE dd.k WHEN 'short-year' THEN 'YY' WHEN 'month-year' THEN 'MONTH-YEAR' WHEN 'full-date' THEN 'DATE' ELSE 'YEAR' END AS token
+  FROM g JOIN seq q USING (id) JOIN dat dd USING (id)),
+p9 AS (SELECT *, CASE type WHEN 'dated' THEN sd || '.' || token WHEN 'sequential' THEN sq || '.NUM' WHEN 'plus-addressing' THEN structure || '+TAG' WHEN 'random' THEN 'RANDOM' ELSE structure END || '@' || d AS family,
+  CASE type WHEN 'dated' THEN c0 WHEN 'sequential' THEN c WHEN 'plus-addressing' THEN CASE WHEN odd THEN 0.7 ELSE 0.5 END WHEN 'random' THEN 0.6 WHEN 'formatted' THEN 0.4 ELSE 0.3 END AS confidence FROM fam)"""
+DOMAIN_TYPE = "CASE WHEN d IN ('gmail.com', 'yahoo.com', 'outlook.com', 'hotmail.com', 'icloud.com', 'aol.com', 'protonmail.com', 'mail.com') THEN 'free' WHEN regexp_matches(d, 'temp|trash|disposable|throwaway|fake|guerrilla|mailinator|minute') THEN 'disposable' WHEN NOT contains(d, 'mail') AND len(string_split(d, '.')) = 2 THEN 'business' ELSE 'unknown' END"
+PREFIX = f"{WITH_SIGNUPS}, s0 AS (SELECT id, split_part(lower(trim(email)), '@', 1) AS l0 FROM signups), s AS (SELECT *, regexp_replace(regexp_replace(l0, '[0-9._-]+$', ''), '[^a-zA-Z]', '', 'g') AS l FROM s0)"
+ACCENT = f"{WITH_SIGNUPS}, s AS (SELECT id, 'é' || split_part(lower(trim(email)), '@', 1) AS l FROM signups)"
+
+# B6 by hour
+TAIL = "0.3989422804014327 * exp(-0.5 * z * z) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))"
+DIGITS = f"""
+, dg AS (SELECT hour(timestamp) AS hour, CAST(substr(unnest(regexp_extract_all(l, '[0-9]+')), 1, 1) AS INT) AS digit FROM s),
+bn AS (SELECT hour, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE digit = {i}) AS d{i}' for i in range(1, 10))} FROM dg WHERE digit > 0 GROUP BY 1),
+bx AS (SELECT *, {' + '.join(f'(d{i} - {p} * n) ** 2 / ({p} * n)' for i, p in enumerate(BENFORD, 1))} AS x, ({' + '.join(f'abs(d{i} / n - {p})' for i, p in enumerate(BENFORD, 1))}) / 9 AS dev FROM bn),
+bz AS (SELECT *, ((x / 8) ** (1.0 / 3) - (1 - 2 / 72)) / sqrt(2 / 72) AS z FROM bx), bt AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t, greatest(CASE WHEN x >= 15.507 THEN least(x / 30, 1) ELSE 0 END, least(1, dev * 2)) AS risk FROM bz)"""
+
+MXR = """
+, r0 AS (SELECT id, (id % 97) || '.' || d AS domain, CASE WHEN id % 11 = 0 THEN 'bad' ELSE (id % 50) || ' ' || CASE id % 5 WHEN 0 THEN 'alt1.l.google.com.' WHEN 1 THEN 'x.mail.protection.outlook.com.' WHEN 2 THEN 'mx.zoho.com.' WHEN 3 THEN 'mail.other.net.' ELSE 'mx.' || d || '.' END END AS data, d FROM s),
+r1 AS (SELECT id, domain, CASE WHEN data <> 'bad' THEN CASE id % 5 WHEN 0 THEN 'google' WHEN 1 THEN 'microsoft' WHEN 2 THEN 'other' WHEN 3 THEN 'other' ELSE CASE WHEN d = 'outlook.com' THEN 'microsoft' ELSE 'other' END END END AS provider FROM r0),
+r2 AS (SELECT domain, provider, count(*) AS hits, max(id) AS reached FROM r1 WHERE provider IS NOT NULL GROUP BY ALL), r3 AS (SELECT DISTINCT domain FROM r1)"""
+ALL_PROFILES = "(VALUES " + ", ".join("('{0}', '{1}', CAST({2} AS DOUBLE), CAST({3} AS DOUBLE), CAST({4} AS DOUBLE), '{5}', '{6}')".format(*(w.replace("'", "''") for w in line.split(" ", 6))) for line in tables.TLD_PROFILES.strip().splitlines()) + ") AS p(tld, category, disposable_ratio, spam_ratio, m, registration_cost, description)"
+F1 = {"entropy_score": "latency", "local_length": "len(email) * 5", "digit_ratio": "risk_score - 0.5", "name_in_email": "CASE WHEN label = 1 THEN 1 ELSE 0 END"}
+
 ORACLE_SQL = {
+    "p9_pattern_family": _q(f"{FAMILY} SELECT id, family, substr(sha256(family), 1, 16) AS family_hash, type, round(confidence, 6)::DOUBLE AS confidence, l || '@' || d AS normalized, has_sequential, has_dated, plus AS has_plus, structure, {DOMAIN_TYPE} AS domain_type FROM p9", BASE9),
+    "b5_pattern_families": _q(f"{FAMILY}, c1 AS (SELECT family, type, count(*) AS n FROM p9 GROUP BY ALL), c2 AS (SELECT family, sum(n) AS \"count\", arg_max(type, (n, type)) AS type FROM c1 GROUP BY 1) SELECT family, CAST(\"count\" AS BIGINT) AS \"count\", type, row_number() OVER (ORDER BY \"count\" DESC, family) = 1 AS is_top, \"count\" >= 5 OR (\"count\" >= 3 AND type IN ('sequential', 'dated')) AS suspicious FROM c2", BASE9),
+    "b2_plus_tag_pattern": _q(f", tg AS (SELECT {CANONICAL} AS canonical, {TAG} AS tag, TRY_CAST(CASE WHEN regexp_full_match({TAG}, '[0-9]+') THEN {TAG} END AS BIGINT) AS x FROM s), ag AS (SELECT canonical, count(*) AS n_tags, count(x) AS k, list_sort(list(DISTINCT x) FILTER (WHERE x IS NOT NULL)) AS xs, bool_or(regexp_matches(tag, '20[0-9][0-9]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')) AS dates, count(DISTINCT lower(tag)) AS kinds FROM tg WHERE len(tag) > 0 GROUP BY 1), pt AS (SELECT *, CASE WHEN n_tags < 2 THEN 'none' WHEN k >= 2 AND len([i for i in range(2, len(xs) + 1) if xs[i] - xs[i - 1] > 5]) = 0 THEN 'sequential' WHEN dates THEN 'dated' WHEN kinds = 1 AND n_tags >= 3 THEN 'keyword' ELSE 'none' END AS pattern FROM ag) SELECT canonical, n_tags, pattern, CAST(CASE pattern WHEN 'sequential' THEN 0.85 WHEN 'dated' THEN 0.75 WHEN 'keyword' THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence FROM pt"),
+    "b6_benford": _q(f"{DIGITS} SELECT CAST(hour AS INT) AS hour, n AS sample_size, round(x, 6) AS chi_square, round(CASE WHEN z < -8 THEN 1 WHEN z > 8 THEN 0 WHEN z >= 0 THEN {TAIL} ELSE 1 - {TAIL} END, 6) AS p_value, x < 15.507 AS follows, round(CASE WHEN x < 15.507 THEN greatest(0, 1 - x / 15.507) ELSE 0 END, 6) AS confidence, round(dev, 6) AS deviation, round(risk, 6) AS risk, risk > 0.7 AS automated, x >= 15.507 AND dev > 0.1 AS suspicious FROM bt WHERE n >= 30 AND hour IN (SELECT hour(timestamp) FROM s GROUP BY 1 HAVING count(*) >= 30)"),
+    "s10_name_digit_hints": _q(f"{NGRAM} SELECT id, coalesce(TRY_CAST(regexp_extract(l0, '([0-9][0-9][0-9][0-9])$', 1) AS INT) BETWEEN 1940 AND 2025, false) AS has_year_suffix, l AS alpha_prefix, round(CASE WHEN len(l) >= 2 THEN o ELSE 0.0 END, 6) AS alpha_prefix_naturalness, round(CASE WHEN regexp_matches(l0, '[0-9]') THEN len(regexp_extract(l0, '^[^0-9]*')) / len(l0) ELSE 0.5 END, 6) AS digit_position_ratio FROM g", PREFIX),
+    "n2_naturalness": _q(f"{NGRAM} SELECT id, language, round(b2, 6) AS bigram_score, round(b3, 6) AS trigram_score, round(o, 6) AS overall_score, nat AS is_natural, round(least((len(w) + greatest(len(w) - 1, 0)) / 10, 1.0), 6) AS confidence, CAST(len(w) AS INT) AS total_bigrams, CAST(greatest(len(w) - 1, 0) AS INT) AS total_trigrams, CAST(floor(len(w) * b2 + 0.5) AS INT) AS matched_bigrams, CAST(floor(greatest(len(w) - 1, 0) * b3 + 0.5) AS INT) AS matched_trigrams FROM g", ACCENT),
+    "d7_override_profiles": _q(f", up AS (SELECT string_split(d, '.')[-1] AS tld, avg(label) * 3 AS m FROM s GROUP BY 1) SELECT p.tld, category, disposable_ratio, spam_ratio, round(coalesce(up.m, p.m), 6) AS risk_multiplier, registration_cost, description FROM {ALL_PROFILES} LEFT JOIN up USING (tld)"),
+    "d8_mx_analysis": _q(f"{MXR} SELECT r3.domain, CAST(coalesce(sum(hits), 0) AS BIGINT) AS mx_record_count, {', '.join(f'CAST(coalesce(sum(hits) FILTER (WHERE provider = {chr(39)}{p}{chr(39)}), 0) AS BIGINT) AS mx_{p}' for p in ('google', 'microsoft', 'icloud', 'yahoo', 'zoho', 'proton', 'self_hosted', 'other'))}, arg_min(provider, (-hits, reached)) AS mx_primary_provider, max(reached) AS mx_ttl, coalesce(sum(hits), 0) > 0 AS mx_has_records FROM r3 LEFT JOIN r2 USING (domain) GROUP BY 1"),
+    "f1_feature_vector": _q("SELECT id, " + ", ".join(f"round(CAST(least(greatest({F1[n]}, {low}), {high}) AS DOUBLE), 6) AS {n}" if n in F1 else f"CAST({fallback} AS DOUBLE) AS {n}" for n, low, high, fallback in FEATURES) + " FROM s"),
+    "f8_heuristic_lifts": _q(f"{LIFTS} SELECT id, round(CAST(x AS DOUBLE), 6) AS score, r AS reasons FROM x5"),
+    "t2_upsert_samples": _q(f"{SAMPLES}, rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, id % 2 DESC, label DESC) AS k FROM sm) SELECT email_hash, label, label_source, timestamp FROM rk WHERE k = 1"),
+    "t3_correct_labels": _q(f"{SAMPLES}, rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, id % 4 DESC, label DESC) AS k FROM sm WHERE id % 4 IN (0, 1)), fx AS (SELECT DISTINCT email_hash FROM sm WHERE id % 10 = 3) SELECT email_hash, CASE WHEN f.h IS NOT NULL THEN 1 ELSE label END AS label, CASE WHEN f.h IS NOT NULL THEN 'manual' ELSE label_source END AS label_source, CASE WHEN f.h IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE timestamp END AS timestamp FROM (SELECT * FROM rk WHERE k = 1) FULL JOIN (SELECT email_hash, 1 AS h FROM fx) f USING (email_hash)"),
     "c1_clean_address": _q(f"{CLEAN} SELECT id, clean FROM cl"),
     "c2_clean_dataset": _q(f"{CLEAN} SELECT min(id) AS id, clean AS email, CASE WHEN arg_min(label, id) = 1 THEN 'fraud' ELSE 'legit' END AS label, 'clean' AS source FROM cl WHERE clean IS NOT NULL GROUP BY clean"),
     "c2_clean_counts": _q(f"{CLEAN} SELECT count(DISTINCT clean) AS kept, count(clean) - count(DISTINCT clean) AS duplicates, count(*) FILTER (WHERE clean IS NULL) AS invalid FROM cl"),

@@ -123,7 +123,7 @@ def _f4(df: DataFrame, calibrate: int = 1) -> DataFrame:
 
 
 def _f5(df: DataFrame) -> DataFrame:
-    return wide(_features(df), "id", v=s.decision_tree_score(TREE))
+    return wide(_features(df), "id", v=s.decision_tree_score(TREE)).withColumn("path", F.array_join("path", "; "))
 
 
 def _scored(df: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _scored(df: DataFrame) -> DataFrame:
 
 def _f8(df: DataFrame) -> DataFrame:
     feats = {"tld_risk_score": F.col("risk_score"), "domain_reputation_score": F.col("id") % 100 / 100, "sequential_confidence": F.col("id") % 50 / 50, "digit_ratio": F.col("id") % 33 / 33, "plus_risk": F.col("id") % 10 / 10}
-    return wide(df, "id", v=s.heuristic_lifts(F.col("id") % 77 / 77, feats))
+    return wide(df, "id", v=s.heuristic_lifts(F.col("id") % 77 / 77, feats)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def _f13(df: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _train_rows(signups(spark, sf_dir))
     tree = t.train_tree(rows, list(f.FEATURE_NAMES))
-    return wide(rows, "id", "label", v=s.decision_tree_score(tree))
+    return wide(rows, "id", "label", v=s.decision_tree_score(tree)).withColumn("path", F.array_join("path", "; "))
 
 
 def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f8_heuristic_lifts": _rows(_f8),
     "f9_professional_reduction": _rows(lambda df: rounded(df.select("id", s.professional_reduction(F.col("risk_score"), F.col("id") % 2 == 0, F.col("id") % 10 / 10, F.when(F.col("id") % 11 != 0, F.col("id") % 3 != 0), F.col("id") % 13 == 0, F.col("id") % 17 == 0, F.col("id") % 8 / 8, F.col("id") % 6 / 6).alias("score")))),
     "f10_decide": _rows(lambda df: df.select("id", s.decide(F.col("risk_score")).alias("decision"))),
-    "f11_alerts": _rows(lambda df: rounded(s.alert_rows(_scored(df)))),
+    "f11_alerts": _rows(lambda df: rounded(s.alert_rows(_scored(df)).withColumn("reasons", F.array_join("reasons", ",")))),
     "f12_score_signups": _rows(lambda df: rounded(_scored(df).drop("feature_vector", "heuristics", "alert_reasons"))),
     "f13_assign_variant": _rows(_f13),
     "b1_plus_alias_groups": _rows(lambda df: rounded(b.plus_alias_groups(df.withColumn("domain", DOMAIN()), by=["domain"]).drop("variants"))),
