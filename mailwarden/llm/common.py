@@ -46,6 +46,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches of texts have no more than so many rows, for this session.
+
+    Spark's default of 10,000 would take gigabytes of a task's memory where texts are long, on both sides of the pipe.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have yet, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, content_key, fresh, lower_ascii, texts, written
+from .common import LOWER, blocks, bounded_batches, content_key, fresh, lower_ascii, texts, written
 
 #: A word of the contract, as a Java regular expression over lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -207,6 +207,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     contaminated with a hit, and hits on a twentieth of its words or more. Null, empty and wordless texts have zeros;
     without items nothing is hit; equal items all count.
     """
+    bounded_batches(docs.sparkSession)
     wanted = phrases(items, item_col, item_text_col, n)
     terms = written(wanted.select(F.explode("terms").alias("term")).distinct(), "terms")
     size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0

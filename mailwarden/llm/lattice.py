@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, texts, written
+from .common import LOWER, blocks, bounded_batches, texts, written
 from .quality import remainder
 from .token_counts import vocabulary_path
 
@@ -151,6 +151,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Each distinct word is scored once. The most frequent head_words of them go to the tasks by broadcast; a document's
     other words meet their scores in a join.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (remainder(F.col(id_col), folds) == held_out_fold).alias("held_out"))
     counts = written(word_counts(kept), "words")
     ends = kept.where("NOT held_out").count()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, fresh, lower_ascii, written
+from .common import bounded_batches, content_key, fresh, lower_ascii, written
 
 WHITE = " \t\n\x0b\x0c\r"
 LONG_PART = 1 << 20
@@ -86,6 +86,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All other columns stay. Null texts stay null where they lose nothing (n_lines 1, n_dropped 0). The two counts take
     names with underscores before them where docs has such columns already.
     """
+    bounded_batches(docs.sparkSession)
     maps = keep_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first)
     k1, k2, kid, n_lines, n_dropped, bitmap = fresh(docs, "k1", "k2", "kid", "n_lines", "n_dropped", "bitmap")
     t1, t2 = content_key(F.col(text_col))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, texts
+from .common import bounded_batches, fresh, texts
 
 N_FEATURES = 20
 
@@ -48,6 +48,7 @@ def features(text: bytes) -> list[float]:
 
 def feature_rows(df: DataFrame, text_col: str = "text", out: str = "x") -> DataFrame:
     """df without its text column, with an array of features instead. Null texts count as empty."""
+    bounded_batches(df.sparkSession)
     (text,) = fresh(df, "text_in")
     rest = [c for c in df.columns if c != text_col]
     (out,) = fresh(df.select(*rest) if rest else df, out)
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for each row, from the text alone; null and empty texts are scored as empty."""
+    bounded_batches(docs.sparkSession)
     (out,) = fresh(docs, out)
     (text,) = fresh(docs, "text_in")
     names = [*docs.columns, out]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import bounded_batches, fresh
 
 # White space as the tokenizers' patterns have it: Python's, without four control characters.
 SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
@@ -37,6 +37,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
     kept_pieces pieces, then begins anew. A stretch without white space stays whole. Texts for .model vocabularies,
     which treat white space in another way, are encoded whole.
     """
+    bounded_batches(docs.sparkSession)
     (out_col,) = fresh(docs, out_col)
     (text,) = fresh(docs, "text_to_count")
     names = [*docs.columns, out_col]
