@@ -211,7 +211,7 @@ ORACLE_SQL = {
     "p9_pattern_family": _q(f"{FAMILY} SELECT id, family, substr(sha256(family), 1, 16) AS family_hash, type, round(confidence, 6)::DOUBLE AS confidence, l || '@' || d AS normalized, has_sequential, has_dated, plus AS has_plus, structure, {DOMAIN_TYPE} AS domain_type FROM p9", BASE9),
     "b5_pattern_families": _q(f"{FAMILY}, c1 AS (SELECT family, type, count(*) AS n FROM p9 GROUP BY ALL), c2 AS (SELECT family, sum(n) AS \"count\", arg_max(type, (n, type)) AS type FROM c1 GROUP BY 1) SELECT family, CAST(\"count\" AS BIGINT) AS \"count\", type, row_number() OVER (ORDER BY \"count\" DESC, family) = 1 AS is_top, \"count\" >= 5 OR (\"count\" >= 3 AND type IN ('sequential', 'dated')) AS suspicious FROM c2", BASE9),
     "b2_plus_tag_pattern": _q(f", tg AS (SELECT {CANONICAL} AS canonical, {TAG} AS tag, TRY_CAST(CASE WHEN regexp_full_match({TAG}, '[0-9]+') THEN {TAG} END AS BIGINT) AS x FROM s), ag AS (SELECT canonical, count(*) AS n_tags, count(x) AS k, list_sort(list(DISTINCT x) FILTER (WHERE x IS NOT NULL)) AS xs, bool_or(regexp_matches(tag, '20[0-9][0-9]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')) AS dates, count(DISTINCT lower(tag)) AS kinds FROM tg WHERE len(tag) > 0 GROUP BY 1), pt AS (SELECT *, CASE WHEN n_tags < 2 THEN 'none' WHEN k >= 2 AND len([i for i in range(2, len(xs) + 1) if xs[i] - xs[i - 1] > 5]) = 0 THEN 'sequential' WHEN dates THEN 'dated' WHEN kinds = 1 AND n_tags >= 3 THEN 'keyword' ELSE 'none' END AS pattern FROM ag) SELECT canonical, n_tags, pattern, CAST(CASE pattern WHEN 'sequential' THEN 0.85 WHEN 'dated' THEN 0.75 WHEN 'keyword' THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence FROM pt"),
-    "b6_benford": _q(f"{DIGITS} SELECT CAST(hour AS INT) AS hour, n AS sample_size, round(x, 6) AS chi_square, round(CASE WHEN z < -8 THEN 1 WHEN z > 8 THEN 0 WHEN z >= 0 THEN {TAIL} ELSE 1 - {TAIL} END, 6) AS p_value, x < 15.507 AS follows, round(CASE WHEN x < 15.507 THEN greatest(0, 1 - x / 15.507) ELSE 0 END, 6) AS confidence, round(dev, 6) AS deviation, round(risk, 6) AS risk, risk > 0.7 AS automated, x >= 15.507 AND dev > 0.1 AS suspicious FROM bt WHERE n >= 30 AND hour IN (SELECT hour(timestamp) FROM s GROUP BY 1 HAVING count(*) >= 30)"),
+    "b6_benford": _q(f"{DIGITS}, hs AS (SELECT hour(timestamp) AS hour, count(*) AS addresses FROM s GROUP BY 1), e AS (SELECT hs.hour, addresses, coalesce(n, 0) AS size, coalesce(n, 0) >= 30 AS ok, x, z, t, dev, risk FROM hs LEFT JOIN bt USING (hour)) SELECT CAST(hour AS INT) AS hour, CAST(size AS BIGINT) AS sample_size, round(CASE WHEN ok THEN x ELSE 0 END, 6) AS chi_square, round(CASE WHEN NOT ok OR z < -8 THEN 1 WHEN z > 8 THEN 0 WHEN z >= 0 THEN {TAIL} ELSE 1 - {TAIL} END, 6) AS p_value, ok AND x < 15.507 AS follows, round(CASE WHEN ok AND x < 15.507 THEN greatest(0, 1 - x / 15.507) ELSE 0 END, 6) AS confidence, round(CASE WHEN ok THEN dev ELSE 0 END, 6) AS deviation, round(CASE WHEN ok THEN risk ELSE 0 END, 6) AS risk, ok AND risk > 0.7 AS automated, addresses >= 30 AND ok AND x >= 15.507 AND dev > 0.1 AS suspicious FROM e"),
     "s10_name_digit_hints": _q(f"{NGRAM} SELECT id, coalesce(TRY_CAST(regexp_extract(l0, '([0-9][0-9][0-9][0-9])$', 1) AS INT) BETWEEN 1940 AND 2025, false) AS has_year_suffix, l AS alpha_prefix, round(CASE WHEN len(l) >= 2 THEN o ELSE 0.0 END, 6) AS alpha_prefix_naturalness, round(CASE WHEN regexp_matches(l0, '[0-9]') THEN len(regexp_extract(l0, '^[^0-9]*')) / len(l0) ELSE 0.5 END, 6) AS digit_position_ratio FROM g", PREFIX),
     "n2_naturalness": _q(f"{NGRAM} SELECT id, language, round(b2, 6) AS bigram_score, round(b3, 6) AS trigram_score, round(o, 6) AS overall_score, nat AS is_natural, round(least((len(w) + greatest(len(w) - 1, 0)) / 10, 1.0), 6) AS confidence, CAST(len(w) AS INT) AS total_bigrams, CAST(greatest(len(w) - 1, 0) AS INT) AS total_trigrams, CAST(floor(len(w) * b2 + 0.5) AS INT) AS matched_bigrams, CAST(floor(greatest(len(w) - 1, 0) * b3 + 0.5) AS INT) AS matched_trigrams FROM g", ACCENT),
     "d7_override_profiles": _q(f", up AS (SELECT string_split(d, '.')[-1] AS tld, avg(label) * 3 AS m FROM s GROUP BY 1) SELECT p.tld, category, disposable_ratio, spam_ratio, round(coalesce(up.m, p.m), 6) AS risk_multiplier, registration_cost, description FROM {ALL_PROFILES} LEFT JOIN up USING (tld)"),
