@@ -18,6 +18,7 @@ from .decontamination import SPLIT
 
 BITS = 18  # document frequencies of words are kept for 2**BITS hash values
 BLOCK = 1 << 19
+LARGE, LONG = 64, 1024  # buckets above so many nodes are compared by so many samples
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 
@@ -318,6 +319,44 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
 
 
+def least_agreement(threshold: float, k: int) -> float:
+    """The share of k samples below which a similarity at the threshold is over four standard deviations away."""
+    return max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
+
+
+def rest_of_buckets(mixed_rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """The pairs (a, b) of a bucket's nodes that are of different parts and whose samples agree often enough.
+
+    Rows are (band, hash, n, node, part, sample), n the size of the bucket; samples are of one length within a bucket.
+    All pairs of a bucket are compared, but only those that agree leave the task. A bucket of more than `block`
+    nodes is cut into blocks, and each pair of blocks is a group of its own, so no task has to hold a bucket.
+    """
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node, sample, own = rows.column("node").to_pylist(), rows.column("sample").to_pylist(), rows.column("own").to_numpy()
+        _, part = np.unique(np.array([p.hex() for p in rows.column("part").to_pylist()]), return_inverse=True)
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        x = np.frombuffer(b"".join(sample), dtype=np.uint16).reshape(len(node), -1)
+        least = least_agreement(threshold, x.shape[1])
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
+        for at, p in enumerate(left.tolist()):
+            others = right[at + 1 :] if i == j else right
+            others = others[part[others] != part[p]]
+            if len(others):
+                for q in others[(x[others] == x[p]).mean(axis=1) >= least].tolist():
+                    a.append(min(node[p], node[q]))
+                    b.append(max(node[p], node[q]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    blocks_ = F.ceil(F.col("n") / block)
+    cut = mixed_rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks_).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks_ - 1).cast("int"))))
+    cut = cut.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "sample")
+    return cut.groupBy("band", "hash", "i", "j").applyInArrow(compare, schema).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 4, shingle_words: int = 5) -> DataFrame:
     """(doc_id, class_id, class_size, t1, t2, class): a row for each row of docs.
 
@@ -329,6 +368,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wordless texts are classes of their own. A pair at the threshold escapes all bands with a probability of
     (1 - threshold**rows)**bands, 0.0006 by default. Pairs whose samples agree so rarely that a similarity at the
     threshold is over four standard deviations away aren't verified.
+
+    Neighbours in the buckets are linked first, which joins large groups of copies at little cost. Then all pairs in a
+    bucket that aren't in one class yet are compared by samples: by those of the bands, and in buckets of more than
+    LARGE nodes by LONG samples, so that texts which are alike but below the threshold are told apart without their texts.
     """
     bounded_batches(docs.sparkSession)
     t1, t2 = content_key(F.col(text_col))
@@ -342,16 +385,31 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = written(distinct, "nodes")
     banded = distinct.select("node", "sample", F.posexplode("bands").alias("band", "hash")).select("band", "hash", F.substring("sample", 1, 16).alias("sample"), "node")
     pairs = bucket_links(banded)
-    k = bands * rows
-    least = max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
-    likely = agreeing(pairs, distinct.select("node", "sample"), least)
+    likely = agreeing(pairs, distinct.select("node", "sample"), least_agreement(threshold, bands * rows))
     likely = written(likely, "likely")
     by_node = kept.select(node.alias("node"), "text")
-    wanted = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "likely-nodes")
-    # An inner join: Spark would move a semi-join below the bitmap's, and shuffle all texts for it.
-    some = probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
-    links = verified(likely, some, idf, threshold, shingle_words)
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = written(nodes.distinct(), "wanted-nodes")
+        # An inner join: Spark would move a semi-join below the bitmap's, and shuffle all texts for it.
+        return probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
+
+    links = written(verified(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words), "links")
     named = connected_components(links)
+    # Buckets of two are done: their nodes are neighbours. So are buckets that are in one class by now.
+    parts = distinct.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.posexplode("bands").alias("band", "hash"))
+    parts = written(parts, "parts")
+    open_ = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("n > 2 AND p != q").drop("p", "q")
+    open_ = written(parts.join(written(open_, "open-buckets"), ["band", "hash"]), "open-rows")
+    large = open_.where(F.col("n") > LARGE)
+    few = open_.where(F.col("n") <= LARGE).join(distinct.select("node", "sample"), "node")
+    long = written(signatures(texts_of(large.select("node")), idf, 1, LONG, "text", shingle_words).select("node", "sample"), "long-samples")
+    columns = ["band", "hash", "n", "node", "part", "sample"]
+    rest = rest_of_buckets(few.select(*columns).union(large.join(long, "node").select(*columns)), threshold)
+    rest = written(rest.join(likely, ["a", "b"], "left_anti"), "rest-likely")
+    if not rest.isEmpty():
+        more = verified(rest, texts_of(rest.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words)
+        named = connected_components(links.union(more))
     rows_ = signed.drop("bands", "sample").join(named, "node", "left").withColumn("class", F.coalesce("component", "node"))
     rows_ = written(rows_.drop("component", "node"), "classes")
     sizes = rows_.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")

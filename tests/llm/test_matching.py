@@ -87,6 +87,34 @@ def test_large_bucket_links_without_all_pairs(spark):
     assert components.connected_components(links).select("component").distinct().count() == 1
 
 
+def test_near_pairs_among_texts_of_one_template(spark):
+    rng = random.Random(8)
+    shared = some_words(rng, 255)
+    rows = [shared + " " + some_words(rng, 30) for _ in range(900)]  # any two: below 0.8
+    for i in range(100):  # a near copy of each of these: about 0.8
+        words = rows[i].split()
+        for at in (10 + i, 120 + i, 230 + i % 10, 258 + i % 10, 283):
+            words[at] = some_words(rng, 1)
+        rows.append(" ".join(words))
+    made = near_dedup.Shingler()
+    h, doc = made.of([t.encode() for t in rows])
+    pairs = np.unique((doc.astype(np.int64) << near_dedup.BITS) | (h >> np.uint64(64 - near_dedup.BITS)).astype(np.int64))
+    counts = np.bincount(pairs & ((1 << near_dedup.BITS) - 1), minlength=1 << near_dedup.BITS)
+    s, of, w = made.shingles(h, doc, near_dedup.idf_table(counts, len(rows)), len(rows))
+    names, at = np.unique(s, return_inverse=True)
+    bags = np.zeros((len(rows), len(names)), dtype=np.float32)
+    bags[of, at] = w
+    low = np.array([np.minimum(bags[i], bags[900 + i]).sum() / np.maximum(bags[i], bags[900 + i]).sum() for i in range(100)])
+    want = {(i, 900 + i) for i in np.flatnonzero(low >= 0.8).tolist()}
+    assert len(want) > 50
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).where("class_size > 1").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    got = {tuple(sorted(x)) for x in got.values()}
+    assert got <= want and len(got) >= 0.99 * len(want), (len(got & want), len(want))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (52, 51), (60, 60), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
