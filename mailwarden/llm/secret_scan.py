@@ -135,20 +135,21 @@ def _base64(layer: Layer, most: int) -> list[Layer]:
 def all_spans(text: str, most: int = 1 << 24, base: list[Span] | None = None) -> set[Span]:
     """Base spans and those of every layer below, in code points of the text.
 
-    A layer that was seen before isn't entered again, so cycles end. Compressed data beyond `most` bytes isn't
+    A layer that was seen before, with the same places in the document, isn't entered again, so cycles end. Compressed data beyond `most` bytes isn't
     unwrapped: this bounds a task's memory against decompression bombs.
     """
     spans = set(scan(text) if base is None else base)
     if "%" not in text and "\\" not in text and "&#" not in text and not BASE64.search(text):
         return spans
     at = np.arange(len(text) + 1, dtype=np.int64)
-    work, seen = [Layer(text, at[:-1], at[1:])], {text}
+    work, seen = [Layer(text, at[:-1], at[1:])], {(text, at[:-1].tobytes(), at[1:].tobytes())}
     while work:
         layer = work.pop()
         below = _percent(layer) + _escapes(layer) + _base64(layer, most)
         for x in below:
-            if x.text not in seen and x.text:
-                seen.add(x.text)
+            key = (x.text, x.begin.tobytes(), x.end.tobytes())
+            if key not in seen and x.text:
+                seen.add(key)
                 spans.update((k, int(x.begin[a]), int(x.end[b - 1])) for k, a, b in scan(x.text))
                 work.append(x)
     return spans

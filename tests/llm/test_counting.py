@@ -188,3 +188,13 @@ def test_slots_permute_a_source(spark):
     assert len(rows) == 201
 
 
+def test_repeated_encoded_secrets_each_have_a_span():
+    import base64
+    import zlib
+
+    for raw in (b"password=hunter2hunter2", zlib.compress(b"password=hunter2hunter2"), base64.b64encode(b"password=hunter2hunter2")):
+        part = base64.b64encode(raw).decode()
+        text = f"one {part} two {part} end"
+        found = sorted((a, b) for k, a, b in secret_scan.all_spans(text) if k == "assign")
+        first, second = text.index(part), text.rindex(part)
+        assert any(first <= a and b <= second for a, b in found) and any(a >= second for a, _ in found)
