@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -25,14 +24,10 @@ def lower_ascii(col: Column) -> Column:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under the folder all executors share (spark.checkpoint.dir).
-
-    Where that setting is absent, as in tests, a temporary folder is set for the session first.
-    """
+    """A new folder under the folder all executors share, spark.checkpoint.dir; without that setting there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -46,14 +41,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let Arrow batches of texts have no more than so many rows, for this session.
+def join_apart(rows: DataFrame, side: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined (inner or left) with side, which has one row for each key, and in `count` how many of the rows have it.
 
-    Spark's default of 10,000 would take gigabytes of a task's memory where texts are long, on both sides of the pipe.
+    Keys with more than one in `share` of all rows are joined by broadcast: there are fewer than `share` of them,
+    whatever the tables' sizes. So no key with many rows meets in one task. Both tables are read twice.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    facts = side.agg(F.sum(count).alias("total"), F.max(count).alias("most")).first()
+    total, most = int(facts.total or 0), int(facts.most or 0)
+    if most * share <= total:
+        return rows.join(side, keys, how)
+    hot = side.where(F.col(count) * share > total)
+    apart = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(count) * share <= total), keys, how)
+    return apart.unionByName(rest)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

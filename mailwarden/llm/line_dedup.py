@@ -5,24 +5,30 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, content_key, fresh, lower_ascii, written
+from .common import content_key, fresh, lower_ascii, written
 
 WHITE = " \t\n\x0b\x0c\r"
 LONG_PART = 1 << 20
+DROP, UNSURE, EDGE = 0, 1, 2
 
 
 def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
-    """(h1, h2, doc, t1, t2, pos): a row for each line whose key has min_chars code points or more.
+    """(h1, h2, doc, t1, t2, pos, k): a row for each line whose key has min_chars code points or more.
 
     Range-partitioned and sorted by hash, then document, then position. The range runs over document and position
     too, so one very common line spreads over many partitions. A key is the line stripped of ASCII white space at
-    both ends, A-Z in lower case. Null texts have one empty line, so no row here.
+    both ends, A-Z in lower case. k is a hash of the document. Null texts have one empty line, so no row here.
     """
     t1, t2 = content_key(F.col(text_col))
     lines = docs.select(
@@ -31,12 +37,121 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     key = lower_ascii(F.btrim("line", F.lit(WHITE)))
     lines = lines.withColumn("line", key).where(F.length("line") >= max(1, min_chars))
-    rows = written(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc", "t1", "t2", "pos"), "lines")
+    rows = written(lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc", "t1", "t2", "pos", F.xxhash64("doc", "t1", "t2").alias("k")), "lines")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "t1", "t2", "pos"]
     return rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
+@dataclass
+class Run:
+    """The lines of one key that a task has read so far."""
+
+    key: tuple[int, int]
+    opens: bool  # it is the task's first key, so it may have begun in the task before
+    first: int  # hash of its first document
+    last: int = 0
+    n_docs: int = 0
+    waiting: list[pa.RecordBatch] = field(default_factory=list)  # lines of fewer than min_docs documents
+
+
+def repeated_lines(index: DataFrame, min_docs: int, keep_first: bool) -> DataFrame:
+    """(doc, t1, t2, pos): the lines to drop, from one pass over the sorted index.
+
+    Each task streams its range and counts documents key by key; it holds back the lines of a key only until min_docs
+    documents have it. A key that reaches over the end of a task is settled from one row each task has about its first
+    and its last key: those two rows a task are all that is joined, by broadcast.
+    """
+    id_field = index.schema["doc"]
+    schema = T.StructType([
+        *(T.StructField(c, T.IntegerType()) for c in ("kind", "task")), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), id_field, T.StructField("t1", T.LongType()), T.StructField("t2", T.LongType()),
+        T.StructField("pos", T.IntegerType()), T.StructField("first", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_docs", "first_doc", "last_doc"))])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        current: Run | None = None
+
+        def out(rows: pa.RecordBatch, kind: int, leads: bool = False) -> pa.RecordBatch:
+            n = rows.num_rows
+            none = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(n, kind, dtype=np.int32)), pa.array(np.full(n, task, dtype=np.int32)), *(rows.column(c) for c in ("h1", "h2", "doc", "t1", "t2", "pos")),
+                pa.array(np.arange(n) == (0 if leads else -1)), none, none, none], names=schema.names)
+
+        def extend(run: Run, rows: pa.RecordBatch, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begins = run.n_docs == 0
+            run.n_docs += int((k[1:] != k[:-1]).sum()) + int(begins or k[0] != run.last)
+            run.last = int(k[-1])
+            if run.opens:
+                yield out(rows, UNSURE, begins)
+                return
+            run.waiting.append(rows)
+            if run.n_docs >= min_docs:
+                for part in run.waiting:
+                    yield out(part.slice(1) if begins_run(part, run) and keep_first else part, DROP)
+                run.waiting = [run.waiting[0].slice(0, 0)]
+
+        def begins_run(part: pa.RecordBatch, run: Run) -> bool:
+            return part is run.waiting[0] and part.num_rows > 0
+
+        def close(run: Run, ends: bool) -> Iterator[pa.RecordBatch]:
+            if run.opens or ends:
+                one = [pa.array([x], f) for x, f in zip((EDGE, task, *run.key), (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                facts = [pa.array([x], pa.int64()) for x in (run.n_docs, run.first, run.last)]
+                nothing = [pa.nulls(1, kind) for kind in (doc_type, pa.int64(), pa.int64(), pa.int32(), pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*one, *nothing, *facts], names=schema.names)
+            if ends and run.n_docs < min_docs:
+                for i, part in enumerate(run.waiting):
+                    yield out(part, UNSURE, i == 0)
+
+        doc_type = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc_type = batch.column("doc").type
+            h1, h2, k = (batch.column(c).to_numpy() for c in ("h1", "h2", "k"))
+            new_key = np.concatenate([[current is None or current.key != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            starts = np.flatnonzero(new_key)
+            head = int(starts[0]) if len(starts) else batch.num_rows
+            if head:
+                yield from extend(current, batch.slice(0, head), k[:head])
+            if not len(starts):
+                continue
+            last = int(starts[-1])
+            opens = current is None
+            if current is not None:
+                yield from close(current, False)
+            if opens and head < last:  # the task's first key ends within its first batch
+                stop = int(starts[1])
+                run = Run((int(h1[0]), int(h2[0])), True, int(k[0]))
+                yield from extend(run, batch.slice(0, stop), k[:stop])
+                yield from close(run, False)
+                starts, head, opens = starts[1:], stop, False
+            if head < last:  # keys that begin and end within this batch
+                new_doc = new_key | np.concatenate([[True], k[1:] != k[:-1]])
+                docs = np.add.reduceat(new_doc[head:last].astype(np.int64), starts[:-1] - head)
+                sizes = np.diff(starts)
+                drop = np.repeat(docs >= min_docs, sizes)
+                if keep_first:
+                    drop[starts[:-1] - head] = False
+                if drop.any():
+                    yield out(batch.slice(head, last - head).filter(pa.array(drop)), DROP)
+            current = Run((int(h1[last]), int(h2[last])), opens, int(k[last]))
+            yield from extend(current, batch.slice(last), k[last:])
+        if current is not None:
+            yield from close(current, True)
+
+    found = written(index.mapInArrow(stream, schema), "repeated-lines")
+    by_task = W.partitionBy("h1", "h2").orderBy("task")
+    edges = found.where(F.col("kind") == EDGE).withColumn("shared", (F.lag("last_doc").over(by_task) == F.col("first_doc")).cast("long"))
+    common = edges.groupBy("h1", "h2").agg((F.sum("n_docs") - F.coalesce(F.sum("shared"), F.lit(0))).alias("n"), F.min("task").alias("begins")).where(F.col("n") >= min_docs)
+    unsure = found.where(F.col("kind") == UNSURE).join(F.broadcast(common.select("h1", "h2", "begins")), ["h1", "h2"])
+    if keep_first:
+        unsure = unsure.where(~(F.col("first") & (F.col("task") == F.col("begins"))))
+    columns = ["doc", "t1", "t2", "pos"]
+    return found.where(F.col("kind") == DROP).select(*columns).union(unsure.select(*columns))
+
+
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc, t1, t2, n_dropped, bitmap) for each distinct document that loses lines.
 
@@ -45,13 +160,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     share one bitmap. The bitmap is zlib over packed bits, the last dropped line's bit included; lines beyond its end
     are kept. Documents that lose nothing have no row; an empty table gives none.
     """
-    index = written(line_index(docs, id_col, text_col, min_chars), "line-index")
-    counts = index.groupBy("h1", "h2", "doc", "t1", "t2").agg(F.min("pos").alias("pos")).groupBy("h1", "h2").agg(
-        F.count("*").alias("n_docs"), F.min(F.struct("doc", "t1", "t2", "pos")).alias("first"))
-    common = counts.where(F.col("n_docs") >= min_docs)
-    gone = index.join(common, ["h1", "h2"])
-    if keep_first:
-        gone = gone.where(~F.struct("doc", "t1", "t2", "pos").eqNullSafe(F.col("first")))
+    gone = repeated_lines(line_index(docs, id_col, text_col, min_chars), min_docs, keep_first)
 
     # Bits are set by parts of LONG_PART lines, so no row holds more positions than that.
     @F.pandas_udf("binary")
@@ -86,7 +195,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All other columns stay. Null texts stay null where they lose nothing (n_lines 1, n_dropped 0). The two counts take
     names with underscores before them where docs has such columns already.
     """
-    bounded_batches(docs.sparkSession)
     maps = keep_bitmaps(docs, id_col, text_col, min_docs, min_chars, keep_first)
     k1, k2, kid, n_lines, n_dropped, bitmap = fresh(docs, "k1", "k2", "kid", "n_lines", "n_dropped", "bitmap")
     t1, t2 = content_key(F.col(text_col))

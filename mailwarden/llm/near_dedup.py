@@ -12,13 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, bounded_batches, content_key, fresh, texts, written
+from .common import blocks, content_key, fresh, join_apart, texts, written
 from .components import connected_components
 from .decontamination import SPLIT
 
 BITS = 18  # document frequencies of words are kept for 2**BITS hash values
 BLOCK = 1 << 19
-LARGE, LONG = 64, 1024  # buckets above so many nodes are compared by so many samples
+RUN = 256  # partners of one text that are verified in one group
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 
@@ -230,42 +230,54 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, text_col: str = "tex
     return docs.select(*rest, F.col(text_col).alias(text)).mapInArrow(run, schema)
 
 
-def bucket_links(banded: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from rows (band, hash, sample, node), without emitting all pairs of a bucket.
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """The rows (band, hash, node, ...) whose bucket has more than one node, with `n`, the nodes in it."""
+    counts = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    return written(join_apart(banded, written(counts, "bucket-sizes"), ["band", "hash"], "n"), "bucket-rows")
+
+
+def bucket_links(rows: DataFrame, least: float = 0.0) -> DataFrame:
+    """Candidate pairs (a, b, run) from rows (band, hash, sample, node): at most two for each row.
 
     The rows are range-partitioned by bucket, sample and node, so a large bucket spreads over tasks and like
-    documents stand next to each other. Each node is paired with the one before it in its bucket and with the first
-    of its bucket in the task; the firsts of a bucket that spans tasks are paired with the least of them.
+    documents stand next to each other. Each node is paired with the first of its bucket in the task and with the one
+    before it, where their samples (strings of 16-bit values) agree in a share of `least` or more; the firsts of a bucket that spans tasks are
+    paired with the least of them. `run` numbers stretches of RUN partners of one first, so that they can be dealt to several tasks.
     """
-    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("run", T.IntegerType())])
+
+    def alike(x: bytes, y: bytes) -> bool:
+        return least <= 0 or float((np.frombuffer(x, dtype=np.uint16) == np.frombuffer(y, dtype=np.uint16)).mean()) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, last, begun = None, None, None, 0
+        key, first, last, begun, at = None, None, None, 0, 0
         for batch in batches:
             out: list[tuple] = []
-            for k, h, node in zip(batch.column("band").to_pylist(), batch.column("hash").to_pylist(), batch.column("node").to_pylist(), strict=True):
+            for k, h, node, sample in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "node", "sample")), strict=True):
                 if (k, h) != key:
                     if begun == 1:  # the task's first bucket may have begun in another task
-                        out.append((*key, first, None))
-                    key, first, last, begun = (k, h), node, None, begun + 1
-                elif node != first and node != last:
-                    out.append((k, h, first, node))
-                    if last is not None:
-                        out.append((k, h, last, node))
-                    last = node
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=schema.names)
+                        out.append((*key, first[0], None, 0))
+                    key, first, last, begun, at = (k, h), (node, sample), None, begun + 1, 0
+                elif node != first[0] and (last is None or node != last[0]):
+                    if alike(first[1], sample):
+                        out.append((k, h, first[0], node, at // RUN))
+                        at += 1
+                    if last is not None and alike(last[1], sample):
+                        out.append((k, h, last[0], node, 0))
+                    last = (node, sample)
+            cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=schema.names)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([first], pa.binary()), pa.array([None], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([first[0]], pa.binary()), pa.array([None], pa.binary()), pa.array([0], pa.int32())], names=schema.names)
 
-    n = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "hash", "sample", "node"]
-    found = written(banded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "bucket-links")
-    pairs = found.where("b IS NOT NULL").select("a", "b")
+    found = written(rows.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "bucket-links")
+    pairs = found.where("b IS NOT NULL").select("a", "b", "run")
     # Two rows for each task at most.
     ends = found.where("b IS NULL").groupBy("band", "hash").agg(F.min("a").alias("hub"), F.collect_set("a").alias("firsts")).where(F.size("firsts") > 1)
-    pairs = pairs.union(ends.select(F.col("hub").alias("a"), F.explode("firsts").alias("b")))
-    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.union(ends.select(F.col("hub").alias("a"), F.explode("firsts").alias("b"), F.lit(0)))
+    return pairs.where("a != b").groupBy("a", "b").agg(F.min("run").alias("run"))
 
 
 def probable(rows: DataFrame, nodes: DataFrame, bits: int = 25) -> DataFrame:
@@ -284,39 +296,54 @@ def probable(rows: DataFrame, nodes: DataFrame, bits: int = 25) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, idf, threshold: float, size: int = 5) -> DataFrame:
-    """The pairs (a, b) whose texts, from nodes (node, text), have a weighted Jaccard similarity of the threshold or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    some = written(nodes.join(wanted, "node"), "pair-texts")
-    both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    """The pairs (a, b) of pairs (a, b, run) whose texts, from nodes (node, text), have a weighted Jaccard similarity of
+    the threshold or more.
+
+    The text of `a` goes once to each run of its partners, which a task then reads one after another.
+    """
+    heads = pairs.select("a", "run").distinct().join(nodes.toDF("a", "text"), "a").select("a", "run", F.lit(None).cast("binary").alias("b"), "text")
+    partners = pairs.join(nodes.toDF("b", "text"), "b").select("a", "run", "b", "text")
+    dealt = heads.union(partners).repartition("a", "run").sortWithinPartitions("a", "run", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, table = Shingler(size), idf.value
-        for batch in blocks(batches, "x", BLOCK // 2):
+        head: tuple = ()
+        for batch in blocks(batches, "text", BLOCK // 2):
+            bags = Bags(made, table, texts(batch, "text"))
             keep = []
-            for x, y in zip(texts(batch, "x"), texts(batch, "y"), strict=True):
-                hashes, doc = made.of([x, y])
-                shingle, of, weight = made.shingles(hashes, doc, table, 2)
-                cut = int(np.searchsorted(of, 1))
-                _, i, j = np.intersect1d(shingle[:cut], shingle[cut:], assume_unique=True, return_indices=True)
-                low = np.minimum(weight[:cut][i], weight[cut:][j]).sum()
-                total = weight.sum() - low
-                keep.append(bool(total > 0 and low / total >= threshold - 1e-12))
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                if b is None:
+                    head = bags.one(i)
+                    keep.append(False)
+                else:
+                    keep.append(bool(bags.similarity(head, [i])[0] >= threshold - 1e-12))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    return both.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes (node, sample) whose samples, strings of 16-bit values, agree in a share of `least` or more."""
-    both = pairs.join(nodes.toDF("a", "p"), "a").join(nodes.toDF("b", "q"), "b").select("a", "b", "p", "q")
+class Bags:
+    """The weighted shingles of several texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("p", "q"))
-            yield batch.select(["a", "b"]).filter(pa.array((p == q).mean(axis=1) >= least))
+    def __init__(self, made: Shingler, idf: np.ndarray, all_texts: list[bytes]):
+        hashes, doc = made.of(all_texts)
+        self.shingle, of, self.weight = made.shingles(hashes, doc, idf, len(all_texts))
+        self.edge = np.searchsorted(of, np.arange(len(all_texts) + 1))
+        self.total = np.bincount(of, weights=self.weight, minlength=len(all_texts))
 
-    return both.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray, float]:
+        a, b = self.edge[i], self.edge[i + 1]
+        return self.shingle[a:b].copy(), self.weight[a:b].copy(), float(self.total[i])
+
+    def similarity(self, head: tuple[np.ndarray, np.ndarray, float], others: list[int] | np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarities of one text's shingles and those of others, none of them without words."""
+        own, weight, total = head
+        sizes = [self.edge[i + 1] - self.edge[i] for i in others]
+        at = np.concatenate([np.arange(self.edge[i], self.edge[i + 1]) for i in others])
+        place = np.minimum(np.searchsorted(own, self.shingle[at]), len(own) - 1)
+        low = np.where(own[place] == self.shingle[at], np.minimum(weight[place], self.weight[at]), 0.0)
+        both = np.add.reduceat(low, np.cumsum([0, *sizes[:-1]]))
+        return both / (total + self.total[np.asarray(others)] - both)
 
 
 def least_agreement(threshold: float, k: int) -> float:
@@ -324,40 +351,59 @@ def least_agreement(threshold: float, k: int) -> float:
     return max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
 
 
-def rest_of_buckets(mixed_rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
-    """The pairs (a, b) of a bucket's nodes that are of different parts and whose samples agree often enough.
+def linked(node: list[bytes], part: np.ndarray, sample: np.ndarray, left: np.ndarray, right: np.ndarray, bags: Bags, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join the parts of some nodes: each node of `left` is compared with those of `right` that are of another part.
 
-    Rows are (band, hash, n, node, part, sample), n the size of the bucket; samples are of one length within a bucket.
-    All pairs of a bucket are compared, but only those that agree leave the task. A bucket of more than `block`
-    nodes is cut into blocks, and each pair of blocks is a group of its own, so no task has to hold a bucket.
+    Candidates agree often enough by their samples; the likeliest are verified first, and a link makes two parts one,
+    so there are fewer links than nodes.
     """
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-
-    def compare(rows: pa.Table) -> pa.Table:
-        node, sample, own = rows.column("node").to_pylist(), rows.column("sample").to_pylist(), rows.column("own").to_numpy()
-        _, part = np.unique(np.array([p.hex() for p in rows.column("part").to_pylist()]), return_inverse=True)
-        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        x = np.frombuffer(b"".join(sample), dtype=np.uint16).reshape(len(node), -1)
-        least = least_agreement(threshold, x.shape[1])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for at, p in enumerate(left.tolist()):
-            others = right[at + 1 :] if i == j else right
+    least = least_agreement(threshold, sample.shape[1])
+    part, out = part.copy(), []
+    for p in left.tolist():
+        others = right[part[right] != part[p]]
+        if not len(others):
+            continue
+        agree = (sample[others] == sample[p]).mean(axis=1)
+        others = others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]
+        head = bags.one(p) if len(others) else None
+        while len(others):
+            some, others = others[:32], others[32:]
+            for q in some[bags.similarity(head, some) >= threshold - 1e-12].tolist():
+                if part[q] != part[p]:
+                    out.append((node[p], node[q]))
+                    part[part == part[q]] = part[p]
             others = others[part[others] != part[p]]
-            if len(others):
-                for q in others[(x[others] == x[p]).mean(axis=1) >= least].tolist():
-                    a.append(min(node[p], node[q]))
-                    b.append(max(node[p], node[q]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+    return out
 
-    blocks_ = F.ceil(F.col("n") / block)
-    cut = mixed_rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks_).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks_ - 1).cast("int"))))
-    cut = cut.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "sample")
-    return cut.groupBy("band", "hash", "i", "j").applyInArrow(compare, schema).distinct()
 
+def rest_of_buckets(rows: DataFrame, idf, threshold: float, size: int = 5, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+    """Links (a, b) between a bucket's nodes that are of different parts: rows are (band, hash, n, bytes, node, part,
+    sample, text), n and bytes the bucket's number of nodes and size of texts.
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 4, shingle_words: int = 5) -> DataFrame:
+    Every pair of parts that has a link gets one, directly or over others. A bucket of more nodes or bytes than a
+    block is cut, and each pair of blocks is a group of its own, so no task has to hold a bucket.
+    """
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, own = group.column("node").to_pylist(), group.column("own").to_numpy()
+        _, part = np.unique(np.array([p.hex() for p in group.column("part").to_pylist()]), return_inverse=True)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        out: list[tuple[bytes, bytes]] = []
+        if part.max() > 0:
+            sample = np.frombuffer(b"".join(group.column("sample").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
+            bags = Bags(Shingler(size), idf.value, [t.encode() for t in group.column("text").to_pylist()])
+            out = linked(node, part, sample, np.flatnonzero(own == i), np.flatnonzero(own == j), bags, threshold)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    n_blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes, F.lit(1)))
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
+    cut = cut.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "sample", "text")
+    return cut.groupBy("band", "hash", "i", "j").applyInArrow(compare, schema)
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 4, shingle_words: int = 5, large: int = 4096, more_bands: int = 100, more_rows: int = 12) -> DataFrame:
     """(doc_id, class_id, class_size, t1, t2, class): a row for each row of docs.
 
     A class is a connected component of links between texts whose weighted Jaccard similarity over TF-IDF shingles is
@@ -365,56 +411,71 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the class's least node. Equal texts are one
     node of the graph however many rows have them, so copies cost no links. Words are runs of letters, digits and
     characters beyond ASCII, A-Z in lower case; a text of fewer words than a shingle has one shingle. Null, empty and
-    wordless texts are classes of their own. A pair at the threshold escapes all bands with a probability of
+    wordless texts are classes of their own; an empty table gives no rows. A pair at the threshold escapes all bands with a probability of
     (1 - threshold**rows)**bands, 0.0006 by default. Pairs whose samples agree so rarely that a similarity at the
     threshold is over four standard deviations away aren't verified.
 
-    Neighbours in the buckets are linked first, which joins large groups of copies at little cost. Then all pairs in a
-    bucket that aren't in one class yet are compared by samples: by those of the bands, and in buckets of more than
-    LARGE nodes by LONG samples, so that texts which are alike but below the threshold are told apart without their texts.
+    Neighbours in the buckets are linked first, which joins large groups of copies at little cost. Buckets that aren't
+    in one class by then are opened: their nodes are compared by samples, and verified, until every two classes that a
+    link joins are one. Texts of open buckets with more than `large` nodes, alike but below the threshold, are
+    banded anew by more samples, more_rows for each of more_bands (a pair at the threshold escapes with 0.0008), and
+    those smaller buckets are opened instead.
     """
-    bounded_batches(docs.sparkSession)
     t1, t2 = content_key(F.col(text_col))
     kept = docs.select(F.col(id_col).alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
     counts, n = word_frequencies(kept)
     idf = docs.sparkSession.sparkContext.broadcast(idf_table(counts, n))
-    signed = written(signatures(kept, idf, bands, rows, "text", shingle_words), "signatures")
     node = F.concat(F.to_binary(F.lpad(F.hex("t1"), 16, "0"), F.lit("hex")), F.to_binary(F.lpad(F.hex("t2"), 16, "0"), F.lit("hex")))
+    sized = kept.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    signed = written(signatures(sized, idf, bands, rows, "text", shingle_words), "signatures")
     signed = signed.withColumn("node", F.when(F.col("bands").isNotNull(), node))
-    distinct = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sample").alias("sample"))
+    distinct = signed.where("node IS NOT NULL").groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("sample").alias("sample"), F.first("bytes").alias("bytes"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     distinct = written(distinct, "nodes")
-    banded = distinct.select("node", "sample", F.posexplode("bands").alias("band", "hash")).select("band", "hash", F.substring("sample", 1, 16).alias("sample"), "node")
-    pairs = bucket_links(banded)
-    likely = agreeing(pairs, distinct.select("node", "sample"), least_agreement(threshold, bands * rows))
-    likely = written(likely, "likely")
+    shared = shared_buckets(distinct.select("node", "sample", "bytes", F.posexplode("bands").alias("band", "hash")))
     by_node = kept.select(node.alias("node"), "text")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = written(nodes.distinct(), "wanted-nodes")
         # An inner join: Spark would move a semi-join below the bitmap's, and shuffle all texts for it.
-        return probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
+        return written(probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
+    likely = written(bucket_links(shared, least_agreement(threshold, bands * rows)), "likely")
     links = written(verified(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words), "links")
     named = connected_components(links)
-    # Buckets of two are done: their nodes are neighbours. So are buckets that are in one class by now.
-    parts = distinct.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("part"), F.posexplode("bands").alias("band", "hash"))
-    parts = written(parts, "parts")
-    open_ = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("n > 2 AND p != q").drop("p", "q")
-    open_ = written(parts.join(written(open_, "open-buckets"), ["band", "hash"]), "open-rows")
-    large = open_.where(F.col("n") > LARGE)
-    few = open_.where(F.col("n") <= LARGE).join(distinct.select("node", "sample"), "node")
-    long = written(signatures(texts_of(large.select("node")), idf, 1, LONG, "text", shingle_words).select("node", "sample"), "long-samples")
-    columns = ["band", "hash", "n", "node", "part", "sample"]
-    rest = rest_of_buckets(few.select(*columns).union(large.join(long, "node").select(*columns)), threshold)
-    rest = written(rest.join(likely, ["a", "b"], "left_anti"), "rest-likely")
-    if not rest.isEmpty():
-        more = verified(rest, texts_of(rest.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words)
-        named = connected_components(links.union(more))
-    rows_ = signed.drop("bands", "sample").join(named, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    rows_ = written(rows_.drop("component", "node"), "classes")
-    sizes = rows_.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
-    out = rows_.join(sizes, "class", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "t1", "t2", "class")
+
+    def opened(rows_: DataFrame, compared: int) -> DataFrame:
+        """The rows of buckets that have more than one part, but for those of so few nodes that all were compared."""
+        parts = rows_.where(F.col("n") > compared).drop("n").join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        parts = written(parts, "parts")
+        mixed_ = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").drop("p", "q")
+        found = join_apart(parts.drop("bytes"), written(mixed_, "open-buckets"), ["band", "hash"], "n").withColumnRenamed("total", "bytes")
+        return written(found, "open-rows")
+
+    open_ = opened(shared, 2)
+    again = open_.where(F.col("n") > large).select("node").distinct()
+    columns = ["band", "hash", "n", "bytes", "node", "part", "sample"]
+    todo = open_.where(F.col("n") <= large).select(*columns)
+    if not again.isEmpty():
+        deep = signatures(texts_of(again).withColumn("bytes", F.octet_length("text").cast("long")), idf, more_bands, more_rows, "text", shingle_words)
+        deep = written(deep.select("node", "bytes", F.posexplode("bands").alias("band", "hash")), "deep-bands")
+        todo = todo.union(opened(shared_buckets(deep), 1).join(distinct.select("node", "sample"), "node").select(*columns))
+    if not todo.isEmpty():
+        more = written(rest_of_buckets(todo.join(texts_of(todo.select("node")), "node"), idf, threshold, shingle_words), "more-links")
+        part_of = named.select(F.col("node"), F.col("component").alias("part"))
+        ends = more
+        for end in ("a", "b"):  # links between the parts found so far
+            ends = ends.join(part_of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+        joined = connected_components(ends).toDF("component", "whole")
+        both = named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        named = both.union(joined.join(named, joined["component"] == named["node"], "left_anti").select("component", "whole"))
+    of_node = written(distinct.select("node", "least_id", "copies").join(named, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "node-classes")
+    classes = of_node.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    known = join_apart(of_node.select("node", "class", "copies"), written(classes, "classes"), ["class"], "n").select("node", "class", "class_id", "class_size", "copies")
+    out = join_apart(signed.select("doc_id", "t1", "t2", "node"), written(known, "known-nodes"), ["node"], "copies", "left")
+    return out.select(
+        "doc_id", F.when(F.col("class_size") > 1, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "t1", "t2", "class")
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

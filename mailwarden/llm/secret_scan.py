@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
 
 # The kinds of the contract, in its order.
 KINDS = ("assign", "access", "hex")
@@ -167,7 +166,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to the stretch of the text they came from. Null and empty texts have no spans: zeros and empty strings. Repeated
     rows give repeated results. Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = kept.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mailwarden.llm import audio, components, decontamination, near_dedup, quality, surrogates
+from mailwarden.llm import audio, common, components, decontamination, near_dedup, quality, surrogates
 
 SCHEMA = "doc_id long, text string"
 
@@ -87,7 +87,8 @@ def test_large_bucket_links_without_all_pairs(spark):
     assert components.connected_components(links).select("component").distinct().count() == 1
 
 
-def test_near_pairs_among_texts_of_one_template(spark):
+@pytest.mark.parametrize("large", [4096, 64])
+def test_near_pairs_among_texts_of_one_template(spark, large):
     rng = random.Random(8)
     shared = some_words(rng, 255)
     rows = [shared + " " + some_words(rng, 30) for _ in range(900)]  # any two: below 0.8
@@ -107,7 +108,7 @@ def test_near_pairs_among_texts_of_one_template(spark):
     low = np.array([np.minimum(bags[i], bags[900 + i]).sum() / np.maximum(bags[i], bags[900 + i]).sum() for i in range(100)])
     want = {(i, 900 + i) for i in np.flatnonzero(low >= 0.8).tolist()}
     assert len(want) > 50
-    found = near_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(rows)), SCHEMA)).where("class_size > 1").collect()
+    found = near_dedup.near_duplicate_classes(spark.createDataFrame(list(enumerate(rows)), SCHEMA), large=large).where("class_size > 1").collect()
     got = {}
     for r in found:
         got.setdefault(r.class_id, []).append(r.doc_id)
@@ -115,6 +116,15 @@ def test_near_pairs_among_texts_of_one_template(spark):
     assert got <= want and len(got) >= 0.99 * len(want), (len(got & want), len(want))
 
 
+def test_a_very_common_key_is_joined_apart(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(2, 0), (3, 0), (None, 0)], "k long, v long")
+    side = spark.createDataFrame([(1, "a", 3000), (2, "b", 1)], "k long, name string, n long")
+    got = common.join_apart(rows, side, ["k"], "n", "left")
+    assert sorted(map(str, ((r.k, r.name, r["count"]) for r in got.groupBy("k", "name").count().collect()))) == sorted(map(str, [(1, "a", 3000), (2, "b", 1), (3, None, 1), (None, None, 1)]))
+    assert common.join_apart(rows, side, ["k"], "n").count() == 3001
+    assert common.join_apart(rows, side.limit(0), ["k"], "n").count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (52, 51), (60, 60), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
