@@ -52,6 +52,7 @@ class Run:
     first: int  # hash of its first document
     last: int = 0
     n_docs: int = 0
+    led: bool = False  # its first line has gone out
     waiting: list[pa.RecordBatch] = field(default_factory=list)  # lines of fewer than min_docs documents
 
 
@@ -88,11 +89,9 @@ def repeated_lines(index: DataFrame, min_docs: int, keep_first: bool) -> DataFra
             run.waiting.append(rows)
             if run.n_docs >= min_docs:
                 for part in run.waiting:
-                    yield out(part.slice(1) if begins_run(part, run) and keep_first else part, DROP)
-                run.waiting = [run.waiting[0].slice(0, 0)]
-
-        def begins_run(part: pa.RecordBatch, run: Run) -> bool:
-            return part is run.waiting[0] and part.num_rows > 0
+                    yield out(part.slice(1) if keep_first and not run.led else part, DROP)
+                    run.led = True
+                run.waiting = []
 
         def close(run: Run, ends: bool) -> Iterator[pa.RecordBatch]:
             if run.opens or ends:
@@ -104,12 +103,17 @@ def repeated_lines(index: DataFrame, min_docs: int, keep_first: bool) -> DataFra
                 for i, part in enumerate(run.waiting):
                     yield out(part, UNSURE, i == 0)
 
-        doc_type = None
+        doc_type, before = None, None
         for batch in batches:
+            doc_type = batch.column("doc").type
+            line = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "k", "pos")])
+            again = np.concatenate([np.array([before is not None and (line[:, 0] == before).all()] * min(1, batch.num_rows), dtype=bool), (line[:, 1:] == line[:, :-1]).all(axis=0)])
+            if again.any():  # repeated rows of docs: one document
+                line, batch = line[:, ~again], batch.filter(pa.array(~again))
             if not batch.num_rows:
                 continue
-            doc_type = batch.column("doc").type
-            h1, h2, k = (batch.column(c).to_numpy() for c in ("h1", "h2", "k"))
+            h1, h2, k, _ = line
+            before = line[:, -1]
             new_key = np.concatenate([[current is None or current.key != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
             starts = np.flatnonzero(new_key)
             head = int(starts[0]) if len(starts) else batch.num_rows

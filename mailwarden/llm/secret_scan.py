@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import base64
 import binascii
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+ONE_CODE = re.compile(rb"%([0-9A-Fa-f]{2})|" + ESCAPE.pattern.encode())
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE_END = re.compile(r"\r?\n[ \t]*([A-Za-z0-9+/_-]*={0,2})")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+#: Readable stretches of decoded bytes; a shorter one holds no secret and no layer with one.
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+LEVELS = 8  # of URL and Unicode escapes are unwrapped one at a time; what is nested deeper, in one pass
+WINDOW, OVERLAP = 4 << 20, 256 << 10  # inflated data beyond a window is scanned window by window
 
 Span = tuple[str, int, int]
 
@@ -37,6 +45,13 @@ class Layer:
     def __init__(self, text: str, begin: np.ndarray, end: np.ndarray):
         self.text, self.begin, self.end = text, begin, end
 
+    def mark(self) -> bytes:
+        """A hash of the text and its places."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for places in (self.begin, self.end):
+            h.update(np.ascontiguousarray(places[:1] if places.strides == (0,) else places))
+        return h.digest()
+
 
 def scan(text: str) -> list[Span]:
     """The base spans of a text: leftmost, non-overlapping within each kind."""
@@ -85,72 +100,192 @@ def _escapes(layer: Layer) -> list[Layer]:
     return [_replaced(layer, found)] if found else []
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, most)
-        return out if d.eof else None
-    except zlib.error:
-        return None
-
-
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def _all_codes(layer: Layer) -> Layer:
+    """The layer with URL and Unicode escapes decoded until none is left, also those that decoding makes, in one pass.
 
-
-def _base64(layer: Layer, most: int) -> list[Layer]:
-    """A layer for each base64 stretch that holds readable text, or compressed data that does."""
-    out = []
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+    What is decoded takes the place of the last bytes of its code, and the search goes on a little before it, so a
+    nest costs time in proportion to its length. The result has a code point for each byte of UTF-8.
+    """
+    raw = layer.text.encode("utf-8", "surrogatepass")
+    sizes = 1 if len(raw) == len(layer.text) else np.array([len(c.encode("utf-8", "surrogatepass")) for c in layer.text])
+    buf, begin, end = bytearray(raw), np.repeat(layer.begin, sizes), np.repeat(layer.end, sizes)
+    longest = 10  # characters of a code
+    w = r = 0  # buf[:w] is done, buf[r:] is to be searched
+    at = 0  # where to search
+    while m := ONE_CODE.search(buf, max(r, at)):
+        a, b = m.span()
+        code = next(int(g, 10 if i == 6 else 16) for i, g in enumerate(m.groups()) if g is not None)
+        if m[1] is None and (code >= 0x110000 or 0xD800 <= code < 0xE000):
+            at = a + 1
             continue
+        new = bytes([code]) if m[1] is not None else chr(code).encode()
+        first, last = begin[a], end[b - 1]
+        buf[w : w + a - r], begin[w : w + a - r], end[w : w + a - r] = buf[r:a], begin[r:a], end[r:a]
+        w += a - r
+        back = min(w, longest)
+        r = b - len(new) - back
+        buf[r : r + back], begin[r : r + back], end[r : r + back] = buf[w - back : w], begin[w - back : w], end[w - back : w]
+        w -= back
+        buf[b - len(new) : b] = new
+        begin[b - len(new) : b], end[b - len(new) : b] = first, last
+        at = r
+    keep = np.concatenate([np.arange(w), np.arange(r, len(buf))])
+    return Layer((buf[:w] + buf[r:]).decode("latin-1"), begin[keep], end[keep])
+
+
+def _inflated(chunks: Iterator[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """What zlib or gzip data hold, in pieces of `size` bytes at most; gzip members follow one another. Damaged or cut
+    data give what can be read."""
+    d = zlib.decompressobj(47)
+    for chunk in chunks:
+        while chunk:
+            try:
+                out = d.decompress(chunk, size)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            chunk = d.unconsumed_tail
+            if d.eof:
+                chunk = d.unused_data
+                if chunk[:2] not in MAGIC:
+                    return
+                d = zlib.decompressobj(47)
+
+
+def _opened(raw: bytes) -> Iterator[bytes]:
+    """Bytes freed from all compressed layers around them, in windows that overlap; no windows if nothing comes out.
+
+    A level that fits a window is opened whole, however many there are, until one was seen before (data may inflate
+    to themselves). A larger one is read as a stream of pieces, and so is what it holds.
+    """
+    seen: set[bytes] = set()
+    while raw[:2] in MAGIC:
+        mark = hashlib.blake2b(raw, digest_size=16).digest()
+        if mark in seen:
+            return
+        seen.add(mark)
+        stream = _inflated(iter([raw]))
+        held = b""
+        for piece in stream:
+            held += piece
+            if len(held) > WINDOW:
+                yield from _windows(_streamed(held, stream))
+                return
+        if not held:
+            return
+        raw = held
+    yield raw
+
+
+def _streamed(held: bytes, stream: Iterator[bytes]) -> Iterator[bytes]:
+    """The pieces of a stream whose beginning is held already, inflated again while they begin as compressed data do."""
+    def whole(held=held, stream=stream):
+        yield held
+        yield from stream
+
+    pieces, marks = whole(), set()
+    while held[:2] in MAGIC:
+        pieces = _inflated(pieces)
+        held = next(pieces, b"")
+        mark = hashlib.blake2b(held, digest_size=16).digest()
+        if mark in marks:
+            return
+        marks.add(mark)
+
+        def whole(held=held, stream=pieces):
+            yield held
+            yield from stream
+
+        pieces = whole()
+    yield from pieces
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held = b""
+    for piece in pieces:
+        held += piece
+        while len(held) >= WINDOW:
+            yield held[:WINDOW]
+            held = held[WINDOW - OVERLAP :]
+    yield held
+
+
+def _stretches(text: str) -> Iterator[tuple[str, np.ndarray | int]]:
+    """(characters, where they stand): base64 stretches of a text, and those that go over lines of equal length.
+
+    The place is the first one of a stretch without line breaks, else the places of all characters.
+    """
+    body, places, width, reach = "", [], 0, -1
+
+    def lines():
+        return (body, np.concatenate(places)) if len(places) > 1 else None
+
+    for m in BASE64.finditer(text):
+        yield m[0], m.start()
+        if m.start() < reach:
+            continue  # a line of a stretch that is taken already
+        body, places, width, reach = m[0], [np.arange(*m.span())], m.end() - m.start(), m.end()
+        while not body.endswith("=") and (more := LINE_END.match(text, reach)) and 0 < len(more[1].rstrip("=")) <= width:
+            body += more[1]
+            places.append(np.arange(*more.span(1)))
+            reach = more.end()
+            if len(more[1]) < width:
+                break
+        if found := lines():
+            yield found
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    """A layer for each readable part of what base64 stretches hold, or compressed data in them."""
+    for chars, at in _stretches(layer.text):
+        body = chars.rstrip("=").replace("-", "+").replace("_", "/")
+        body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        a, b = int(layer.begin[m.start()]), int(layer.end[m.end() - 1])
-        hops = 0
-        while raw[:2] in MAGIC and hops < 64 and (more := _inflated(raw, most)) is not None:
-            raw, hops = more, hops + 1
-        if (text := _readable(raw)) is None:
+        if raw[:2] in MAGIC:  # each code point comes from the whole stretch
+            n = len(chars) - 1
+            a, b = int(layer.begin[at if isinstance(at, int) else at[0]]), int(layer.end[at + n if isinstance(at, int) else at[n]])
+            for window in _opened(raw):
+                for m in READABLE.finditer(window):
+                    yield Layer(m[0].decode("ascii"), np.broadcast_to(np.int64(a), len(m[0])), np.broadcast_to(np.int64(b), len(m[0])))
             continue
-        if hops:  # compressed: each code point comes from the whole stretch
-            begin, end = np.full(len(text), a, dtype=np.int64), np.full(len(text), b, dtype=np.int64)
-        else:
-            sizes = np.array([len(c.encode()) for c in text], dtype=np.int64)
-            last = np.cumsum(sizes)
-            first, n = last - sizes, len(m[0]) - 1
-            begin = layer.begin[m.start() + np.minimum(first * 4 // 3, n)]
-            end = layer.end[m.start() + np.minimum((last * 4 + 2) // 3 - 1, n)]
-        out.append(Layer(text, begin, end))
-    return out
+        for m in READABLE.finditer(raw):
+            first = np.arange(*m.span(), dtype=np.int64)
+            x, y = first * 4 // 3, np.minimum(((first + 1) * 4 + 2) // 3 - 1, len(body) - 1)
+            x, y = (x + at, y + at) if isinstance(at, int) else (at[x], at[y])
+            yield Layer(m[0].decode("ascii"), layer.begin[x], layer.end[y])
 
 
-def all_spans(text: str, most: int = 1 << 24, base: list[Span] | None = None) -> set[Span]:
+def all_spans(text: str, base: list[Span] | None = None) -> set[Span]:
     """Base spans and those of every layer below, in code points of the text.
 
-    A layer that was seen before, with the same places in the document, isn't entered again, so cycles end. Compressed data beyond `most` bytes isn't
-    unwrapped: this bounds a task's memory against decompression bombs.
+    A worklist holds layers still to be unwrapped. URL and Unicode escapes make a new layer of the whole text, since a
+    secret may stand half in them; base64 and compressed stretches make layers of their own, one for each readable
+    part. A layer that was seen before, with the same places in the document, isn't entered again, so cycles end;
+    of what was seen only hashes are kept. Of compressed data a window is held at a time, so their size has no bound;
+    an encoded stretch that stands across the edge of a window and is longer than the overlap is read up to the edge.
     """
     spans = set(scan(text) if base is None else base)
-    if "%" not in text and "\\" not in text and "&#" not in text and not BASE64.search(text):
-        return spans
     at = np.arange(len(text) + 1, dtype=np.int64)
-    work, seen = [Layer(text, at[:-1], at[1:])], {(text, at[:-1].tobytes(), at[1:].tobytes())}
+    work = [(Layer(text, at[:-1], at[1:]), 0)]
+    seen = {work[0][0].mark()}
     while work:
-        layer = work.pop()
-        below = _percent(layer) + _escapes(layer) + _base64(layer, most)
-        for x in below:
-            key = (x.text, x.begin.tobytes(), x.end.tobytes())
-            if key not in seen and x.text:
+        layer, level = work.pop()
+        if "%" in layer.text or "\\" in layer.text or "&#" in layer.text:
+            if level < LEVELS:
+                below = [(x, level + 1) for x in _percent(layer) + _escapes(layer)]
+            else:
+                below = [(_all_codes(layer), 0)]
+        else:
+            below = []
+        for x, n in chain(below, ((x, 0) for x in _base64(layer))):
+            if x.text and (key := x.mark()) not in seen:
                 seen.add(key)
                 spans.update((k, int(x.begin[a]), int(x.end[b - 1])) for k, a, b in scan(x.text))
-                work.append(x)
+                work.append((x, n))
     return spans
 
 
@@ -159,12 +294,12 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int = 1 << 24) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans): a row for each row of docs.
 
     The counts and `base` are of the spans found in the text itself; `spans` has those of decoded layers too, mapped
-    to the stretch of the text they came from. Null and empty texts have no spans: zeros and empty strings. Repeated
-    rows give repeated results. Other columns are ignored.
+    to the stretch of the text they came from. Null and empty texts have no spans: zeros and empty strings. Very long
+    texts are scanned whole. Repeated rows give repeated results; an empty table gives none. Other columns are ignored.
     """
     kept = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = kept.schema["doc_id"].dataType
@@ -180,7 +315,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in own))
                 base.append(joined(own))
-                every.append(joined(all_spans(text, max_layer_bytes, own)))
+                every.append(joined(all_spans(text, own)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(base, pa.string()), pa.array(every, pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])

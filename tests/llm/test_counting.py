@@ -55,6 +55,39 @@ def test_line_dedup_keeps_the_first(spark, docs):
     assert (3, "") in out
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_repeated_lines_over_any_number_of_tasks(spark, parts):
+    rng = random.Random(parts)
+    rows = [(i, "\n".join(rng.choice(["", " all", "ALL", *"abcdefgh", f"own {i}"]) for _ in range(rng.randrange(30)))) for i in range(120)]
+    rows += rows[:7] + [(i, "all\nall") for i in range(200, 700)] + [(None, "h\nall")]
+    key = lambda x: x.strip().lower()
+    seen, places = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for pos, line in enumerate(t.split("\n")):
+            if key(line):
+                seen.setdefault(key(line), set()).add((i, t))
+                places.setdefault(key(line), []).append((i, t, pos))
+    common = {k for k, v in seen.items() if len(v) >= 100}
+    assert "all" in common
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        for keep_first in (False, True):
+            gone = {p for k in common for p in places[k][keep_first:]}
+            want = Counter((i, t.count("\n") + 1, sum((i, t, p) in gone for p in range(t.count("\n") + 1)), "\n".join(x for p, x in enumerate(t.split("\n")) if (i, t, p) not in gone)) for i, t in rows)
+            out = line_dedup.dedup_lines(df, min_docs=100, keep_first=keep_first).collect()
+            assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_no_second_shuffle_of_lines(spark, docs):
+    index = line_dedup.line_index(docs)
+    plan = line_dedup.repeated_lines(index, 3, False)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan  # what follows the one pass reads its few rows
+
+
 def test_many_lines_have_bitmaps_in_parts(spark):
     n = 20
     docs = spark.createDataFrame([(i, "\n".join(["x", *[f"{i} {j}" for j in range(n)], "x"])) for i in range(4)], "doc_id long, text string")
@@ -93,6 +126,61 @@ def test_layers_are_unwrapped_and_spans_mapped_back(wrap):
     assert all(6 <= a < b <= 6 + len(inner) for _, a, b in spans)
 
 
+def mime(data: bytes, width: int = 76) -> str:
+    x = base64.b64encode(data).decode()
+    return "\r\n".join(x[i : i + width] for i in range(0, len(x), width))
+
+
+@pytest.mark.parametrize("inner", [
+    base64.b64encode(gzip.compress(b" " * (17 << 20) + SECRET.encode() + b" " * (5 << 20))).decode(),  # behind 17 MB of padding
+    base64.b64encode(gzip.compress(gzip.compress(b"\n" * (9 << 20) + SECRET.encode()))).decode(),
+    base64.b64encode(b"\x00\x01\xff" + SECRET.encode() + b"\xfe\x00").decode(),  # among other bytes
+    base64.b64encode(gzip.compress(b"first member, nothing here") + gzip.compress(SECRET.encode())).decode(),
+    base64.b64encode(gzip.compress(SECRET.encode() * 50)).decode()[:-20],  # cut off
+    mime(b"a long text goes before it " * 10 + SECRET.encode()), mime(gzip.compress(bytes(random.Random(1).randrange(256) for _ in range(300)) + SECRET.encode()))])
+def test_nothing_is_cut(inner):
+    text = f"see {inner} end"
+    found = [s for s in secret_scan.all_spans(text) if s[0] == "assign"]
+    assert found and all(4 <= a < b <= 4 + len(inner) for _, a, b in found)
+
+
+def test_many_compressed_levels():
+    raw = SECRET.encode()
+    for _ in range(200):
+        raw = zlib.compress(raw)
+    assert any(k == "assign" for k, _, _ in secret_scan.all_spans("x " + base64.b64encode(raw).decode()))
+
+
+@pytest.mark.parametrize("nest", [lambda n: "%" + "25" * n + "3Dhunter2hunter2", lambda n: "\\" + "u005c" * n + "u003dhunter2hunter2", lambda n: "&" + "#38;" * n + "#61;hunter2hunter2", lambda n: "%5cu0025" * 2 + "%" + "5cu0025" * n + "3Dhunter2hunter2"])
+def test_deep_nests_take_time_in_proportion(nest):
+    import time
+
+    begin = time.time()
+    text = "ü password" + nest(1 << 17)
+    found = [s for s in secret_scan.all_spans(text) if s[0] == "assign"]
+    assert time.time() - begin < 20
+    assert any(a == 2 and b == len(text) for _, a, b in found) or "%5c" in text
+
+
+def test_all_codes_as_one_at_a_time():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["%", "25", "41", "2", "5", "\\", "u0025", "x41", "u", "&#", "37;", "x26;", "é", "z"]) for _ in range(30))
+        at = secret_scan.np.arange(len(text) + 1)
+        layer, before = secret_scan.Layer(text, at[:-1], at[1:]), None
+        got = secret_scan._all_codes(layer)
+        assert len(got.text) == len(got.begin) == len(got.end) and (got.begin < got.end).all()
+        assert not any(m[1] is not None for m in secret_scan.ONE_CODE.finditer(got.text.encode("latin-1")))
+        if "%" not in text.replace("%25", ""):
+            continue
+        while before != layer.text:  # in whatever order codes are decoded, plain ones end alike
+            before = layer.text
+            for x in secret_scan._percent(layer):
+                layer = x
+        if not re.search(r"\\|&#", text) and layer.text.isascii():
+            assert got.text == layer.text
+
+
 def test_cycles_end():
     assert secret_scan.all_spans("%25" * 50 + "%2525252541") is not None
 
