@@ -6,8 +6,8 @@ intersecting offset-adjusted lists, from a phrase's rarest term on; proximity se
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,53 +29,44 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(SPLIT).split()
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: DataFrame | None = None, segment_bytes: int = 4 << 20) -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4 << 20) -> DataFrame:
     """Store the postings of docs: (segment, term, n, positions, ids, sizes), written to the shared folder.
 
     positions are differences of int32 word positions in the segment, where one position stays free after each
     document. The row of term '' lists the segment's documents: their ids and, in `sizes`, their numbers of words.
-    With a vocabulary (a frame with a column `term`, broadcast to the tasks, so of checked size) other terms have no
-    postings. Every row of docs is a document of its own; null and empty texts have no words.
+    Every row of docs is a document of its own; null and empty texts have no words.
     """
     id_type = docs.schema[id_col].dataType
-    known = None
-    if vocabulary is not None:
-        known = docs.sparkSession.sparkContext.broadcast([r.term.encode() for r in vocabulary.select("term").collect()])
     schema = T.StructType([
         T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()),
         T.StructField("positions", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = {w: i for i, w in enumerate(known.value)} if known is not None else None
         number = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, "text", segment_bytes):
-            ids_type = pa.list_(batch.column("id").type)
-            ids: dict[bytes, int] = {} if fixed is None else fixed
+            ids: defaultdict[bytes, int] = defaultdict()
+            ids.default_factory = ids.__len__
             sizes, found = [], []
             for text in texts(batch, "text"):
                 ws = words(text)
                 sizes.append(len(ws))
-                if fixed is None:
-                    for w in ws:
-                        ids.setdefault(w, len(ids))
-                found.append(np.fromiter(map(ids.get, ws, repeat(-1)), dtype=np.int32, count=len(ws)))
+                found.append(np.fromiter(map(ids.__getitem__, ws), dtype=np.int32, count=len(ws)))
                 found.append(np.array([-1], dtype=np.int32))
             term = np.concatenate(found)
             at = np.flatnonzero(term >= 0).astype(np.int32)
             order = at[np.argsort(term[at], kind="stable")]
-            here, begin = np.unique(term[order], return_index=True)
-            edges = [*begin, len(order)]  # one more than there are terms
-            names = list(ids)
-            lists = [np.diff(order[a:b], prepend=np.int32(0)).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            k = len(here) + 1
+            edges = np.concatenate([np.searchsorted(term[order], np.arange(len(ids))), [len(order)]]).astype(np.int32)
+            steps = np.diff(order, prepend=np.int32(0))
+            steps[edges[:-1]] = order[edges[:-1]]  # each term's list begins anew
+            spelled = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            k = len(ids)
             yield pa.RecordBatch.from_arrays([
-                pa.array([number] * k, pa.int64()),
-                pa.array(["", *(names[i].decode() for i in here)], pa.string()),
-                pa.array([batch.num_rows, *(int(b - a) for a, b in zip(edges, edges[1:], strict=False))], pa.int64()),
-                pa.array([b"", *lists], pa.binary()),
-                pa.array([batch.column("id").to_pylist(), *[None] * (k - 1)], ids_type),
-                pa.array([np.array(sizes, dtype=np.int64).tobytes(), *[None] * (k - 1)], pa.binary()),
-            ], names=["segment", "term", "n", "positions", "ids", "sizes"])
+                pa.array([number], pa.int64()), pa.array([""]), pa.array([batch.num_rows], pa.int64()), pa.array([b""], pa.binary()),
+                pa.array([batch.column("id").to_pylist()], pa.list_(batch.column("id").type)), pa.array([np.array(sizes, dtype=np.int64).tobytes()], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(k, number, dtype=np.int64)), pa.StringArray.from_buffers(k, pa.py_buffer(spelled), pa.py_buffer(b"".join(ids))), pa.array(np.diff(edges).astype(np.int64)),
+                pa.BinaryArray.from_buffers(pa.binary(), k, [None, pa.py_buffer(edges * np.int32(4)), pa.py_buffer(steps)]),
+                pa.nulls(k, pa.list_(batch.column("id").type)), pa.nulls(k, pa.binary())], names=schema.names)
             number += 1
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -208,11 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     without items nothing is hit; equal items all count.
     """
     wanted = phrases(items, item_col, item_text_col, n)
-    terms = written(wanted.select(F.explode("terms").alias("term")).distinct(), "terms")
-    size = terms.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
-    # Test terms of checked size restrict the postings to those that can be looked up; beyond it, all are stored.
-    index = build_index(docs, id_col, text_col, terms if size <= 32 << 20 else None)
-    found = search(index, wanted)
+    found = search(build_index(docs, id_col, text_col), wanted)
     n_hit = covered("hits")
     out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
