@@ -1,5 +1,6 @@
 """Near-dedup, decontamination, quality, surrogates and audio against plain Python; the pipeline from end to end."""
 
+import math
 import random
 import re
 
@@ -184,12 +185,55 @@ def test_quality_learns_and_ignores_ids(spark):
     held = [r for r in out if r.quality is not None and __import__("zlib").crc32(str(r.doc_id).encode()) % 3 == 1]
     assert np.mean([(r._score >= 0.5) == (r.quality == 1) for r in held]) > 0.95
     assert quality.score(df.limit(0), model).count() == 0
-    one = quality.train(df, df.where("quality = 1").select("doc_id", "quality"))
-    assert 0.5 <= one.prior <= 1 and one.scores(np.zeros((2, quality.N_FEATURES))).shape == (2,)
+    assert 0.55 < model.prior < 0.8  # two thirds, though no label 0 is learned from
+    without = quality.train(df.select("doc_id", "text"), df.where("quality = 1").select("doc_id", "quality"))
+    assert without.prior == model.prior and np.allclose(without.w1, model.w1)
+    twice = df.select("doc_id", "quality").union(df.where("doc_id = 1").selectExpr("doc_id", "0"))
+    assert quality.train(df.select("doc_id", "text"), twice).prior <= 1
     assert quality.train(df, df.limit(0).select("doc_id", "quality")).prior == 0.5
     assert quality.accepted(df, model).columns == df.columns
 
 
+def test_pu_risk_and_its_gradient():
+    rng = np.random.default_rng(5)
+    for prior, shift in ((0.3, 0.0), (0.8, 2.0), (0.8, -2.0)):
+        gp, gu = rng.normal(size=7), rng.normal(size=9) + shift
+        plain = prior * np.mean([1 / (1 + math.exp(g)) for g in gp]) + max(0, np.mean([1 / (1 + math.exp(-g)) for g in gu]) - prior * np.mean([1 / (1 + math.exp(-g)) for g in gp]))
+        assert quality.pu_risk(gp, gu, prior) == pytest.approx(plain)
+        dp, du = quality.pu_steps(gp, gu, prior)
+        part = lambda a, b: quality.sigmoid(b).mean() - prior * quality.sigmoid(a).mean()  # noqa: E731, B023
+        if part(gp, gu) >= 0:
+            goal = lambda a, b: quality.pu_risk(a, b, prior)  # noqa: E731, B023
+        else:
+            goal = lambda a, b: -part(a, b)  # noqa: E731, B023
+        for x, d, at in ((gp, dp, 0), (gu, du, 1)):
+            for i in range(len(x)):
+                up, down = x.copy(), x.copy()
+                up[i] += 1e-6
+                down[i] -= 1e-6
+                sides = [(up, gu), (down, gu)] if at == 0 else [(gp, up), (gp, down)]
+                assert d[i] == pytest.approx((goal(*sides[0]) - goal(*sides[1])) / 2e-6, abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_without_negatives(prior):
+    rng = np.random.default_rng(6)
+    positive, negative = rng.normal(1.5, 1, (3000, 6)), rng.normal(-1.5, 1, (3000, 6))
+    unlabelled = np.where(rng.random(3000)[:, None] < prior, rng.normal(1.5, 1, (3000, 6)), negative)
+    assert abs(quality.estimated_prior(positive, unlabelled) - prior) < 0.08
+    model = quality.fit_nnpu(positive, unlabelled, prior)
+    assert (model.scores(rng.normal(1.5, 1, (500, 6))) >= 0.5).mean() > 0.95 and (model.scores(negative) < 0.5).mean() > 0.95
+
+
+def test_quality_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = quality.score(docs.where(quality.remainder(F.col("doc_id"), 3) == 1), model).join(labels, "doc_id").select("score", "quality").collect()
+    ones, zeros = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in ones for b in zeros]) > 0.95
+
+
 def test_surrogates_are_consistent_and_distinct(spark):
     rows = [
         (1, "Write to Anna.Lee@mail.example.com or +1 (614) 555-8001, card 4111 1111 1111 1111, from 10.1.2.3."), (2, "anna.lee@MAIL.example.com and +1 614 555 8001 and 4111-1111-1111-1111, SSN 078-05-1120"),
