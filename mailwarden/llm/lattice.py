@@ -3,8 +3,9 @@ and a forward recursion in log space sums them to the text's marginal probabilit
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,37 +31,103 @@ class Lattice:
 
     def __init__(self, scores: dict[str, float], byte_scores: list[float]):
         self.byte_scores = byte_scores
+        self.longest = max(map(len, scores), default=1)
         # Pieces' scores, and None for strings that only begin pieces: a search along a text ends at others.
         self.arcs: dict[str, float | None] = {piece[:k]: None for piece in scores for k in range(1, len(piece))}
         self.arcs.update(scores)
         self.by_bytes: dict[str, float] = {}
 
+    def spelled(self, c: str) -> float:
+        """The score of a character's byte pieces."""
+        s = self.by_bytes.get(c)
+        if s is None:
+            s = sum(self.byte_scores[b] for b in c.encode())
+            if len(self.by_bytes) < 10_000:
+                self.by_bytes[c] = s
+        return s
+
     def log_prob(self, text: str) -> float:
         """log of the summed probability of all segmentations of a text into pieces, by forward recursion."""
-        arcs, by_bytes, n, exp = self.arcs, self.by_bytes, len(text), math.exp
-        into: list[list[float]] = [[] for _ in range(n + 1)]
+        arcs, n, exp = self.arcs, len(text), math.exp
+        into: deque[list[float]] = deque([] for _ in range(self.longest + 1))  # terms of the positions from the present one on
         alpha = 0.0
         for i in range(n):
-            c = text[i]
-            s = by_bytes.get(c)
-            if s is None:
-                s = sum(self.byte_scores[b] for b in c.encode())
-                if len(by_bytes) < 10_000:
-                    by_bytes[c] = s
-            into[i + 1].append(alpha + s)
+            into.popleft()
+            into.append([])
+            into[0].append(alpha + self.spelled(text[i]))
             for j in range(i + 1, n + 1):
                 s = arcs.get(text[i:j], 0.0)
                 if s is not None:
                     if s == 0.0:
                         break
-                    into[j].append(alpha + s)
-            terms = into[i + 1]
-            into[i] = []
+                    into[j - i - 1].append(alpha + s)
+            terms = into[0]
             top = max(terms)
             alpha = top if len(terms) == 1 else top + math.log(sum([exp(t - top) for t in terms]))
         return alpha
 
 
+class Expectation:
+    """Expected uses of pieces over all segmentations, by forward and backward sums.
+
+    All segmentations of a text cover the same characters, so probabilities are taken relative to those of single
+    characters: the path of single characters weighs 1, and nothing under- or overflows within PART characters.
+    Longer texts are taken in such parts.
+    """
+
+    PART = 64
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.weights: dict[str, float | None] = {p: None if s is None or len(p) == 1 else math.exp(min(600.0, s - sum(map(self.single, p)))) for p, s in lattice.arcs.items()}
+        self.pieces: Counter = Counter()
+        self.characters: Counter = Counter()
+
+    def single(self, c: str) -> float:
+        """log of the probability of a character by its bytes or its own piece."""
+        by_bytes, own = self.lattice.spelled(c), self.lattice.arcs.get(c)
+        return by_bytes if own is None else own + math.log1p(math.exp(by_bytes - own))
+
+    def add(self, whole: str, times: float) -> None:
+        get, pieces, characters = self.weights.get, self.pieces, self.characters
+        for at in range(0, len(whole), self.PART):
+            text = whole[at : at + self.PART]
+            n = len(text)
+            alpha, beta, rows = [1.0] + [0.0] * n, [0.0] * n + [1.0], []
+            for i in range(n):
+                a, row = alpha[i], []
+                alpha[i + 1] += a
+                if text[i] in self.weights:
+                    for j in range(i + 2, n + 1):
+                        w = get(text[i:j], 0.0)
+                        if w is not None:
+                            if w == 0.0:
+                                break
+                            alpha[j] += a * w
+                            row.append((j, w))
+                rows.append(row)
+            share = times / alpha[n]
+            for i in range(n - 1, -1, -1):
+                b, a = beta[i + 1], alpha[i] * share
+                characters[text[i]] += a * b
+                for j, w in rows[i]:
+                    b += w * beta[j]
+                    pieces[text[i:j]] += a * w * beta[j]
+                beta[i] = b
+
+    def uses(self) -> dict[str, float]:
+        """By piece; byte pieces by names like those of the vocabulary."""
+        found = dict(self.pieces)
+        for c, n in self.characters.items():
+            own = self.lattice.arcs.get(c)
+            share = 0.0 if own is None else math.exp(own - self.single(c))
+            if share:
+                found[c] = found.get(c, 0.0) + n * share
+            for b in c.encode():
+                found[f"<0x{b:02X}>"] = found.get(f"<0x{b:02X}>", 0.0) + n * (1 - share)
+        return found
+
+
 def word_counts(docs: DataFrame, fold: str = "held_out", text_col: str = "text", most: int = 200_000) -> DataFrame:
     """(word, n, n_train): how often each word occurs in all rows and in those whose `fold` is false.
 
@@ -93,60 +160,76 @@ def word_counts(docs: DataFrame, fold: str = "held_out", text_col: str = "text",
     return kept.mapInArrow(run, schema).groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def piece_counts(counts: DataFrame, vocabulary: str, discount: float) -> dict[int, float]:
-    """Expected uses of each piece of the vocabulary, by id, where each distinct training word is spelled `discount` times."""
-    schema = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("uses", T.LongType())])
+def expected_uses(counts: DataFrame, model) -> dict[str, float]:
+    """Expected uses of each piece in the training words (word, n_train), over all their segmentations."""
+    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("uses", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(vocabulary))
-        uses: Counter = Counter()
+        expected = Expectation(Lattice(*model.value))
         for batch in batches:
-            for ids in sp.encode(batch.column("word").to_pylist(), num_threads=1):
-                uses.update(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(list(uses), pa.int32()), pa.array(uses.values(), pa.int64())], names=["piece", "uses"])
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n_train").to_pylist(), strict=True):
+                expected.add(MARK + word, n)
+        found = expected.uses()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(found.values(), pa.float64())], names=["piece", "uses"])
 
-    summed = counts.where("n_train > 0").select("word").mapInArrow(run, schema).groupBy("piece").agg(F.sum("uses").alias("uses"))
-    return {r.piece: r.uses * discount for r in summed.collect()}  # a row for each piece of the vocabulary at most
+    summed = counts.where("n_train > 0").select("word", "n_train").mapInArrow(run, schema).groupBy("piece").agg(F.sum("uses").alias("uses"))
+    return {r.piece: r.uses for r in summed.collect()}  # a row for each piece of the vocabulary at most
 
 
-def unigram_scores(pieces: list[tuple[str, int, bool]], uses: dict[int, float], spelled: float, smoothing: float = 0.1) -> tuple[dict[str, float], list[float], float]:
-    """Natural-log scores of pieces, of bytes, and of a spelled word's end.
+def vocabulary_scores(pieces: list[tuple[str, float, bool]], offset: int = 10) -> dict[str, float]:
+    """A probability for each piece from its score in the vocabulary.
 
-    pieces: (surface, id, whether it is a byte piece). The pieces by their uses plus smoothing, and the end by
-    `spelled`, the number of words spelled, have probability 1 together.
+    The given vocabulary's scores are ranks of merges, not logarithms of probabilities: only their order counts. The
+    piece of rank r, byte pieces last, gets a share in proportion to 1 / (r + offset), as frequencies of words go by rank.
     """
-    total = max(spelled, smoothing) + sum(uses.get(i, 0.0) + smoothing for _, i, _ in pieces)
-    byte_scores = [math.log(smoothing / total)] * 256
+    order = sorted(pieces, key=lambda x: (x[2], -x[1], x[0]))
+    shares = {surface: 1 / (rank + offset) for rank, (surface, _, _) in enumerate(order)}
+    total = sum(shares.values())
+    return {surface: share / total for surface, share in shares.items()}
+
+
+def unigram_scores(prior: dict[str, float], uses: dict[str, float], ends: float, strength: float = 3_000.0) -> tuple[dict[str, float], list[float], float]:
+    """Natural-log scores of pieces, of bytes, and of a text's end, with probability 1 together: uses and `strength`
+    uses more that go by the prior."""
+    total = sum(uses.get(p, 0.0) for p in prior) + strength + max(ends, 0.5)
+    byte_scores = [0.0] * 256
     scores: dict[str, float] = {}
-    for surface, i, is_byte in pieces:
-        log = math.log((uses.get(i, 0.0) + smoothing) / total)
-        if is_byte:
+    for surface, share in prior.items():
+        log = math.log((uses.get(surface, 0.0) + strength * share) / total)
+        if is_byte(surface):
             byte_scores[int(surface[3:5], 16)] = log
         else:
             scores[surface] = log
-    return scores, byte_scores, math.log(max(spelled, smoothing) / total)
+    return scores, byte_scores, math.log(max(ends, 0.5) / total)
+
 
+def is_byte(surface: str) -> bool:
+    return len(surface) == 6 and surface.startswith("<0x") and surface.endswith(">")
 
-def vocabulary_pieces(vocabulary: str) -> list[tuple[str, int, bool]]:
-    """(surface, id, is byte) of a .model vocabulary, without its control and unknown entries."""
+
+def vocabulary_pieces(vocabulary: str) -> list[tuple[str, float, bool]]:
+    """(surface, score, is byte) of a .model vocabulary, without its control and unknown entries."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(vocabulary))
-    n = sp.get_piece_size()
-    return [(sp.id_to_piece(i), i, sp.is_byte(i)) for i in range(n) if not sp.is_control(i) and not sp.is_unknown(i)]
+    return [(sp.id_to_piece(i), sp.get_score(i), sp.is_byte(i)) for i in range(sp.get_piece_size()) if not sp.is_control(i) and not sp.is_unknown(i)]
+
+
+def short_key(word: bytes) -> bytes:
+    """A word, or for one of over 64 bytes a hash of it that is no word."""
+    return word if len(word) <= 64 else b" " + hashlib.blake2b(word, digest_size=20).hexdigest().encode()
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, vocabulary: str = "piece_bpe_32k.model", discount: float = 0.75, head_words: int = 100_000) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2, vocabulary: str = "piece_bpe_32k.model", head_words: int = 100_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs.
 
-    The lattice has the pieces of an existing vocabulary and the training words; all scores come from training rows
-    alone, those outside the held-out fold. A word of count c has the arc (c - discount) / N as a whole; the mass that
-    is taken off all words goes to spelling: that mass times the sum over all segmentations into pieces, and a word's
-    end. A text's probability is the product over its words (no piece spans two words), and of the end: log10 in
-    `score`. All texts' probabilities add up to 1 at most. `base_score` is the add-one unigram score over words and one end.
-    A null or empty text is the end alone. Repeated rows are repeated in the result and in the counts.
+    The lattice has the pieces of an existing vocabulary. Their probabilities begin as its scores have them
+    (vocabulary_scores) and are estimated anew from the training rows, those outside the held-out fold: by the expected
+    uses of each piece over all segmentations of the training words. A text's probability is the sum over all its
+    segmentations, from a forward recursion in log space; no piece spans two words, so it is the product over its
+    words, and of the end: log10 in `score`. All texts' probabilities add up to 1 at most. `base_score` is the add-one
+    unigram score over words and one end. A null or empty text is the end alone. Repeated rows are repeated in the
+    result and in the counts; an empty table gives no rows.
 
     Each distinct word is scored once. The most frequent head_words of them go to the tasks by broadcast; a document's
     other words meet their scores in a join.
@@ -156,32 +239,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = kept.where("NOT held_out").count()
     sums = counts.agg(F.sum("n_train").alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
     n, v = (sums.n or 0) + ends, (sums.v or 0) + (ends > 0)
-    uses = piece_counts(counts, vocabulary, discount)
     # Of the size of the given vocabulary, whatever the corpus.
-    pieces = vocabulary_pieces(vocabulary)
-    scores, byte_scores, stop = unigram_scores(pieces, uses, discount * (sums.v or 0))
-    total = n + 1e-9 if n else 1.0
-    spell = math.log(max(discount * (sums.v or 0), 0.5) / total) + stop
-    end_log = math.log(max(ends, 0.5) / total)
+    prior = vocabulary_scores(vocabulary_pieces(vocabulary))
+    first = docs.sparkSession.sparkContext.broadcast(unigram_scores(prior, {}, 1.0)[:2])
+    scores, byte_scores, end_log = unigram_scores(prior, expected_uses(counts, first), ends)
     model = docs.sparkSession.sparkContext.broadcast((scores, byte_scores))
-    word_schema = T.StructType([*counts.schema.fields, T.StructField("log10_p", T.DoubleType())])
+    word_schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("n_train", T.LongType()), T.StructField("log10_p", T.DoubleType())])
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for batch in batches:
-            out = []
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("n_train").to_pylist(), strict=True):
-                spelled = spell + lattice.log_prob(MARK + word)
-                if c > 0:
-                    as_whole = math.log((c - discount) / total)
-                    top = max(spelled, as_whole)
-                    spelled = top + math.log(math.exp(spelled - top) + math.exp(as_whole - top))
-                out.append(spelled / LOG10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "log10_p"])
+            words_ = batch.column("word").to_pylist()
+            keys = [short_key(w.encode()) for w in words_]
+            out = [lattice.log_prob(MARK + w) / LOG10 for w in words_]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).cast(pa.string()), batch.column("n"), batch.column("n_train"), pa.array(out, pa.float64())], names=word_schema.names)
 
     scored = written(counts.mapInArrow(score_words, word_schema), "word-scores")
-    # head_words rows of a word and two numbers, at most.
-    head = scored.where(F.octet_length("word") <= 64).orderBy(F.desc("n"), "word").limit(head_words)
+    # head_words rows of a word of 64 bytes at most and two numbers.
+    head = scored.orderBy(F.desc("n"), "word").limit(head_words)
     table = head.select("word", "n_train", "log10_p").toArrow()
     spread = math.log10(n + v + 1)
     known = docs.sparkSession.sparkContext.broadcast(dict(zip(
@@ -196,7 +271,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in blocks(batches, "text", 2 << 20):
             rows = []
             for text in texts(batch, "text"):
-                ws = words(text)
+                ws = list(map(short_key, words(text)))
                 found = [f for f in map(get, ws) if f is not None]
                 rare = [w.decode() for w in ws if w not in facts] if len(found) < len(ws) else []
                 found.append(end)

@@ -212,6 +212,44 @@ def test_lattice_sums_all_segmentations():
         assert lat.log_prob(text) == pytest.approx(math.log(every(text)))
 
 
+def test_expected_uses_against_all_segmentations():
+    pieces = {"▁": -3.0, "a": -2.5, "▁a": -1.0, "▁ab": -2.0, "b": -1.5, "c": -0.7, "bc": -2.2, "abc": -4.0}
+    lat = lattice.Lattice(pieces, [-6.0] * 256)
+
+    def every(text):
+        if not text:
+            yield 1.0, ()
+            return
+        for p, s in pieces.items():
+            if text.startswith(p):
+                yield from ((math.exp(s) * x, (p, *rest)) for x, rest in every(text[len(p):]))
+        own = tuple(f"<0x{b:02X}>" for b in text[0].encode())
+        yield from ((math.exp(-6.0 * len(own)) * x, (*own, *rest)) for x, rest in every(text[1:]))
+
+    expected, want = lattice.Expectation(lat), Counter()
+    for text, times in (("▁abc", 3), ("▁abcbc", 1), ("▁zéa", 2)):
+        expected.add(text, times)
+        ways = list(every(text))
+        total = sum(x for x, _ in ways)
+        for x, used in ways:
+            for p in used:
+                want[p] += times * x / total
+    got = expected.uses()
+    assert {p for p, n in want.items() if n > 1e-9} <= set(got)
+    assert all(got.get(p, 0.0) == pytest.approx(n) for p, n in want.items())
+
+
+def test_vocabulary_scores_keep_their_order_and_sum_to_one():
+    pieces = lattice.vocabulary_pieces("piece_bpe_32k.model")
+    prior = lattice.vocabulary_scores(pieces)
+    assert sum(prior.values()) == pytest.approx(1) and len(prior) == len(pieces)
+    plain = sorted((x for x in pieces if not x[2]), key=lambda x: -x[1])
+    assert prior[plain[0][0]] > prior[plain[100][0]] > prior[plain[-1][0]]
+    scores, by_bytes, end = lattice.unigram_scores(prior, {plain[5][0]: 50.0}, 7)
+    assert sum(map(math.exp, [*scores.values(), *by_bytes, end])) == pytest.approx(1)
+    assert lattice.Expectation(lattice.Lattice(scores, by_bytes)).add("▁" + "x" * 5000 + "😀" * 300, 1) is None
+
+
 def test_lattice_scores_and_base_against_brute_force(spark, docs, none):
     out = lattice.score_documents(docs, head_words=3).collect()
     toks = {}
@@ -228,6 +266,9 @@ def test_lattice_scores_and_base_against_brute_force(spark, docs, none):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.held_out, round(r.base_score, 6)) for r in out) == want
     assert all(r.train_tokens == n and r.score < 0 and math.isfinite(r.score) for r in out)
     assert lattice.score_documents(none).count() == 0
+    one = next(r for r in out if r.doc_id == 4)  # the end alone
+    two = next(r for r in out if r.doc_id == 2)
+    assert two.score < one.score < 0
 
 
 def test_mix_reaches_targets_and_repeats(spark, docs, none):
