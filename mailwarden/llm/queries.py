@@ -24,7 +24,7 @@ def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

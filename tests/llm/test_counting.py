@@ -10,6 +10,7 @@ from collections import Counter
 from urllib.parse import quote
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailwarden.llm import lattice, line_dedup, mixing, secret_scan, token_counts
 
@@ -315,6 +316,31 @@ def test_slots_permute_a_source(spark):
     a = Counter(r["index"] for r in rows if r.source_no == 0)
     assert set(a.values()) == {2} and len(a) == 100
     assert len(rows) == 201
+    assert [r["index"] for r in sorted(rows, key=lambda r: r.slot) if r.source_no == 0 and r.epoch == 0] != [r["index"] for r in sorted(rows, key=lambda r: r.slot) if r.source_no == 0 and r.epoch == 1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000, 4099])
+def test_permutations(spark, n):
+    x = spark.range(n).select("id", F.lit(n).cast("long").alias("n"))
+    got = [r.y for r in x.select("id", mixing.permuted(F.col("id"), F.col("n"), F.lit(1)).alias("y")).orderBy("id").collect()]
+    assert sorted(got) == list(range(n))
+    if n > 100:
+        assert got != [r.y for r in x.select("id", mixing.permuted(F.col("id"), F.col("n"), F.lit(2)).alias("y")).orderBy("id").collect()]
+        steps = Counter((b - a) % n for a, b in zip(got, got[1:], strict=False))
+        assert max(steps.values()) < 20 and sum(a == i for i, a in enumerate(got)) < 10
+
+
+def test_shard_counts_are_multinomial_and_number_the_slots(spark):
+    targets = spark.createDataFrame([("a", 0, 64_000, 128_000.0), ("b", 1, 64_000, 32_000.0)], "source string, source_no int, source_size long, target double")
+    counts = mixing.shard_counts(targets, block=16, shard_words=2_000).collect()
+    for no, total in ((0, 8000), (1, 2000)):
+        own = sorted((r.shard, r.slot_start, r.n) for r in counts if r.source_no == no)
+        assert sum(n for _, _, n in own) == total
+        assert [s for _, s, _ in own] == [sum(n for _, _, n in own[:i]) for i in range(len(own))]
+        mean = total / 80
+        assert 0.6 < sum((n - mean) ** 2 / mean for _, _, n in own) / 79 < 1.5  # chi square of equal shares
+    slots = mixing.draw(targets, block=16, shard_words=2_000).groupBy("source_no", "shard").count().collect()
+    assert {(r.source_no, r.shard, r["count"]) for r in slots} == {(r.source_no, r.shard, r.n) for r in counts}
 
 
 def test_repeated_encoded_secrets_each_have_a_span():
