@@ -231,9 +231,34 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, text_col: str = "tex
 
 
 def shared_buckets(banded: DataFrame) -> DataFrame:
-    """The rows (band, hash, node, ...) whose bucket has more than one node, with `n`, the nodes in it."""
-    counts = banded.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    return written(join_apart(banded, written(counts, "bucket-sizes"), ["band", "hash"], "n"), "bucket-rows")
+    """The rows (band, hash, node) whose bucket has more than one node, with `n`, the nodes in it.
+
+    Most buckets have one node. They fall out of range-partitioned and sorted rows, in one pass; only the first and
+    the last row of a task stay whatever their neighbours are.
+    """
+
+    def not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shared = None, True  # the last row so far, and whether it stays
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            band, h = batch.column("band").to_numpy(), batch.column("hash").to_numpy()
+            same = (band[1:] == band[:-1]) & (h[1:] == h[:-1])
+            joins = held is not None and (held.column("band")[0].as_py(), held.column("hash")[0].as_py()) == (band[0], h[0])
+            if held is not None and (shared or joins):
+                yield held
+            keep = np.concatenate([[joins or held is None], same]) | np.concatenate([same, [False]])
+            held, shared = batch.slice(batch.num_rows - 1), bool(keep[-1])
+            yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
+        if held is not None:
+            yield held
+
+    n = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["band", "hash", "node"]
+    rows = banded.select(*order)
+    some = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(not_alone, rows.schema), "shared-rows")
+    counts = some.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    return written(join_apart(some, written(counts, "bucket-sizes"), ["band", "hash"], "n"), "bucket-rows")
 
 
 def bucket_links(rows: DataFrame, least: float = 0.0) -> DataFrame:
@@ -244,14 +269,18 @@ def bucket_links(rows: DataFrame, least: float = 0.0) -> DataFrame:
     before it, where their samples (strings of 16-bit values) agree in a share of `least` or more; the firsts of a bucket that spans tasks are
     paired with the least of them. `run` numbers stretches of RUN partners of one first, so that they can be dealt to several tasks.
     """
-    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("run", T.IntegerType())])
+    kind = rows.schema["node"].dataType
+    schema = T.StructType([T.StructField("band", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("a", kind), T.StructField("b", kind), T.StructField("run", T.IntegerType())])
 
     def alike(x: bytes, y: bytes) -> bool:
         return least <= 0 or float((np.frombuffer(x, dtype=np.uint16) == np.frombuffer(y, dtype=np.uint16)).mean()) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, last, begun, at = None, None, None, 0, 0
+        kinds: tuple = ()
         for batch in batches:
+            own = batch.column("node").type
+            kinds = (pa.int32(), pa.int64(), own, own, pa.int32())
             out: list[tuple] = []
             for k, h, node, sample in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "node", "sample")), strict=True):
                 if (k, h) != key:
@@ -266,9 +295,9 @@ def bucket_links(rows: DataFrame, least: float = 0.0) -> DataFrame:
                         out.append((k, h, last[0], node, 0))
                     last = (node, sample)
             cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=schema.names)
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([first[0]], pa.binary()), pa.array([None], pa.binary()), pa.array([0], pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, first[0], None, 0), kinds, strict=True)], names=schema.names)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "hash", "sample", "node"]
@@ -295,15 +324,22 @@ def probable(rows: DataFrame, nodes: DataFrame, bits: int = 25) -> DataFrame:
     return both.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).drop("part", "map")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, idf, threshold: float, size: int = 5) -> DataFrame:
-    """The pairs (a, b) of pairs (a, b, run) whose texts, from nodes (node, text), have a weighted Jaccard similarity of
-    the threshold or more.
+def dealt_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (a, run, b, payload) for pairs (a, b, run): in each run the row of `a` itself, its b null, comes first and
+    those of its partners after it, all in one task. nodes are (node, payload).
 
-    The text of `a` goes once to each run of its partners, which a task then reads one after another.
+    So what `a` carries goes once to each run of its partners, not with each of them.
     """
-    heads = pairs.select("a", "run").distinct().join(nodes.toDF("a", "text"), "a").select("a", "run", F.lit(None).cast("binary").alias("b"), "text")
-    partners = pairs.join(nodes.toDF("b", "text"), "b").select("a", "run", "b", "text")
-    dealt = heads.union(partners).repartition("a", "run").sortWithinPartitions("a", "run", "b")
+    own, carried = nodes.columns
+    empty = F.lit(None).cast(pairs.schema["b"].dataType).alias("b")
+    heads = pairs.select("a", "run").distinct().join(nodes.toDF("a", carried), "a").select("a", "run", empty, carried)
+    partners = pairs.join(nodes.toDF("b", carried), "b").select("a", "run", "b", carried)
+    return heads.union(partners).repartition("a", "run").sortWithinPartitions("a", "run", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, idf, threshold: float, size: int = 5) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, run) whose texts, from nodes (node, text), have a weighted Jaccard similarity of
+    the threshold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, table = Shingler(size), idf.value
@@ -319,7 +355,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, idf, threshold: float, size: in
                     keep.append(bool(bags.similarity(head, [i])[0] >= threshold - 1e-12))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return dealt.mapInArrow(run, T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
+    return dealt_pairs(pairs, nodes).mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
 class Bags:
@@ -351,13 +387,12 @@ def least_agreement(threshold: float, k: int) -> float:
     return max(0.0, threshold - 4 * (threshold * (1 - threshold) / k) ** 0.5)
 
 
-def linked(node: list[bytes], part: np.ndarray, sample: np.ndarray, left: np.ndarray, right: np.ndarray, bags: Bags, threshold: float) -> list[tuple[bytes, bytes]]:
+def linked(node: list, part: np.ndarray, sample: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, links) -> list[tuple]:
     """Links that join the parts of some nodes: each node of `left` is compared with those of `right` that are of another part.
 
-    Candidates agree often enough by their samples; the likeliest are verified first, and a link makes two parts one,
-    so there are fewer links than nodes.
+    Candidates agree in a share `least` of their samples; links(p, others) tells which of them node p is linked to. The
+    likeliest are asked first, and a link makes two parts one, so there are fewer links than nodes.
     """
-    least = least_agreement(threshold, sample.shape[1])
     part, out = part.copy(), []
     for p in left.tolist():
         others = right[part[right] != part[p]]
@@ -365,10 +400,9 @@ def linked(node: list[bytes], part: np.ndarray, sample: np.ndarray, left: np.nda
             continue
         agree = (sample[others] == sample[p]).mean(axis=1)
         others = others[np.argsort(-agree, kind="stable")][: int((agree >= least).sum())]
-        head = bags.one(p) if len(others) else None
         while len(others):
             some, others = others[:32], others[32:]
-            for q in some[bags.similarity(head, some) >= threshold - 1e-12].tolist():
+            for q in some[links(p, some)].tolist():
                 if part[q] != part[p]:
                     out.append((node[p], node[q]))
                     part[part == part[q]] = part[p]
@@ -376,33 +410,74 @@ def linked(node: list[bytes], part: np.ndarray, sample: np.ndarray, left: np.nda
     return out
 
 
-def rest_of_buckets(rows: DataFrame, idf, threshold: float, size: int = 5, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+def rest_of_buckets(rows: DataFrame, least: float, linker, block: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
     """Links (a, b) between a bucket's nodes that are of different parts: rows are (band, hash, n, bytes, node, part,
-    sample, text), n and bytes the bucket's number of nodes and size of texts.
+    sample, payload), n and bytes the bucket's number of nodes and size of payloads. linker(payloads) gives the
+    function that tells links apart (see linked).
 
-    Every pair of parts that has a link gets one, directly or over others. A bucket of more nodes or bytes than a
+    Every two parts that a link joins get one, directly or over others. A bucket of more nodes or bytes than a
     block is cut, and each pair of blocks is a group of its own, so no task has to hold a bucket.
     """
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    kind, carried = rows.schema["node"].dataType, rows.columns[-1]
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def compare(group: pa.Table) -> pa.Table:
         node, own = group.column("node").to_pylist(), group.column("own").to_numpy()
-        _, part = np.unique(np.array([p.hex() for p in group.column("part").to_pylist()]), return_inverse=True)
+        _, part = np.unique(np.array(list(map(str, group.column("part").to_pylist()))), return_inverse=True)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple] = []
         if part.max() > 0:
             sample = np.frombuffer(b"".join(group.column("sample").to_pylist()), dtype=np.uint16).reshape(len(node), -1)
-            bags = Bags(Shingler(size), idf.value, [t.encode() for t in group.column("text").to_pylist()])
-            out = linked(node, part, sample, np.flatnonzero(own == i), np.flatnonzero(own == j), bags, threshold)
-        return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+            out = linked(node, part, sample, np.flatnonzero(own == i), np.flatnonzero(own == j), least, linker(group.column(carried).cast(pa.binary()).to_pylist()))
+        return pa.table({c: pa.array([x[k] for x in out], group.schema.field("node").type) for k, c in enumerate("ab")})
 
     n_blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / block_bytes, F.lit(1)))
     cut = rows.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))))
-    cut = cut.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "sample", "text")
+    cut = cut.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "sample", carried)
     return cut.groupBy("band", "hash", "i", "j").applyInArrow(compare, schema)
 
 
+def open_buckets(rows: DataFrame, named: DataFrame, compared: int = 2) -> DataFrame:
+    """The rows (band, hash, n, node, bytes, ...) of buckets that have more than one part, but for those of so few nodes
+    that all were compared; n and bytes are then the bucket's, `part` the node's component or itself."""
+    parts = rows.where(F.col("n") > compared).drop("n").join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    parts = written(parts, "parts")
+    some = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").drop("p", "q")
+    found = join_apart(parts.drop("bytes"), written(some, "open-buckets"), ["band", "hash"], "n").withColumnRenamed("total", "bytes")
+    return written(found, "open-rows")
+
+
+def joined_parts(named: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) when more links (a, b) come to components found before."""
+    part_of = named.select(F.col("node"), F.col("component").alias("part"))
+    for end in ("a", "b"):
+        more = more.join(part_of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
+    joined = connected_components(more).toDF("component", "whole")
+    both = named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return both.union(joined.join(named, joined["component"] == named["node"], "left_anti").select("component", "whole"))
+
+
+def with_classes(rows: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (doc_id, node, ...) with class, class_id and class_size; nodes are (node, least_id, copies). Rows without a
+    node are classes of their own. Copies and classes with many rows are joined apart."""
+    of_node = written(nodes.join(named, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "node-classes")
+    classes = of_node.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    known = join_apart(of_node.select("node", "class", "copies"), written(classes, "classes"), ["class"], "n").select("node", "class", "class_id", "class_size", "copies")
+    out = join_apart(rows, written(known, "known-nodes"), ["node"], "copies", "left").drop("copies", "node")
+    return out.withColumn("class_id", F.when(F.col("class_size") > 1, F.col("class_id")).otherwise(F.col("doc_id"))).withColumn("class_size", F.coalesce("class_size", F.lit(1)).cast("long"))
+
+
+def bag_linker(idf, threshold: float, size: int):
+    """For rest_of_buckets: texts link at the threshold of weighted Jaccard similarity."""
+
+    def linker(all_texts: list[bytes]):
+        bags = Bags(Shingler(size), idf.value, all_texts)
+        return lambda p, others: bags.similarity(bags.one(p), others) >= threshold - 1e-12
+
+    return linker
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 14, rows: int = 4, shingle_words: int = 5, large: int = 4096, more_bands: int = 100, more_rows: int = 12) -> DataFrame:
     """(doc_id, class_id, class_size, t1, t2, class): a row for each row of docs.
 
@@ -432,50 +507,31 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = signed.where("node IS NOT NULL").groupBy("node").agg(
         F.first("bands").alias("bands"), F.first("sample").alias("sample"), F.first("bytes").alias("bytes"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     distinct = written(distinct, "nodes")
-    shared = shared_buckets(distinct.select("node", "sample", "bytes", F.posexplode("bands").alias("band", "hash")))
+    facts = distinct.select("node", "sample", "bytes")
+    shared = written(shared_buckets(distinct.select("node", F.posexplode("bands").alias("band", "hash"))).join(facts, "node"), "shared")
     by_node = kept.select(node.alias("node"), "text")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = written(nodes.distinct(), "wanted-nodes")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        wanted = written(wanted.distinct(), "wanted-nodes")
         # An inner join: Spark would move a semi-join below the bitmap's, and shuffle all texts for it.
         return written(probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    likely = written(bucket_links(shared, least_agreement(threshold, bands * rows)), "likely")
+    least = least_agreement(threshold, bands * rows)
+    likely = written(bucket_links(shared, least), "likely")
     links = written(verified(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words), "links")
     named = connected_components(links)
-
-    def opened(rows_: DataFrame, compared: int) -> DataFrame:
-        """The rows of buckets that have more than one part, but for those of so few nodes that all were compared."""
-        parts = rows_.where(F.col("n") > compared).drop("n").join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        parts = written(parts, "parts")
-        mixed_ = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").drop("p", "q")
-        found = join_apart(parts.drop("bytes"), written(mixed_, "open-buckets"), ["band", "hash"], "n").withColumnRenamed("total", "bytes")
-        return written(found, "open-rows")
-
-    open_ = opened(shared, 2)
+    open_ = open_buckets(shared, named)
     again = open_.where(F.col("n") > large).select("node").distinct()
     columns = ["band", "hash", "n", "bytes", "node", "part", "sample"]
     todo = open_.where(F.col("n") <= large).select(*columns)
     if not again.isEmpty():
-        deep = signatures(texts_of(again).withColumn("bytes", F.octet_length("text").cast("long")), idf, more_bands, more_rows, "text", shingle_words)
-        deep = written(deep.select("node", "bytes", F.posexplode("bands").alias("band", "hash")), "deep-bands")
-        todo = todo.union(opened(shared_buckets(deep), 1).join(distinct.select("node", "sample"), "node").select(*columns))
+        deep = signatures(texts_of(again), idf, more_bands, more_rows, "text", shingle_words)
+        deep = shared_buckets(deep.select("node", F.posexplode("bands").alias("band", "hash"))).join(facts, "node")
+        todo = todo.union(open_buckets(deep, named, 1).select(*columns))
     if not todo.isEmpty():
-        more = written(rest_of_buckets(todo.join(texts_of(todo.select("node")), "node"), idf, threshold, shingle_words), "more-links")
-        part_of = named.select(F.col("node"), F.col("component").alias("part"))
-        ends = more
-        for end in ("a", "b"):  # links between the parts found so far
-            ends = ends.join(part_of.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("part", end)).drop("part")
-        joined = connected_components(ends).toDF("component", "whole")
-        both = named.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
-        named = both.union(joined.join(named, joined["component"] == named["node"], "left_anti").select("component", "whole"))
-    of_node = written(distinct.select("node", "least_id", "copies").join(named, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "node-classes")
-    classes = of_node.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
-    known = join_apart(of_node.select("node", "class", "copies"), written(classes, "classes"), ["class"], "n").select("node", "class", "class_id", "class_size", "copies")
-    out = join_apart(signed.select("doc_id", "t1", "t2", "node"), written(known, "known-nodes"), ["node"], "copies", "left")
-    return out.select(
-        "doc_id", F.when(F.col("class_size") > 1, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "t1", "t2", "class")
+        more = rest_of_buckets(todo.join(texts_of(todo.select("node")), "node").select(*columns, "text"), least, bag_linker(idf, threshold, shingle_words))
+        named = joined_parts(named, written(more, "more-links"))
+    return with_classes(signed.select("doc_id", "t1", "t2", "node"), distinct.select("node", "least_id", "copies"), named).select("doc_id", "class_id", "class_size", "t1", "t2", "class")
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -62,9 +62,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables have no sound, so each document's bytes are read as a recording: 8-bit PCM samples."""
+    """The given tables have no sound, so each document's bytes are read as a recording: 8-bit PCM samples.
+
+    These recordings are short, a second or less, and so are the frames.
+    """
     recordings = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
-    found = recording_classes(recordings)
+    found = recording_classes(recordings, frame=128, hop=64)
     return found.select("doc_id", "class_id", "class_size", "n_codes", F.sha2("codes", 256).alias("codes_sha256"))
 
 

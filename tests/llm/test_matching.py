@@ -270,17 +270,75 @@ def test_recordings_align(spark):
     a, b = tone(16_384), tone(16_384)
     rows = [(1, a), (2, a), (3, bytes(a[1024:])), (4, a[:-2000]), (5, b), (6, None), (7, b""), (8, b"short"), (8, b"short"), (None, b)]
     df = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in rows], "doc_id long, audio binary")
-    got = {(r.doc_id, r.class_id, r.class_size) for r in audio.recording_classes(df.withColumn("codes", F.lit(1))).collect()}
+    got = {(r.doc_id, r.class_id, r.class_size) for r in audio.recording_classes(df.withColumn("codes", F.lit(1)), frame=128, hop=64).collect()}
     assert got == {(1, 1, 4), (2, 1, 4), (3, 1, 4), (4, 1, 4), (5, 5, 2), (None, 5, 2), (6, 6, 1), (7, 7, 1), (8, 8, 2)}
-    shift, wrong, n = audio.align(audio.fingerprint(a), audio.fingerprint(a[1024:]))
+    shift, wrong, n = audio.align(audio.fingerprint(a, 128, 64), audio.fingerprint(a[1024:], 128, 64))
     assert (shift, wrong) == (-16, 0.0) and n > 100
     assert audio.align(audio.fingerprint(a), audio.fingerprint(b))[1] > 0.1
     assert audio.recording_classes(df.limit(0)).count() == 0
 
 
-def test_repetition_uses_the_correlation():
-    a = np.tile(np.arange(4, dtype=np.uint32), 3000)
-    assert audio.align(a, a)[1] == 0.0
+def test_offset_votes_against_direct_counts():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (9, 20), (40, 13)):
+        a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) for k in (n, m))
+        b[: min(n, m)] = a[: min(n, m)] ^ np.uint32(1)
+        want = []
+        for o in range(1 - n, m):
+            lo, hi = max(0, -o), min(n, m - o)
+            want.append(32 * (hi - lo) - int(np.bitwise_count(a[lo:hi] ^ b[lo + o : hi + o]).sum()))
+        assert audio.offset_votes(a, b).tolist() == want
+    loop = np.tile(np.arange(4, dtype=np.uint32), 30_000)
+    assert audio.align(loop, loop)[:2] == (0, 0.0)
+
+
+def test_filters_against_direct_sums():
+    rng = np.random.default_rng(7)
+    data = rng.integers(0, 256, 3000).astype(np.uint8).tobytes()
+    frames = audio.chroma(np.frombuffer(data, dtype=np.uint8), 128, 64)
+    around = np.hstack([frames, frames])
+    codes = audio.fingerprint(data, 128, 64)
+    assert len(codes) == len(frames) - audio.WIDTH + 1
+    for t in (0, 5, len(codes) - 1):
+        want = 0
+        for kind, y, height, width in audio.filters():
+            box = lambda t0, t1, p0, p1, t=t: around[t + t0 : t + t1, p0:p1].sum()
+            a, b, h2, w2, h3, w3 = y, y + height, y + height // 2, width // 2, max(1, height // 3), max(1, width // 3)
+            middle_p, middle_t = box(0, width, a + h3, max(a + h3 + 1, b - h3)), box(w3, max(w3 + 1, width - w3), a, b)
+            one, two = [(box(0, width, a, b), box(0, width, b, min(24, b + height))), (box(0, width, a, h2), box(0, width, h2, b)), (box(0, w2, a, b), box(w2, width, a, b)),
+                        (box(0, w2, a, h2) + box(w2, width, h2, b), box(0, w2, h2, b) + box(w2, width, a, h2)), (box(0, width, a, b) - middle_p, middle_p), (box(0, width, a, b) - middle_t, middle_t)][kind]
+            level = sum(math.log((1 + one) / (1 + two)) > x for x in (-0.1, 0, 0.1))
+            want = want << 2 | (level ^ level >> 1)
+        assert int(codes[t]) == want
+
+
+@pytest.mark.parametrize("noise", [2, 5, 10, 20])
+def test_noisy_copies_are_candidates(noise):
+    rng = np.random.default_rng(noise)
+    masks, found = audio.band_masks(64, 12), []
+    while len(found) < 60:
+        x = (np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.9], 16).repeat(256))) + 1) * 110 + 17
+        y = np.clip(x + rng.normal(0, noise, len(x)), 0, 255)
+        a, b = (audio.fingerprint(z.astype(np.uint8).tobytes(), 128, 64) for z in (x, y))
+        if audio.align(a, b)[1] <= 0.1:
+            found.append(int((audio.band_hashes(a, masks) == audio.band_hashes(b, masks)).sum()) >= 2)
+    assert np.mean(found) >= 0.95
+
+
+def test_noisy_recordings_are_in_the_classes_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    tones = [(np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.9], 16).repeat(256))) + 1) * 110 + 17 for _ in range(25)]
+    rows = [(i, np.clip(tones[i % 25] + rng.normal(0, [0, 4, 8][i // 25], 4096), 0, 255).astype(np.uint8).tobytes()) for i in range(75)]
+    codes = [audio.fingerprint(x, 128, 64) for _, x in rows]
+    group = list(range(75))
+    for i in range(75):
+        for j in range(i):
+            if audio.align(codes[i], codes[j])[1] <= 0.1:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    got = {r.doc_id: r.class_id for r in audio.recording_classes(spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "doc_id long, audio binary"), frame=128, hop=64).collect()}
+    pairs = [(i, j) for i in range(75) for j in range(i) if group[i] == group[j]]
+    assert all(group[i] == group[j] for i in range(75) for j in range(i) if got[i] == got[j])
+    assert np.mean([got[i] == got[j] for i, j in pairs]) >= 0.95
 
 
 def test_pipeline_runs_and_each_stage_decides(spark):
