@@ -259,11 +259,53 @@ def test_surrogates_are_consistent_and_distinct(spark):
 
 
 def test_colliding_surrogates_are_drawn_again(spark):
-    ents = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(60)], "kind string, value string")
+    ents = spark.createDataFrame([("ssn", f"{i:02d}", 1) for i in range(60)], "kind string, value string, n long")
     got = surrogates.assign(ents.where("value < '30'"), "k").collect()
     assert len(got) == 30 and len({r.surrogate for r in got}) == 30 and not {r.surrogate for r in got} & {r.value for r in got}
 
 
+def test_names_never_run_out(spark):
+    few = {("latin", "f"): ["Anna"]}
+    ents = spark.createDataFrame([("name", f"Anna X{i}", 1) for i in range(9000)] + [("email", f"{c}@b.com", 1) for c in "abcdefghijklmnopqrstuvwxyz"], "kind string, value string, n long")
+    got = surrogates.assign(ents, "k", few).collect()
+    assert len(got) == 9026 and len({(r.kind, r.surrogate) for r in got}) == 9026
+    with pytest.raises(ValueError):
+        surrogates.assign(spark.createDataFrame([("ssn", str(i), 1) for i in range(10)], "kind string, value string, n long"), "k", vain=3)
+
+
+def test_surrogates_against_plain_python(spark):
+    import regex
+
+    rng = random.Random(9)
+    people = [f"{rng.choice(rng.choice(list(surrogates.NAMES.values())))} {rng.choice(['Lopez', 'Brown', 'Петров', 'Παππά', 'Smith'])}" for _ in range(12)]
+    pool = [*people, *(p.upper() for p in people), *(p.split()[1] for p in people), "Lopezian", "a.b@mail.org", "A.B@MAIL.org", "10.20.30.40", "4111 1111 1111 1111", "4111-1111-1111-1112", "078-05-1120", "+1 614 555 8001", "(614) 555-8001", "plain", "words.", "12", "é"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for i in range(150)] + [(150, None), (151, "")]
+    pattern = regex.compile(surrogates.entity_pattern(surrogates.NAMES))
+    out = {r.doc_id: r for r in surrogates.replace_pii(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    full = lambda m: regex.sub(r"[^0-9]", "", m) if regex.search(r"[0-9]", m) else m.lower()
+    new_of, old_of = {}, {}
+    for i, t in rows:
+        if not t:
+            assert out[i].text == t and out[i].n_entities == 0
+            continue
+        old, new = ([m[0] for m in pattern.finditer(x)] for x in (t, out[i].text))
+        assert len(old) == len(new) == out[i].n_entities
+        for a, b in zip(old, new, strict=True):
+            kind = "@" if "@" in a else "digit" if regex.search("[0-9]", a) else "name"
+            assert new_of.setdefault((kind, full(a)), full(b)) == full(b) != full(a)
+            assert old_of.setdefault((kind, full(b)), full(a)) == full(a)
+            assert kind == "@" or regex.sub("[0-9]", "0", a) == regex.sub("[0-9]", "0", b) or kind == "name" or "." in a
+            assert kind != "name" or (a == a.upper()) == (b == b.upper())
+        families = {}
+        for a, b in zip(old, new, strict=True):
+            if not regex.search("[0-9@]", a):
+                families.setdefault(a.split()[1].lower(), b.split()[1].lower())
+        want = []
+        for part in pattern.split(t):
+            want.append(regex.sub(r"(?<![\p{L}\p{M}])\p{L}+(?![\p{L}\p{M}])", lambda m: families.get(m[0].lower(), m[0].lower()) if m[0][0].isupper() and (m[0][1:].islower() or m[0].isupper()) else m[0].lower(), part).lower())
+        assert [x.lower() for x in pattern.split(out[i].text)] == want
+
+
 def test_recordings_align(spark):
     rng = np.random.default_rng(4)
     tone = lambda n: ((np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.9], n // 256).repeat(256))) + 1) * 127).astype(np.uint8).tobytes()
