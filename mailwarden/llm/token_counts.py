@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,17 @@ SPACE, OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Pieces between safe cuts. A cut is safe where white space follows another character: no token of a byte-level BPE
 #: with the usual pre-tokenizer spans such a place, and special strings hold no white space.
 PIECES = re.compile(rf"{SPACE}*{OTHER}+|{SPACE}+")
+#: Within long pieces, between an ASCII letter and a digit: pre-tokenizers never join them, and special strings have no digits.
+INNER_CUT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+LONG_PIECE = 4096
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut at safe places."""
+    found = PIECES.findall(text)
+    if len(text) > LONG_PIECE and max(map(len, found)) > LONG_PIECE:
+        found = [y for x in found for y in (INNER_CUT.split(x) if len(x) > LONG_PIECE else (x,))]
+    return found
 
 
 def vocabulary_path(name: str) -> str:
@@ -34,7 +46,9 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
 
     Texts are cut at all safe places, so their counts add up. The library gets the pieces whose counts a task doesn't
     know yet, in batches balanced by bytes, whatever the number and length of rows; a task keeps the counts of about
-    kept_pieces pieces, then begins anew. A stretch without white space stays whole. Texts for .model vocabularies,
+    kept_pieces pieces, then begins anew. Long stretches without white space are cut between letters and digits;
+    what has neither, as a long Chinese text, is one piece to the tokenizer too. Repeated rows get equal counts; an
+    empty table gives no rows. Texts for .model vocabularies,
     which treat white space in another way, are encoded whole.
     """
     (out_col,) = fresh(docs, out_col)
@@ -52,7 +66,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
             tok.no_padding()
             encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
             lengths = lambda xs: [len(e) for e in encode(xs, add_special_tokens=False)]
-            cut = PIECES.findall
+            cut = pieces
         else:
             import sentencepiece
 
@@ -66,7 +80,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
             size = 0
             for x in new:
                 part.append(x)
-                size += len(x)
+                size += len(x.encode())
                 if size >= batch_bytes:
                     known.update(zip(part, lengths(part), strict=True))
                     part, size = [], 0
@@ -85,10 +99,10 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = "byt
                 if len(known) > kept_pieces:
                     known.clear()
 
-            for value in batch.column(text):
-                t = value.as_py() or ""
-                waiting.append(cut(t))
-                size += len(t)
+            sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
+            for value, n_bytes in zip(batch.column(text), sizes, strict=True):
+                waiting.append(cut(value.as_py() or ""))
+                size += n_bytes
                 if size >= batch_bytes:
                     settle()
                     size = 0

@@ -101,7 +101,7 @@ def test_token_counts_match_the_library(spark, docs, none):
     tok = Tokenizer.from_file(token_counts.vocabulary_path("byte_bpe_50k.json"))
     rng = random.Random(1)
     odd = ["".join(rng.choice(["a", "B", "é", "1", "!", "'s", " ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "<|endoftext|>", "中", "\u0301"]) for _ in range(60)) for _ in range(200)]
-    more = spark.createDataFrame([(8, "a<|endoftext|> b  \n\n  c't 123" * 50, "x"), *[(9, t, "y") for t in odd]], SCHEMA)
+    more = spark.createDataFrame([(8, "a<|endoftext|> b  \n\n  c't 123" * 50, "x"), (8, "".join(rng.choice("aZ09+/='") for _ in range(9000)), "x"), (8, "文字" * 4000, "x"), *[(9, t, "y") for t in odd]], SCHEMA)
     out = token_counts.token_counts(docs.union(more).withColumn("n_tokens", docs.doc_id), batch_bytes=1000, kept_pieces=50)
     for r in out.collect():
         assert r._n_tokens == len(tok.encode(r.text or "", add_special_tokens=False)), r.text
