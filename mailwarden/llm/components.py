@@ -5,27 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_apart, written
+from .common import written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b); a component is named by its least node.
 
     Each round links nodes to the least one around, first from larger neighbours, then from smaller ones, until nothing
-    changes: about log(n) rounds of two shuffles of the edges. Each round is written to the shared folder; nodes with very
-    many neighbours are joined apart from the others. Edges with a null end, and loops, are ignored; repeated edges count
-    once. Without edges there are no rows.
+    changes: about log(n) rounds of two shuffles of the edges. Each round is written to the shared folder. A node with very
+    many neighbours is one row on one side of the joins, so Spark splits its other side. Edges with a null end, and
+    loops, are ignored; repeated edges count once. Without edges there are no rows.
     """
     now = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(now, "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = join_apart(both, written(least, "least"), ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a != b").distinct(), "large-star")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-        small = join_apart(large, least, ["a"], "n")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a != b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
         small = small.select("b", "m").union(least.select("a", "m")).toDF("a", "b").where("a != b").distinct()
         now = written(small, "edges")
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -231,7 +231,7 @@ def signatures(docs: DataFrame, idf, bands: int, rows: int, text_col: str = "tex
 
 
 def shared_buckets(banded: DataFrame) -> DataFrame:
-    """The rows (band, hash, node) whose bucket has more than one node, with `n`, the nodes in it.
+    """The rows (band, hash, node, ...) whose bucket has more than one node.
 
     Most buckets have one node. They fall out of range-partitioned and sorted rows, in one pass; only the first and
     the last row of a task stay whatever their neighbours are.
@@ -255,10 +255,8 @@ def shared_buckets(banded: DataFrame) -> DataFrame:
 
     n = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "hash", "node"]
-    rows = banded.select(*order)
-    some = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(not_alone, rows.schema), "shared-rows")
-    counts = some.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    return written(join_apart(some, written(counts, "bucket-sizes"), ["band", "hash"], "n"), "bucket-rows")
+    rows = banded.select(*order, *(c for c in banded.columns if c not in order))
+    return written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(not_alone, rows.schema), "shared-rows")
 
 
 def bucket_links(rows: DataFrame, least: float = 0.0) -> DataFrame:
@@ -439,11 +437,11 @@ def rest_of_buckets(rows: DataFrame, least: float, linker, block: int = 1024, bl
 
 
 def open_buckets(rows: DataFrame, named: DataFrame, compared: int = 2) -> DataFrame:
-    """The rows (band, hash, n, node, bytes, ...) of buckets that have more than one part, but for those of so few nodes
+    """The rows (band, hash, node, bytes, ...) of buckets that have more than one part, but for those of so few nodes
     that all were compared; n and bytes are then the bucket's, `part` the node's component or itself."""
-    parts = rows.where(F.col("n") > compared).drop("n").join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    parts = rows.join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     parts = written(parts, "parts")
-    some = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").drop("p", "q")
+    some = parts.groupBy("band", "hash").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.min("part").alias("p"), F.max("part").alias("q")).where((F.col("p") != F.col("q")) & (F.col("n") > compared)).drop("p", "q")
     found = join_apart(parts.drop("bytes"), written(some, "open-buckets"), ["band", "hash"], "n").withColumnRenamed("total", "bytes")
     return written(found, "open-rows")
 
@@ -507,8 +505,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     distinct = signed.where("node IS NOT NULL").groupBy("node").agg(
         F.first("bands").alias("bands"), F.first("sample").alias("sample"), F.first("bytes").alias("bytes"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     distinct = written(distinct, "nodes")
-    facts = distinct.select("node", "sample", "bytes")
-    shared = written(shared_buckets(distinct.select("node", F.posexplode("bands").alias("band", "hash"))).join(facts, "node"), "shared")
+    samples_ = distinct.select("node", "sample")
+    shared = shared_buckets(distinct.select("node", "bytes", F.posexplode("bands").alias("band", "hash")))
     by_node = kept.select(node.alias("node"), "text")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
@@ -517,19 +515,20 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return written(probable(by_node, wanted).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     least = least_agreement(threshold, bands * rows)
-    likely = written(bucket_links(shared, least), "likely")
-    links = written(verified(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("node"))), idf, threshold, shingle_words), "links")
+    likely = written(bucket_links(shared.join(samples_, "node"), least), "likely")
+    found_texts = texts_of(shared.select("node"))
+    links = written(verified(likely, found_texts, idf, threshold, shingle_words), "links")
     named = connected_components(links)
     open_ = open_buckets(shared, named)
     again = open_.where(F.col("n") > large).select("node").distinct()
-    columns = ["band", "hash", "n", "bytes", "node", "part", "sample"]
+    columns = ["band", "hash", "n", "bytes", "node", "part"]
     todo = open_.where(F.col("n") <= large).select(*columns)
     if not again.isEmpty():
-        deep = signatures(texts_of(again), idf, more_bands, more_rows, "text", shingle_words)
-        deep = shared_buckets(deep.select("node", F.posexplode("bands").alias("band", "hash"))).join(facts, "node")
+        deep = signatures(found_texts.join(again, "node").withColumn("bytes", F.octet_length("text").cast("long")), idf, more_bands, more_rows, "text", shingle_words)
+        deep = shared_buckets(deep.select("node", "bytes", F.posexplode("bands").alias("band", "hash")))
         todo = todo.union(open_buckets(deep, named, 1).select(*columns))
     if not todo.isEmpty():
-        more = rest_of_buckets(todo.join(texts_of(todo.select("node")), "node").select(*columns, "text"), least, bag_linker(idf, threshold, shingle_words))
+        more = rest_of_buckets(todo.join(samples_, "node").join(found_texts, "node").select(*columns, "sample", "text"), least, bag_linker(idf, threshold, shingle_words))
         named = joined_parts(named, written(more, "more-links"))
     return with_classes(signed.select("doc_id", "t1", "t2", "node"), distinct.select("node", "least_id", "copies"), named).select("doc_id", "class_id", "class_size", "t1", "t2", "class")
 

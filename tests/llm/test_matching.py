@@ -357,7 +357,7 @@ def test_filters_against_direct_sums():
 @pytest.mark.parametrize("noise", [2, 5, 10, 20])
 def test_noisy_copies_are_candidates(noise):
     rng = np.random.default_rng(noise)
-    masks, found = audio.band_masks(64, 12), []
+    masks, found = audio.band_masks(40, 11), []
     while len(found) < 60:
         x = (np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.9], 16).repeat(256))) + 1) * 110 + 17
         y = np.clip(x + rng.normal(0, noise, len(x)), 0, 255)
