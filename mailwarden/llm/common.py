@@ -41,6 +41,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches of texts have no more than so many rows, for this session.
+
+    Spark bounds a batch's bytes too, at 64 MB; two workers and the JVM that hold such batches at once take too much of a small executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def join_apart(rows: DataFrame, side: DataFrame, keys: list[str], count: str, how: str = "inner", share: int = 1000) -> DataFrame:
     """rows joined (inner or left) with side, which has one row for each key, and in `count` how many of the rows have it.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, content_key, fresh, join_apart, texts, written
+from .common import blocks, bounded_batches, content_key, fresh, join_apart, texts, written
 from .components import connected_components
 from .decontamination import SPLIT
 
@@ -494,6 +494,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     banded anew by more samples, more_rows for each of more_bands (a pair at the threshold escapes with 0.0008), and
     those smaller buckets are opened instead.
     """
+    bounded_batches(docs.sparkSession)
     t1, t2 = content_key(F.col(text_col))
     kept = docs.select(F.col(id_col).alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text_col).alias("text"))
     counts, n = word_frequencies(kept)

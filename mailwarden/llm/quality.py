@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, content_key, fresh, texts
+from .common import LOWER, bounded_batches, content_key, fresh, texts
 
 N_FORM, N_GRAMS = 20, 256
 N_FEATURES = N_FORM + N_GRAMS
@@ -65,6 +65,7 @@ def form(text: bytes) -> list[float]:
 
 def feature_rows(df: DataFrame, text_col: str = "text", out: str = "x") -> DataFrame:
     """df without its text column, with an array of features instead. Null texts count as empty."""
+    bounded_batches(df.sparkSession)
     (text,) = fresh(df, "text_in")
     rest = [c for c in df.columns if c != text_col]
     (out,) = fresh(df.select(*rest) if rest else df, out)
@@ -213,6 +214,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     Repeated rows get equal scores; an empty table gives none. `out` gets underscores before it where docs has such a column.
     """
+    bounded_batches(docs.sparkSession)
     (out,) = fresh(docs, out)
     (text,) = fresh(docs, "text_in")
     names = [*docs.columns, out]
