@@ -19,7 +19,6 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 
-
 # The kinds of the contract, in its order.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
