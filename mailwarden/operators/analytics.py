@@ -10,18 +10,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import at_rank, running_counts
+
 BUCKET_EDGES = (0.2, 0.4, 0.6, 0.8)
 
 
 def recent(log: DataFrame, hours: float, as_of: dt.datetime | None = None) -> DataFrame:
-    """Rows of the last `hours`, floored, 1 to 8760. The limit is a literal, so scans can skip files by it."""
+    """Rows of the last `hours`, floored, 1 to 8760. The limit is a literal, so scans can skip files by it.
+
+    A log with a `date` (see append_validations) is also limited by that, so whole folders are skipped; its newest time
+    is looked for in its newest day alone.
+    """
     hours = math.floor(abs(hours))
     if not 1 <= hours <= 8760:
         raise ValueError("hours must be between 1 and 8760")
-    as_of = as_of or log.agg(F.max("timestamp")).first()[0]
+    dated = dict(log.dtypes).get("date") == "date"
+    if as_of is None:
+        newest = log
+        if dated:
+            day = log.agg(F.max("date")).first()[0]
+            newest = log.where(F.col("date") == F.lit(day))
+        as_of = newest.agg(F.max("timestamp")).first()[0]
     if as_of is None:
         return log.limit(0)
-    return log.where(F.col("timestamp") >= F.lit(as_of - dt.timedelta(hours=hours)))
+    since = F.lit(as_of - dt.timedelta(hours=hours))
+    return log.where((F.col("timestamp") >= since) & (F.col("date") >= F.to_date(since)) if dated else F.col("timestamp") >= since)
 
 
 def bucket(score: Column, names: tuple[str, ...] = ("very_low", "low", "medium", "high", "very_high"), edges: tuple[float, ...] = BUCKET_EDGES) -> Column:
@@ -252,14 +265,9 @@ def recent_validations(log: DataFrame, hours: float = 24, as_of=None) -> DataFra
 
 
 def latency_percentiles(log: DataFrame, hours: float = 1, as_of=None, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """The latency of row floor(p * n) in order of latency, counted from 1; null where that is row 0.
-
-    Rows are counted by latency first, so the ordered running sum goes over distinct latencies, not rows.
-    """
-    counts = recent(log, hours, as_of).where("latency IS NOT NULL").groupBy("latency").agg(F.count("*").alias("n"))
-    run = counts.select("latency", F.sum("n").over(W.orderBy("latency")).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
+    """The latency of row floor(p * n) in order of latency, counted from 1; null where that is row 0."""
     at = lambda p: F.floor(F.lit(p) * F.col("total"))
-    return run.agg(*[F.min(F.when((F.col("upto") >= at(p)) & (at(p) >= 1), F.col("latency"))).alias(f"p{round(p * 100)}") for p in shares])
+    return running_counts(recent(log, hours, as_of), "latency").agg(*[at_rank(F.when(at(p) >= 1, at(p) - 1)).alias(f"p{round(p * 100)}") for p in shares])
 
 
 def approx_latency_percentiles(log: DataFrame, hours: float = 1, as_of=None, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:

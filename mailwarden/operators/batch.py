@@ -52,12 +52,11 @@ def plus_tag_pattern(df: DataFrame, email: str = "email", by: list[str] | None =
     rows = df.where(F.col(email).isNotNull()).withColumn("n", n).select(*(by or []), F.col("n.provider_normalized").alias("canonical"), F.col("n.plus_tag").alias("tag")).where(F.length("tag") > 0)
     number = F.when(F.col("tag").rlike("^[0-9]+$"), F.col("tag").try_cast("decimal(38,0)"))
     tags = rows.groupBy(*keys, "tag").agg(F.count("*").alias("n")).withColumn("number", number)
+    tags = tags.withColumn("gap", F.col("number") - F.lag("number").over(W.partitionBy(*keys).orderBy("number")))
     sums = tags.groupBy(*keys).agg(
-        F.sum("n").alias("n_tags"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("n_numeric"), F.array_sort(F.collect_set("number")).alias("numbers"),
+        F.sum("n").alias("n_tags"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("n_numeric"), F.coalesce(F.bool_or(F.col("gap") > 5), F.lit(False)).alias("wide"),
         F.bool_or(F.col("tag").rlike("20[0-9]{2}|(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec")).alias("dates"), F.count_distinct(F.lower("tag")).alias("kinds"))
-    x = F.col("numbers")
-    wide = F.exists(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(x, i + 1) - F.element_at(x, i) > 5, F.lit(False)))
-    steady = (F.col("n_numeric") >= 2) & ~F.when(F.size(x) >= 2, wide).otherwise(False)
+    steady = (F.col("n_numeric") >= 2) & ~F.col("wide")
     kind = F.when(F.col("n_tags") < 2, "none").when(steady, "sequential").when(F.col("dates"), "dated").when((F.col("kinds") == 1) & (F.col("n_tags") >= 3), "keyword").otherwise("none")
     out = sums.withColumn("pattern", kind)
     return out.select(*keys, "n_tags", "pattern", F.when(kind == "sequential", 0.85).when(kind == "dated", 0.75).when(kind == "keyword", 0.8).otherwise(0.0).alias("confidence"))

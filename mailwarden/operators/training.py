@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import at_rank, interpolated, running_counts
 from .scoring import apply_platt, forest_score, validate_model
 
 # Least recall, most false positives, most false negatives, least gap between the thresholds.
@@ -250,16 +251,18 @@ def first_flagged(df: DataFrame, decision: str, key: str = "id", limit: int = 20
 
 def detection_rate(df: DataFrame, score: str = "risk_score", latency: str = "latency") -> DataFrame:
     """One row: share of warnings and blocks, mean score, and latency's mean, deviation and interpolated percentiles."""
-    return df.agg(F.count("*").alias("total"), F.coalesce(F.try_divide(F.count(F.when(F.col("decision").isin("warn", "block"), 1)) * 1.0, F.count("*")), F.lit(0.0)).alias("detection_rate"), F.avg(score).alias("avg_score"),
-                  F.avg(latency).alias("avg_latency"), F.stddev_pop(latency).alias("stddev_latency"), *[F.percentile(latency, p).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    shares = {f"p{round(p * 100)}": interpolated(p) for p in (0.5, 0.95, 0.99)}
+    around = running_counts(df, latency).agg(*[c.alias(f"{k}_{i}") for k, three in shares.items() for i, c in enumerate(three)])
+    places = around.select(*[(F.col(f"{k}_0") + (F.col(f"{k}_1") - F.col(f"{k}_0")) * F.col(f"{k}_2")).alias(k) for k in shares])
+    sums = df.agg(F.count("*").alias("total"), F.coalesce(F.try_divide(F.count(F.when(F.col("decision").isin("warn", "block"), 1)) * 1.0, F.count("*")), F.lit(0.0)).alias("detection_rate"), F.avg(score).alias("avg_score"),
+                  F.avg(latency).alias("avg_latency"), F.stddev_pop(latency).alias("stddev_latency"))
+    return sums.crossJoin(places)  # both have one row
 
 
 def floor_percentiles(df: DataFrame, latency: str = "latency", shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """T17's other form: the value of row floor(p * n), counted from 0, the last row at most."""
-    counts = df.where(F.col(latency).isNotNull()).groupBy(F.col(latency).alias("v")).agg(F.count("*").alias("n"))
-    run = counts.select("v", F.sum("n").over(W.orderBy("v")).alias("upto"), F.sum("n").over(W.partitionBy()).alias("total"))
     at = lambda p: F.least(F.floor(F.lit(p) * F.col("total")), F.col("total") - 1)
-    return run.agg(*[F.min(F.when(F.col("upto") > at(p), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares])
+    return running_counts(df, latency).agg(*[at_rank(at(p)).alias(f"p{round(p * 100)}") for p in shares])
 
 
 def conflict_metrics(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

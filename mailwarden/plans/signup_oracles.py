@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import tables
 from ..functions.grams import BIGRAMS, ENGLISH_BIGRAMS, ENGLISH_TRIGRAMS, TRIGRAMS
 from ..operators.features import FEATURES
+from ..operators.synthetic import SUBSTITUTIONS, TLD_MISTAKES
 from ..sources.fixtures import WITH_SIGNUPS, WITH_VALIDATIONS
 from .signup_queries import DIRTY, ODD, YEAR
 
@@ -207,7 +208,44 @@ r2 AS (SELECT domain, provider, count(*) AS hits, max(id) AS reached FROM r1 WHE
 ALL_PROFILES = "(VALUES " + ", ".join("('{0}', '{1}', CAST({2} AS DOUBLE), CAST({3} AS DOUBLE), CAST({4} AS DOUBLE), '{5}', '{6}')".format(*(w.replace("'", "''") for w in line.split(" ", 6))) for line in tables.TLD_PROFILES.strip().splitlines()) + ") AS p(tld, category, disposable_ratio, spam_ratio, m, registration_cost, description)"
 F1 = {"entropy_score": "latency", "local_length": "len(email) * 5", "digit_ratio": "risk_score - 0.5", "name_in_email": "CASE WHEN label = 1 THEN 1 ELSE 0 END"}
 
+# The records by their own domains
+OWN_MX = MXR.replace("(id % 97) || '.' || d AS domain", "d AS domain").replace("'microsoft' ELSE 'other' END END END", "'microsoft' ELSE 'self_hosted' END END END")
+
+# what the small models look at
+MODELLED = f"""{FEATS} {TLD}, en AS (SELECT id, least({_entropy("(string_split(l, ''))")} / 6.6, 1.0) AS entropy_score FROM s8),
+md AS (SELECT f4.id, digit_ratio, entropy_score, CAST(tl.score AS DOUBLE) AS tld_risk_score FROM f4 JOIN tl ON f4.id = tl.id JOIN en ON f4.id = en.id)"""
+
+# Shares of first digits by day and label; a zero for each address keeps days without digits
+BY_DAY = f"""
+, dd AS (SELECT label, CAST(timestamp AS DATE) AS day, unnest(list_concat([0], [CAST(substr(r, 1, 1) AS INT) for r in regexp_extract_all(l, '[0-9]+')])) AS digit FROM s),
+dc AS (SELECT label, day, count(*) FILTER (WHERE digit > 0) AS n, [{', '.join(f'count(*) FILTER (WHERE digit = {i})' for i in range(1, 10))}] AS v FROM dd GROUP BY ALL),
+dx AS (SELECT label, day, [CASE WHEN n >= 30 THEN c / n ELSE 0.0 END for c in v] AS v FROM dc),
+dy AS (SELECT a.day, coalesce(list_inner_product(a.v, b.v) / nullif(sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)), 0), 0.0) AS x FROM dx a JOIN dx b ON a.day = b.day WHERE a.label = 0 AND b.label = 1)"""
+
+# T24 over domains of name n and ending z
+SUBSTITUTES = "CASE substr(n, i, 1) " + " ".join(f"WHEN '{k}' THEN {_list(v)}" for k, v in SUBSTITUTIONS.items()) + " ELSE [] END"
+TYPOS = f"""
+, ty AS (SELECT domain, split_part(domain, '.', 1) AS n, split_part(domain, '.', 2) AS z, range(1, len(split_part(domain, '.', 1)) + 1) AS places FROM (SELECT DISTINCT d AS domain FROM s)),
+tv AS (SELECT domain, z, n, unnest(places) AS i FROM ty),
+vr AS (SELECT domain, substr(n, 1, i - 1) || x || substr(n, i + 1) || '.' || z AS variant FROM (SELECT *, unnest({SUBSTITUTES}) AS x FROM tv)
+  UNION ALL SELECT domain, substr(n, 1, i - 1) || substr(n, i + 1, 1) || substr(n, i, 1) || substr(n, i + 2) || '.' || z FROM tv WHERE i < len(n)
+  UNION ALL SELECT domain, substr(n, 1, i) || substr(n, i) || '.' || z FROM tv
+  UNION ALL SELECT domain, substr(n, 1, i - 1) || substr(n, i + 1) || '.' || z FROM tv WHERE len(n) >= 4
+  UNION ALL SELECT domain, n || '.' || x FROM (SELECT *, unnest({_list(TLD_MISTAKES)}) AS x FROM ty) WHERE x <> z)"""
+
+# ST5: a window opens at the first hit after the last one's end
+HITS = f"""{WITH_VALIDATIONS.replace('WITH', 'WITH RECURSIVE', 1)}, h AS (SELECT CAST(id AS VARCHAR) AS id, client_ip AS k, timestamp AS t, row_number() OVER (PARTITION BY client_ip ORDER BY timestamp, CAST(id AS VARCHAR)) AS n FROM validations),
+o AS (SELECT id, k, n, t AS opened, 1 AS hits FROM h WHERE n = 1
+  UNION ALL SELECT h.id, h.k, h.n, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN h.t ELSE opened END, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN 1 ELSE hits + 1 END FROM o JOIN h ON h.k = o.k AND h.n = o.n + 1)"""
+
 ORACLE_SQL = {
+    "d9_mx_join": _q(f"{OWN_MX}, mx AS (SELECT r3.domain, CAST(coalesce(sum(hits), 0) AS BIGINT) AS mx_record_count, arg_min(provider, (-hits, reached)) AS mx_primary_provider, coalesce(sum(hits), 0) > 0 AS mx_has_records FROM r3 LEFT JOIN r2 USING (domain) GROUP BY 1) SELECT id, d AS domain, mx_record_count, mx_primary_provider, mx_has_records FROM s LEFT JOIN mx ON mx.domain = s.d"),
+    "f4_forest_score": _q(f"{MODELLED}, m AS (SELECT *, (CASE WHEN digit_ratio > 0.3 THEN 0.9 WHEN tld_risk_score > 0.5 THEN 0.7 ELSE 0.1 END + CASE WHEN entropy_score > 0.45 THEN 0.6 ELSE 0.2 END) / 2 AS x FROM md) SELECT id, round(digit_ratio, 6) AS digit_ratio, round(entropy_score, 6) AS entropy_score, round(tld_risk_score, 6) AS tld_risk_score, round(1 / (1 + exp(2.0 - 4.0 * x)), 6)::DOUBLE AS score FROM m", BASE9),
+    "f5_decision_tree": _q(f"{MODELLED}, m AS (SELECT id, CASE WHEN digit_ratio <= 0.3 THEN 0 WHEN tld_risk_score > 0.5 THEN 1 ELSE 2 END + 1 AS leaf FROM md) SELECT id, CAST([0.2, 0.95, 0.6][leaf] AS DOUBLE) AS score, ['few_digits', 'bad_tld', 'digits'][leaf] AS reason, ['digit_ratio <= 0.3', 'not digit_ratio <= 0.3; tld_risk_score > 0.5', 'not digit_ratio <= 0.3; not tld_risk_score > 0.5'][leaf] AS path FROM m", BASE9),
+    "b8_compare_distributions": _q(f"{BY_DAY} SELECT day, round(x, 6) AS similarity, x > 0.9 AS similar FROM dy"),
+    "t24_typosquats": _q(f"{TYPOS} SELECT domain, variant FROM vr"),
+    "t24_lookalikes": _q(f"{TYPOS}, im AS (SELECT variant, min(domain) AS imitates FROM vr GROUP BY 1), fo AS (SELECT id, regexp_replace(d, '^([^o.]*)o', '\\10') AS domain FROM s) SELECT id, domain, imitates FROM fo JOIN im ON domain = variant WHERE domain NOT IN (SELECT d FROM s)"),
+    "st5_limit_hits": f"{HITS} SELECT id, hits > 2 AS limited FROM o",
     "p9_pattern_family": _q(f"{FAMILY} SELECT id, family, substr(sha256(family), 1, 16) AS family_hash, type, round(confidence, 6)::DOUBLE AS confidence, l || '@' || d AS normalized, has_sequential, has_dated, plus AS has_plus, structure, {DOMAIN_TYPE} AS domain_type FROM p9", BASE9),
     "b5_pattern_families": _q(f"{FAMILY}, c1 AS (SELECT family, type, count(*) AS n FROM p9 GROUP BY ALL), c2 AS (SELECT family, sum(n) AS \"count\", arg_max(type, (n, type)) AS type FROM c1 GROUP BY 1) SELECT family, CAST(\"count\" AS BIGINT) AS \"count\", type, row_number() OVER (ORDER BY \"count\" DESC, family) = 1 AS is_top, \"count\" >= 5 OR (\"count\" >= 3 AND type IN ('sequential', 'dated')) AS suspicious FROM c2", BASE9),
     "b2_plus_tag_pattern": _q(f", tg AS (SELECT {CANONICAL} AS canonical, {TAG} AS tag, TRY_CAST(CASE WHEN regexp_full_match({TAG}, '[0-9]+') THEN {TAG} END AS BIGINT) AS x FROM s), ag AS (SELECT canonical, count(*) AS n_tags, count(x) AS k, list_sort(list(DISTINCT x) FILTER (WHERE x IS NOT NULL)) AS xs, bool_or(regexp_matches(tag, '20[0-9][0-9]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec')) AS dates, count(DISTINCT lower(tag)) AS kinds FROM tg WHERE len(tag) > 0 GROUP BY 1), pt AS (SELECT *, CASE WHEN n_tags < 2 THEN 'none' WHEN k >= 2 AND len([i for i in range(2, len(xs) + 1) if xs[i] - xs[i - 1] > 5]) = 0 THEN 'sequential' WHEN dates THEN 'dated' WHEN kinds = 1 AND n_tags >= 3 THEN 'keyword' ELSE 'none' END AS pattern FROM ag) SELECT canonical, n_tags, pattern, CAST(CASE pattern WHEN 'sequential' THEN 0.85 WHEN 'dated' THEN 0.75 WHEN 'keyword' THEN 0.8 ELSE 0 END AS DOUBLE) AS confidence FROM pt"),

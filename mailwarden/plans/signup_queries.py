@@ -207,10 +207,16 @@ def _t22(df: DataFrame) -> DataFrame:
 
 
 def _t24(df: DataFrame) -> DataFrame:
-    seen = df.select(DOMAIN().alias("domain")).distinct().where(F.regexp_count("domain", F.lit(r"\.")) == 1)
+    seen = df.select(DOMAIN().alias("domain")).distinct()
     return seen.select("domain", F.explode(syn.typosquat_variants(F.col("domain"))).alias("variant"))
 
 
+def _lookalikes(df: DataFrame) -> DataFrame:
+    """Sign-ups whose domains had their first o replaced by a zero, against all domains seen."""
+    forged = df.select("id", F.regexp_replace(DOMAIN(), "^([^o.]*)o", "$10").alias("domain"))
+    return syn.lookalikes(forged, "domain", df.select(DOMAIN().alias("domain")).distinct())
+
+
 def _io5(df: DataFrame) -> DataFrame:
     return io.to_log_rows(df.select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("email")).alias("email"), F.array("label").alias("labels"), (F.col("label") == 1).alias("flag")))
 
@@ -297,7 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t20_train_until_passed": _t20,
     "t22_merge_datasets": _rows(_t22),
     "t24_typosquats": _rows(_t24),
-    "t24_lookalikes": lambda spark, sf: syn.lookalikes(signups(spark, sf).select("id", F.regexp_replace(DOMAIN(), "^(outl|gm|y)", "0$1").alias("domain")), "domain", signups(spark, sf).select(DOMAIN().alias("domain")).distinct()),
+    "t24_lookalikes": _rows(_lookalikes),
     "t25_sample_stats": _rows(lambda df: t.sample_stats(_samples(df))),
     "t25_label_by_source": _rows(lambda df: t.label_by_source(_samples(df))),
     "io3_normalize_label": _rows(lambda df: df.select("id", io.normalize_label(F.expr("CASE id % 6 WHEN 0 THEN 'Fraud' WHEN 1 THEN 'legit' WHEN 2 THEN '0.7' WHEN 3 THEN 'true' WHEN 4 THEN '0.2' END")).alias("label"))),

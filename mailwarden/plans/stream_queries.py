@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,9 @@ from .signup_queries import MODEL, YEAR
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -34,12 +35,18 @@ def validations_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given when its source is read to the end: the last complete result, or all appended rows."""
+    """What a stream has given when its source is read to the end: the last complete result, or all appended rows.
+
+    A batch writes a folder of its own, over what an earlier try of it has left.
+    """
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
-    write = "overwrite" if mode == "complete" else "append"
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode(write).parquet(f"{folder}/rows")).start()
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else n}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
 
 
 def st1_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def st2_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     scored = jobs.score_stream(signups_stream(spark, sf_dir).drop("risk_score", "latency"), YEAR, MODEL)
     jobs.start_samples(scored, f"{folder}/samples", f"{folder}/checkpoint").awaitTermination()
-    return rounded(spark.read.parquet(f"{folder}/samples/v=0").drop("feature_vector"))
+    return rounded(jobs.current_samples(spark, f"{folder}/samples").drop("feature_vector"))
 
 
 def st3_hourly_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,16 +40,37 @@ def samples_of(scored: DataFrame, model_version: str = "1") -> DataFrame:
     return labelled.select("email_hash", F.to_json("feature_vector").alias("feature_vector"), "l.label", "l.label_source", F.col(score).alias("risk_score"), "decision", F.lit(model_version).alias("model_version"), F.col("timestamp").cast("timestamp").alias("timestamp"))
 
 
-def start_samples(scored: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """ST2: keep the samples table current: each batch is merged with the newest version into a new one, path/v=N.
+SAMPLE = "email_hash string, feature_vector string, label int, label_source string, risk_score double, decision string, model_version string, timestamp timestamp"
 
-    Versions are whole tables named by the batch, so a batch that is run again after a failure writes the same one.
+
+def sample_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest rows of each bucket, from versions before a batch if one is named. Only files of those versions are read."""
+    rows = spark.read.schema(f"{SAMPLE}, v int, bucket int").parquet(path)
+    rows = rows if before is None else rows.where(F.col("v") < before)
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row for each bucket
+    return rows.join(F.broadcast(newest), ["bucket", "v"])
+
+
+def current_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The samples table that start_samples keeps."""
+    return sample_versions(spark, path).drop("bucket", "v")
+
+
+def start_samples(scored: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
+    """ST2: keep the samples table current. Samples are in `buckets` buckets by their hash; a batch merges the buckets it
+    touches with their newest versions and writes them as version path/v=N, N being the batch.
+
+    A batch that is run again after a failure reads what came before it and writes the same version. See current_samples.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         new = samples_of(batch)
-        old = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/v={n - 1}") if n else new.limit(0)
-        upsert_samples(old, new).write.mode("overwrite").parquet(f"{path}/v={n}")
+        bucket = F.pmod(F.xxhash64("email_hash"), F.lit(buckets)).cast("int")
+        old = new.limit(0)
+        if n:
+            touched = F.broadcast(new.select(bucket.alias("bucket")).distinct())  # no more rows than buckets
+            old = sample_versions(batch.sparkSession, path, n).join(touched, "bucket", "left_semi").select(*new.columns)
+        upsert_samples(old, new).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
 
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -48,7 +48,7 @@ def test_entry_imports_without_the_corpus_package(monkeypatch):
 
     def blocked(name, *args, **kw):
         if name.startswith("mailwarden.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name="mailwarden.llm" if name.startswith("mailwarden.llm") else name)
         return real(name, *args, **kw)
 
     monkeypatch.setattr(builtins, "__import__", blocked)
