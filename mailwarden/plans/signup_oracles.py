@@ -211,6 +211,10 @@ F1 = {"entropy_score": "latency", "local_length": "len(email) * 5", "digit_ratio
 # The records by their own domains
 OWN_MX = MXR.replace("(id % 97) || '.' || d AS domain", "d AS domain").replace("'microsoft' ELSE 'other' END END END", "'microsoft' ELSE 'self_hosted' END END END")
 
+#: Well-known domains' own records come before those; providers by their hosts, self_hosted where these end in the domain.
+_KNOWN = {d: sum(line.split()[0] == d for line in tables.KNOWN_MX.strip().splitlines()) for d in ("gmail.com", "yahoo.com", "outlook.com", "proton.me", "mail.com")}
+KNOWN_MX = "(VALUES " + ", ".join(f"('{d}', {_KNOWN[d]}, '{p}')" for d, p in (("gmail.com", "google"), ("yahoo.com", "yahoo"), ("outlook.com", "self_hosted"), ("mail.com", "self_hosted"), ("proton.me", "proton")) if _KNOWN[d]) + ") AS known(d, n, p)"
+
 # what the small models look at
 MODELLED = f"""{FEATS} {TLD}, en AS (SELECT id, least({_entropy("(string_split(l, ''))")} / 6.6, 1.0) AS entropy_score FROM s8),
 md AS (SELECT f4.id, digit_ratio, entropy_score, CAST(tl.score AS DOUBLE) AS tld_risk_score FROM f4 JOIN tl ON f4.id = tl.id JOIN en ON f4.id = en.id)"""
@@ -239,7 +243,7 @@ o AS (SELECT id, k, n, t AS opened, 1 AS hits FROM h WHERE n = 1
   UNION ALL SELECT h.id, h.k, h.n, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN h.t ELSE opened END, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN 1 ELSE hits + 1 END FROM o JOIN h ON h.k = o.k AND h.n = o.n + 1)"""
 
 ORACLE_SQL = {
-    "d9_mx_join": _q(f"{OWN_MX}, mx AS (SELECT r3.domain, CAST(coalesce(sum(hits), 0) AS BIGINT) AS mx_record_count, arg_min(provider, (-hits, reached)) AS mx_primary_provider, coalesce(sum(hits), 0) > 0 AS mx_has_records FROM r3 LEFT JOIN r2 USING (domain) GROUP BY 1) SELECT id, d AS domain, mx_record_count, mx_primary_provider, mx_has_records FROM s LEFT JOIN mx ON mx.domain = s.d"),
+    "d9_mx_join": _q(f"{OWN_MX}, mx AS (SELECT r3.domain, CAST(coalesce(sum(hits), 0) AS BIGINT) AS mx_record_count, arg_min(provider, (-hits, reached)) AS mx_primary_provider, coalesce(sum(hits), 0) > 0 AS mx_has_records FROM r3 LEFT JOIN r2 USING (domain) GROUP BY 1) SELECT id, s.d AS domain, CAST(coalesce(n, mx_record_count) AS BIGINT) AS mx_record_count, coalesce(p, mx_primary_provider) AS mx_primary_provider, n IS NOT NULL OR mx_has_records AS mx_has_records FROM s LEFT JOIN mx ON mx.domain = s.d LEFT JOIN {KNOWN_MX} ON known.d = s.d"),
     "f4_forest_score": _q(f"{MODELLED}, m AS (SELECT *, (CASE WHEN digit_ratio > 0.3 THEN 0.9 WHEN tld_risk_score > 0.5 THEN 0.7 ELSE 0.1 END + CASE WHEN entropy_score > 0.45 THEN 0.6 ELSE 0.2 END) / 2 AS x FROM md) SELECT id, round(digit_ratio, 6) AS digit_ratio, round(entropy_score, 6) AS entropy_score, round(tld_risk_score, 6) AS tld_risk_score, round(1 / (1 + exp(2.0 - 4.0 * x)), 6)::DOUBLE AS score FROM m", BASE9),
     "f5_decision_tree": _q(f"{MODELLED}, m AS (SELECT id, CASE WHEN digit_ratio <= 0.3 THEN 0 WHEN tld_risk_score > 0.5 THEN 1 ELSE 2 END + 1 AS leaf FROM md) SELECT id, CAST([0.2, 0.95, 0.6][leaf] AS DOUBLE) AS score, ['few_digits', 'bad_tld', 'digits'][leaf] AS reason, ['digit_ratio <= 0.3', 'not digit_ratio <= 0.3; tld_risk_score > 0.5', 'not digit_ratio <= 0.3; not tld_risk_score > 0.5'][leaf] AS path FROM m", BASE9),
     "b8_compare_distributions": _q(f"{BY_DAY} SELECT day, round(x, 6) AS similarity, x > 0.9 AS similar FROM dy"),

@@ -62,7 +62,7 @@ def test_scoring_in_batch_and_stream_agree(spark, tmp_path):
     assert set(features.FEATURE_NAMES) <= set(data.columns) and data.count() == 60
     q = jobs.start_samples(jobs.score_stream(source, 2025, FOREST), str(tmp_path / "samples"), str(tmp_path / "cp2"))
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "samples" / "v=0")).count() == samples.select("email_hash").distinct().count()
+    assert jobs.current_samples(spark, str(tmp_path / "samples")).count() == samples.select("email_hash").distinct().count()
     assert jobs.alert_stream(one).columns[0] == "email"
 
 
@@ -196,3 +196,57 @@ def test_partitions_dont_matter(spark):
     rows = signups(spark, SF)
     one, many = (sorted(map(str, features.export_features(rows.limit(1000).coalesce(1).repartition(k), 2025, keep=["id"], skip_mx=True).select("id", "ngram_risk_score", "bigram_entropy", "tld_risk_score").collect())) for k in (1, 8))
     assert one == many
+
+
+def test_exact_percentiles_stay_within_ranges_of_values(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from mailwarden.operators.ranks import running_counts
+
+    values = [float(v) for v in np.random.default_rng(5).gamma(2, 30, 3000).round(1)] + [7.0] * 1500 + [None] * 10
+    df = spark.createDataFrame([(v, "block", 0.5) for v in values], "latency double, decision string, risk_score double")
+    known = sorted(v for v in values if v is not None)
+    got = {r.v: (r.upto, r.total) for r in running_counts(df, "latency", parts=50).collect()}
+    assert got == {v: (int(np.searchsorted(known, v, side="right")), len(known)) for v in set(known)}
+    r = training.detection_rate(df).first()
+    assert [r.p50, r.p95, r.p99] == pytest.approx(np.percentile(known, [50, 95, 99]).tolist())
+    r = training.floor_percentiles(df).first()
+    assert [r.p50, r.p95, r.p99] == [known[int(p * len(known))] for p in (0.5, 0.95, 0.99)]
+    empty = df.where(F.lit(False))
+    assert training.floor_percentiles(empty).first().p50 is None and training.detection_rate(empty).first().p95 is None
+    same = df.where("latency = 7.0")
+    assert training.floor_percentiles(same).first().p99 == 7.0
+
+
+def test_log_queries_read_the_days_they_need(spark, tmp_path):
+    from mailwarden.operators import analytics
+
+    log = validations(spark, SF)
+    io.append_validations(log, str(tmp_path / "log"))
+    stored = io.read_validations(spark, str(tmp_path / "log"))
+    rows = analytics.recent(stored, 48)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and ">= " in plan.split("PartitionFilters")[1].split("]")[0]
+    assert 0 < rows.count() == analytics.recent(log, 48).count() < log.count()
+    assert sorted(map(tuple, analytics.timeline(stored, 48).collect())) == sorted(map(tuple, analytics.timeline(log, 48).collect()))
+
+
+def test_samples_of_several_batches(spark, tmp_path):
+    rows = spark.range(60).selectExpr("concat('h', id % 25) AS email_hash", "struct(id AS x) AS feature_vector", "id % 7 = 0 AS is_disposable", "false AS is_free_provider", "id % 10 / 10D AS risk_score",
+                                      "CASE WHEN id % 3 = 0 THEN 'block' ELSE 'allow' END AS decision", "timestamp_seconds(1700000000 + id * 60) AS timestamp", "id")
+    for k in range(3):
+        rows.where(f"id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second time all three batches are run again, over what the first has left
+        jobs.start_samples(source, str(tmp_path / "samples"), str(tmp_path / f"cp{_}"), buckets=4).awaitTermination()
+        got = jobs.current_samples(spark, str(tmp_path / "samples")).select("email_hash", "timestamp", "risk_score").collect()
+        newest = {r.email_hash: r for r in sorted(rows.collect(), key=lambda r: r.timestamp)}
+        assert {r.email_hash: (r.timestamp, r.risk_score) for r in got} == {k: (r.timestamp, r.risk_score) for k, r in newest.items()}
+        assert len(got) == 25
+
+
+def test_plus_tags_of_an_address(spark):
+    rows = [("a+1@x.com",), ("a+2@x.com",), ("a+02@x.com",), ("b+1@x.com",), ("b+9@x.com",), ("c+jan@x.com",), ("c+b@x.com",), ("d+k@x.com",), ("d+K@x.com",), ("d+k@x.com",), (None,)]
+    got = {r.canonical: (r.n_tags, r.pattern) for r in batch.plus_tag_pattern(spark.createDataFrame(rows, "email string")).collect()}
+    assert got == {"a@x.com": (3, "sequential"), "b@x.com": (2, "none"), "c@x.com": (2, "dated"), "d@x.com": (3, "keyword")}
