@@ -26,15 +26,24 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
+def trie(scores: dict[str, float]) -> dict:
+    """Pieces by their characters: each maps to a node [score or None, what may follow, 0.0 to count in]."""
+    root: dict = {}
+    for piece, s in scores.items():
+        below = root
+        for c in piece[:-1]:
+            below = below.setdefault(c, [None, {}, 0.0])[1]
+        below.setdefault(piece[-1], [None, {}, 0.0])[0] = s
+    return root
+
+
 class Lattice:
     """Pieces with natural-log scores. Bytes without a piece of their own are covered by byte pieces."""
 
     def __init__(self, scores: dict[str, float], byte_scores: list[float]):
-        self.byte_scores = byte_scores
+        self.scores, self.byte_scores = scores, byte_scores
         self.longest = max(map(len, scores), default=1)
-        # Pieces' scores, and None for strings that only begin pieces: a search along a text ends at others.
-        self.arcs: dict[str, float | None] = {piece[:k]: None for piece in scores for k in range(1, len(piece))}
-        self.arcs.update(scores)
+        self.root = trie(scores)
         self.by_bytes: dict[str, float] = {}
 
     def spelled(self, c: str) -> float:
@@ -48,22 +57,28 @@ class Lattice:
 
     def log_prob(self, text: str) -> float:
         """log of the summed probability of all segmentations of a text into pieces, by forward recursion."""
-        arcs, n, exp = self.arcs, len(text), math.exp
-        into: deque[list[float]] = deque([] for _ in range(self.longest + 1))  # terms of the positions from the present one on
+        root, longest, spelled, exp, log = self.root, self.longest, self.by_bytes.get, math.exp, math.log
+        into: deque[list[float]] = deque([] for _ in range(longest))  # terms of the positions after the present one
         alpha = 0.0
-        for i in range(n):
-            into.popleft()
-            into.append([])
-            into[0].append(alpha + self.spelled(text[i]))
-            for j in range(i + 1, n + 1):
-                s = arcs.get(text[i:j], 0.0)
+        for i, c in enumerate(text):
+            s = spelled(c)
+            into[0].append(alpha + (self.spelled(c) if s is None else s))
+            below, k = root, 0
+            for d in text[i : i + longest]:
+                node = below.get(d)
+                if node is None:
+                    break
+                s, below, _ = node
                 if s is not None:
-                    if s == 0.0:
-                        break
-                    into[j - i - 1].append(alpha + s)
-            terms = into[0]
-            top = max(terms)
-            alpha = top if len(terms) == 1 else top + math.log(sum([exp(t - top) for t in terms]))
+                    into[k].append(alpha + s)
+                k += 1
+            terms = into.popleft()
+            alpha = terms[0]
+            if len(terms) > 1:
+                top = max(terms)
+                alpha = top + log(sum([exp(t - top) for t in terms]))
+            terms.clear()
+            into.append(terms)
         return alpha
 
 
@@ -79,47 +94,60 @@ class Expectation:
 
     def __init__(self, lattice: Lattice):
         self.lattice = lattice
-        self.weights: dict[str, float | None] = {p: None if s is None or len(p) == 1 else math.exp(min(600.0, s - sum(map(self.single, p)))) for p, s in lattice.arcs.items()}
-        self.pieces: Counter = Counter()
+        self.root = trie({p: math.exp(min(600.0, s - sum(map(self.single, p)))) for p, s in lattice.scores.items() if len(p) > 1})
         self.characters: Counter = Counter()
 
     def single(self, c: str) -> float:
         """log of the probability of a character by its bytes or its own piece."""
-        by_bytes, own = self.lattice.spelled(c), self.lattice.arcs.get(c)
+        by_bytes, own = self.lattice.spelled(c), self.lattice.scores.get(c)
         return by_bytes if own is None else own + math.log1p(math.exp(by_bytes - own))
 
     def add(self, whole: str, times: float) -> None:
-        get, pieces, characters = self.weights.get, self.pieces, self.characters
+        root, longest, characters = self.root, self.lattice.longest, self.characters
         for at in range(0, len(whole), self.PART):
             text = whole[at : at + self.PART]
             n = len(text)
-            alpha, beta, rows = [1.0] + [0.0] * n, [0.0] * n + [1.0], []
+            alpha, rows = [1.0] + [0.0] * n, []
             for i in range(n):
-                a, row = alpha[i], []
+                a, row, below, j = alpha[i], [], root, i
                 alpha[i + 1] += a
-                if text[i] in self.weights:
-                    for j in range(i + 2, n + 1):
-                        w = get(text[i:j], 0.0)
-                        if w is not None:
-                            if w == 0.0:
-                                break
-                            alpha[j] += a * w
-                            row.append((j, w))
+                for c in text[i : i + longest]:
+                    node = below.get(c)
+                    if node is None:
+                        break
+                    w, below, _ = node
+                    j += 1
+                    if w is not None:
+                        alpha[j] += a * w
+                        row.append((j, w, node))
                 rows.append(row)
             share = times / alpha[n]
+            beta = [0.0] * n + [1.0]
             for i in range(n - 1, -1, -1):
                 b, a = beta[i + 1], alpha[i] * share
                 characters[text[i]] += a * b
-                for j, w in rows[i]:
-                    b += w * beta[j]
-                    pieces[text[i:j]] += a * w * beta[j]
+                for j, w, node in rows[i]:
+                    x = w * beta[j]
+                    b += x
+                    node[2] += a * x
                 beta[i] = b
 
+    def pieces(self) -> dict[str, float]:
+        """Expected uses of the pieces of more than one character that were used."""
+        found, todo = {}, [("", self.root)]
+        while todo:
+            before, below = todo.pop()
+            for c, (_, more, used) in below.items():
+                if used:
+                    found[before + c] = used
+                todo.append((before + c, more))
+        return found
+
     def uses(self) -> dict[str, float]:
         """By piece; byte pieces by names like those of the vocabulary."""
-        found = dict(self.pieces)
+        found = self.pieces()
         for c, n in self.characters.items():
-            own = self.lattice.arcs.get(c)
+            own = self.lattice.scores.get(c)
             share = 0.0 if own is None else math.exp(own - self.single(c))
             if share:
                 found[c] = found.get(c, 0.0) + n * share
@@ -272,11 +300,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in blocks(batches, "text", 2 << 20):
             rows = []
             for text in texts(batch, "text"):
-                ws = list(map(short_key, words(text)))
+                ws = words(text)
+                if max(map(len, ws), default=0) > 64:
+                    ws = list(map(short_key, ws))
                 found = [f for f in map(get, ws) if f is not None]
                 rare = [w.decode() for w in ws if w not in facts] if len(found) < len(ws) else []
                 found.append(end)
-                rows.append((len(ws) + 1, sum(f[0] for f in found), math.fsum([f[1] for f in found]), math.fsum([f[2] for f in found]), rare))
+                seen, base, log10_p = zip(*found, strict=True)
+                rows.append((len(ws) + 1, sum(seen), math.fsum(base), math.fsum(log10_p), rare))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
