@@ -85,9 +85,11 @@ def shard_counts(targets: DataFrame, block: int = 64, shard_words: int = 1 << 20
     t = targets.where("source_size > 0 AND target > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     t = t.withColumn("n_slots", F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("long"))
     t = t.withColumn("n_shards", F.ceil(F.sum("target").over(W.partitionBy()) / shard_words))
-    # Draws are made in runs of 1,000, dealt over all tasks, so that a large source isn't unrolled in one.
+    # Draws are made in runs of 1,000, dealt over all tasks, so that a large source isn't unrolled in one. The number of
+    # partitions is stated: Spark would put the few bytes of runs into one, and that task would unroll them all.
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = t.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n_slots - 1) div 1000"))))
-    draws = runs.repartition("source_no", "run").withColumn("try", F.explode(F.sequence(F.col("run") * 1000, F.least(F.col("run") * 1000 + 999, F.col("n_slots") - 1))))
+    draws = runs.repartition(n, "source_no", "run").withColumn("try", F.explode(F.sequence(F.col("run") * 1000, F.least(F.col("run") * 1000 + 999, F.col("n_slots") - 1))))
     counts = draws.groupBy("source_no", "n_blocks", F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "try"), F.col("n_shards")).alias("shard")).agg(F.count("*").alias("n"))
     counts = written(counts.withColumn("part", F.expr("shard div 1000")), "shard-counts")
     # Running sums in two levels, as of the documents.
@@ -106,8 +108,9 @@ def draw(targets: DataFrame, block: int = 64, shard_words: int = 1 << 20, seed:
     every block once.
     """
     counts = shard_counts(targets, block, shard_words, seed)
-    # A shard's slots of one source are unrolled in runs of 1,000, dealt over all tasks.
-    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 1000")))).repartition("source_no", "shard", "run")
+    # A shard's slots of one source are unrolled in runs of 1,000, dealt over all tasks (see shard_counts).
+    n = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = counts.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 1000")))).repartition(n, "source_no", "shard", "run")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("slot_start") + F.col("run") * 1000, F.col("slot_start") + F.least(F.col("run") * 1000 + 999, F.col("n") - 1))))
     slots = slots.withColumn("epoch", F.expr("slot div n_blocks"))
     return slots.select("source_no", "slot", "shard", "epoch", permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.col("epoch")).alias("index"))
