@@ -14,6 +14,7 @@ from .mixing import mix
 from .near_dedup import near_duplicate_classes
 from .quality import remainder, score, train
 from .secret_scan import scan_secrets
+from .spelling import spelling_variants, word_counts
 from .surrogates import replace_pii
 from .token_counts import token_counts
 
@@ -75,6 +76,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(table(spark, sf_dir, "documents"), min_chars=7, slip_every=31)
+    return spelling_variants(counts, min_n=2, ratio=10)
+
+
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_source_mix": op2_source_mix,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_near_dedup": op10_near_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -122,5 +129,40 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM common)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run
+), keyed AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS b FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(b) // 2), lambda i: CAST('0x' || substr(b, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS h FROM keyed, crc_table
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS (
+  SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)
+), near AS (
+  SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word != b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT a, any_value(n_a) AS n, count(*) AS n_near, max(n_b) AS top FROM near GROUP BY a
+), forms AS (
+  SELECT a AS word, min(b) AS form, any_value(top) AS form_n FROM best JOIN near USING (a) WHERE top >= 10 * n AND n_b = top GROUP BY a
+), steps AS (
+  SELECT word, form AS root FROM forms
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.root = f.word
+), roots AS (
+  SELECT word, arg_max(root, n) AS root FROM (SELECT s.word, s.root, w.n FROM steps s JOIN words w ON s.root = w.word) GROUP BY word
+)
+SELECT w.word, f.form, coalesce(r.root, w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b ON w.word = b.a LEFT JOIN forms f ON w.word = f.word LEFT JOIN roots r ON w.word = r.word
 """,
 }
