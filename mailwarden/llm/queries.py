@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .audio import recording_classes
 from .common import table
 from .decontamination import contamination
@@ -81,6 +82,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(counts, min_n=2, ratio=10)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = align_tokens(table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = {
     "op1_lattice_score": op1_lattice_score,
     "op2_source_mix": op2_source_mix,
@@ -93,6 +99,7 @@ QUERIES = {
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_near_dedup": op10_near_dedup,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
