@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .alignment import align_tokens
 from .audio import recording_classes
+from .chat import conversation_digests, format_chats
 from .common import table
 from .decontamination import contamination
 from .lattice import score_documents
@@ -77,6 +78,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return conversation_digests(format_chats(turns.unionByName(marks)))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = word_counts(table(spark, sf_dir, "documents"), min_chars=7, slip_every=31)
     return spelling_variants(counts, min_n=2, ratio=10)
@@ -98,6 +106,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_near_dedup": op10_near_dedup,
+    "op11_chat_windows": op11_chat_windows,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_token_alignment": op13_token_alignment,
 }
