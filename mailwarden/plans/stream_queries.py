@@ -69,6 +69,11 @@ def st4_busy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(finished(jobs.busy_fingerprints(validations_stream(spark, sf_dir), 3, length="6 hours", slide="1 hour"), "complete"))
 
 
+def st5_limit_hits_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = validations_stream(spark, sf_dir).select("client_ip", "timestamp", "id")
+    return finished(jobs.limit_hits_stream(log, seconds=3600, most=2), "append").select(F.col("id").cast("long").alias("id"), "limited")
+
+
 def st6_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = jobs.score_stream(signups_stream(spark, sf_dir).drop("risk_score", "latency"), YEAR, MODEL)
     return rounded(finished(jobs.alert_stream(scored).withColumn("reasons", F.array_join("reasons", ",")), "append"))
@@ -78,7 +83,7 @@ def st7_distinct_signups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(jobs.distinct_signups(signups_stream(spark, sf_dir).select("email", "timestamp"), within="60 days").select("email_hash"), "append")
 
 
-QUERIES = {f.__name__: f for f in (st1_score_stream, st2_samples_stream, st3_hourly_decisions, st4_busy_fingerprints, st6_alert_stream, st7_distinct_signups)}
+QUERIES = {f.__name__: f for f in (st1_score_stream, st2_samples_stream, st3_hourly_decisions, st4_busy_fingerprints, st5_limit_hits_stream, st6_alert_stream, st7_distinct_signups)}
 
 ORACLE_SQL = {
     "st3_hourly_decisions": f"{WITH_VALIDATIONS} SELECT date_trunc('hour', timestamp) AS hour, decision, count(*) AS \"count\", round(avg(risk_score), 6) AS avg_risk_score FROM validations GROUP BY ALL",

@@ -3,20 +3,17 @@ streaming frame to another, which batch frames can go through too where Spark al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.address import email_hash
 from ..operators.scoring import Config, alert_rows, score_signups
 from ..operators.training import auto_label, upsert_samples
 from ..sources.io import to_log_rows
+from .limits import limit_hits, limit_hits_stream
 
-WINDOW_SECONDS, MOST_HITS = 60, 5
+__all__ = ["limit_hits", "limit_hits_stream"]
 
 
 def event_time(df: DataFrame, column: str = "timestamp", late: str = "1 hour") -> DataFrame:
@@ -87,58 +84,6 @@ def busy_fingerprints(log: DataFrame, more_than: int = 10, late: str = "1 hour",
     return rows.where(F.col("count") > more_than).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "fingerprint_hash", "count", "avg_risk_score")
 
 
-def fold_hits(times: list[float], opened: float | None, hits: int, seconds: float, most: int) -> tuple[list[bool], float | None, int]:
-    """Which of the hits, in order of time, are over the limit. A window opens at the first hit after the last one's end."""
-    limited = []
-    for t in times:
-        if opened is None or t > opened + seconds:
-            opened, hits = t, 1
-            limited.append(False)
-        else:
-            hits += 1
-            limited.append(hits > most)
-    return limited, opened, hits
-
-
-def limit_hits(df: DataFrame, key: str = "client_ip", time: str = "timestamp", id_col: str = "id", seconds: float = WINDOW_SECONDS, most: int = MOST_HITS) -> DataFrame:
-    """ST5 in batch: key, id, time, limited for each row. Whole groups never meet: rows go by key and come sorted, and a
-    task folds over them batch by batch, carrying one key's window."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("string").alias("id"), F.col(time).cast("timestamp").alias("time"))
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "time", "id")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, opened, hits = None, None, 0
-        for pdf in batches:
-            limited: list[bool] = []
-            for k, part in pdf.groupby(pdf["key"].fillna("\0").ne(pdf["key"].fillna("\0").shift()).cumsum(), sort=False):
-                name = part["key"].iloc[0]
-                if name != last or k is None:
-                    last, opened, hits = name, None, 0
-                got, opened, hits = fold_hits((part["time"].astype("int64") / 1e9).tolist() if str(part["time"].dtype).endswith("[ns]") else [t.timestamp() for t in part["time"]], opened, hits, seconds, most)
-                limited += got
-            yield pdf.assign(limited=limited)
-
-    return sorted_rows.mapInPandas(run, "key string, id string, time timestamp, limited boolean")
-
-
-def limit_hits_stream(stream: DataFrame, key: str = "client_ip", time: str = "timestamp", id_col: str = "id", seconds: float = WINDOW_SECONDS, most: int = MOST_HITS) -> DataFrame:
-    """ST5 on a stream: the state of a key is its window's start and hits; it goes when the watermark passes the window's end."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(id_col).cast("string").alias("id"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", "1 minute")
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(parts)).sort_values(["time", "id"])
-        opened, hits = state.get if state.exists else (None, 0)
-        limited, opened, hits = fold_hits([t.timestamp() for t in pdf["time"]], opened, hits, seconds, most)
-        state.update((opened, hits))
-        state.setTimeoutTimestamp(max(int((opened + seconds) * 1000) + 1000, state.getCurrentWatermarkMs() + 1000))
-        yield pdf.assign(limited=limited)[["key", "id", "time", "limited"]]
-
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, id string, time timestamp, limited boolean", "opened double, hits long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def alert_stream(scored: DataFrame, config: Config = Config()) -> DataFrame:
     """ST6."""
     return alert_rows(scored, config)

@@ -91,10 +91,6 @@ def test_stream_counts_limits_and_repeats(spark, tmp_path):
     assert out.count() == twice.select("email").distinct().count()
 
 
-def test_fold():
-    assert jobs.fold_hits([0, 1, 2, 61, 62, 130], None, 0, 60, 2)[0] == [False, False, True, False, False, False]
-
-
 def test_platt_and_thresholds(spark):
     df = spark.createDataFrame([(i / 100, int(i > 50) if i % 7 else int(i <= 50)) for i in range(100)], "score double, label int")
     c = training.fit_platt(df)
