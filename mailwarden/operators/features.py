@@ -9,6 +9,7 @@ from ..functions import address as a
 from ..functions import domains as d
 from ..functions import identity as i
 from ..functions import lexical, ngrams, patterns
+from .hashed import numbered
 
 #: Name, least, most, and the value for null, NaN or infinite ones.
 FEATURES = (
@@ -71,15 +72,21 @@ def feature_sources() -> dict[str, Column]:
 
 
 def export_features(df: DataFrame, as_of_year: int, email: str = "email", keep: list[str] | None = None, limit: int | None = None, shuffle_seed: int | None = None, skip_mx: bool = False, timezone: str | None = None, **options) -> DataFrame:
-    """the feature matrix of the rows that have an address. With a seed rows come in random order, and `limit` takes
-    the first of them; both sort all rows, so leave them out where they aren't needed."""
+    """the feature matrix of the rows that have an address.
+
+    With a seed each row has its `position`, from 0, in a random order that hangs on the seed, the address and the kept columns alone, and
+    `limit` takes the first ones; without, `limit` takes any.
+    """
     rows = df.where(F.length(F.trim(F.col(email))) > 0)
+    kept = keep if keep is not None else [email]
     if shuffle_seed is not None:
-        rows = rows.orderBy(F.rand(shuffle_seed))
-    if limit is not None:
+        rows = numbered(rows, shuffle_seed, list(dict.fromkeys([email, *kept])), name="position")
+        rows = rows if limit is None else rows.where(F.col("position") < limit)
+        kept = [*kept, "position"]
+    elif limit is not None:
         rows = rows.limit(limit)
     made = signals(rows, as_of_year, email, client_tz=timezone, edge_tz=timezone, skip_mx=skip_mx, **options)
-    return build_feature_vector(made, feature_sources(), keep if keep is not None else [email])
+    return build_feature_vector(made, feature_sources(), kept)
 
 
 def feature_alignment(columns: list[str], model_features: list[str], most: float = 0.2) -> dict:

@@ -95,9 +95,28 @@ def _nodes(tree: dict) -> Iterator[dict]:
             stack += [n["l"], n["r"]]
 
 
+def leaf_values(x: np.ndarray, trees: list[tuple[np.ndarray, ...]], depth: int) -> Iterator[np.ndarray]:
+    """Each tree's leaf values for the rows of x. Missing and NaN features go left, as does <=; a walk that ends at no leaf gives 0."""
+    rows = np.arange(len(x))
+    for feature, value, left, right in trees:
+        at = np.zeros(len(x), dtype=int)
+        for _ in range(depth):
+            f = feature[at]
+            if (f < 0).all():
+                break
+            v = x[rows, np.maximum(f, 0)]
+            at = np.where(~(v > value[at]), left[at], right[at])
+        yield np.where(feature[at] < 0, value[at], 0.0)
+
+
+def _inputs(df: DataFrame, names: list[str]) -> list[Column]:
+    have = {c.lower() for c in df.columns}
+    inputs = [F.col(n).cast("double") if n.lower() in have else F.lit(None).cast("double") for n in names]
+    return inputs + [F.lit(0.0)] * max(0, 2 - len(inputs))  # a single column wouldn't come as a tuple
+
+
 def forest_score(df: DataFrame, model: dict, calibrate: int = 1, out: str = "score") -> DataFrame:
-    """df with the mean of the trees' leaves. Missing and NaN features go left, as does <=; a walk that ends at no
-    leaf counts 0. `calibrate` says how often the model's calibration is applied; features that df lacks are missing."""
+    """df with the mean of the trees' leaves. `calibrate` says how often the model's calibration is applied; features that df lacks are missing."""
     names, trees, depth = flatten_forest(model)
     cal = (model.get("meta") or {}).get("calibration")
 
@@ -105,41 +124,34 @@ def forest_score(df: DataFrame, model: dict, calibrate: int = 1, out: str = "sco
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             x = np.column_stack([np.asarray(c, dtype=float) for c in columns])
-            total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, value, left, right in trees:
-                at = np.zeros(len(x), dtype=int)
-                for _ in range(depth):
-                    f = feature[at]
-                    if (f < 0).all():
-                        break
-                    v = x[rows, np.maximum(f, 0)]
-                    at = np.where(~(v > value[at]), left[at], right[at])
-                total += np.where(feature[at] < 0, value[at], 0.0)
-            yield pd.Series(total / len(trees))
+            yield pd.Series(sum(leaf_values(x, trees, depth), np.zeros(len(x))) / len(trees))
 
-    have = {c.lower() for c in df.columns}
-    inputs = [F.col(n).cast("double") if n.lower() in have else F.lit(None).cast("double") for n in names]
-    inputs += [F.lit(0.0)] * max(0, 2 - len(inputs))  # a single column wouldn't come as a tuple
-    score = walk.asNondeterministic()(*inputs)  # computed once, before what uses it
+    score = walk.asNondeterministic()(*_inputs(df, names))  # computed once, before what uses it
     scored = df.withColumn(out, score)
     for _ in range(calibrate if cal else 0):
         scored = scored.withColumn(out, apply_platt(F.col(out), cal["coef"], cal["intercept"]))
     return scored
 
 
+def forest_leaves(df: DataFrame, model: dict, out: str = "leaves") -> DataFrame:
+    """df with an array of all trees' leaf values, in the order of the trees."""
+    names, trees, depth = flatten_forest(model)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            x = np.column_stack([np.asarray(c, dtype=float) for c in columns])
+            yield pd.Series(list(np.column_stack(list(leaf_values(x, trees, depth)))), dtype=object)
+
+    return df.withColumn(out, walk.asNondeterministic()(*_inputs(df, names)))
+
+
 def apply_platt(score: Column, coef: float, intercept: float) -> Column:
     """The calibrated score, from a sigmoid whose input is clamped to +-500."""
     z = F.greatest(F.least(F.lit(float(coef)) * score + F.lit(float(intercept)), F.lit(500.0)), F.lit(-500.0))
     return 1 / (1 + F.exp(-z))
 
 
-def per_tree_scores(df: DataFrame, model: dict, out: str = "tree_scores") -> DataFrame:
-    for i, tree in enumerate(model["forest"]):
-        df = forest_score(df, {"meta": {**model.get("meta", {}), "calibration": None}, "forest": [tree]}, 0, f"{out}_{i}")
-    return df
-
-
 def read_tree(node: dict) -> dict:
     """A decision tree's node in short keys, from either form of JSON."""
     if "forest" in node:

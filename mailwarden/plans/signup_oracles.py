@@ -6,6 +6,7 @@ from ..functions import tables
 from ..functions.grams import BIGRAMS, ENGLISH_BIGRAMS, ENGLISH_TRIGRAMS, TRIGRAMS
 from ..operators.features import FEATURES
 from ..operators.synthetic import SUBSTITUTIONS, TLD_MISTAKES
+from ..operators.training import POISSON
 from ..sources.fixtures import WITH_SIGNUPS, WITH_VALIDATIONS
 from .signup_queries import DIRTY, ODD, YEAR
 
@@ -21,6 +22,10 @@ def _q(body: str, base: str = BASE) -> str:
     return f"{base} {body}"
 
 
+def _draw(seed: str, *keys: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}' || {' || '.join(f"'|' || CAST({k} AS VARCHAR)" for k in keys)}), 1, 15) AS BIGINT)"
+
+
 def _list(items) -> str:
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
@@ -314,7 +319,11 @@ ORACLE_SQL = {
     "t17_detection_rate": _q("SELECT count(*) AS total, round(count(*) FILTER (WHERE decision <> 'allow') / count(*), 6) AS detection_rate, round(avg(risk_score), 6) AS avg_score, round(avg(latency), 6) AS avg_latency, round(stddev_pop(latency), 6) AS stddev_latency, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(quantile_cont(latency, 0.99), 6) AS p99 FROM validations", WITH_VALIDATIONS),
     "t17_floor_percentiles": _q(", r AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS n, count(*) OVER () AS total FROM validations WHERE latency IS NOT NULL) SELECT " + ", ".join(f"round(max(latency) FILTER (WHERE n = least(floor({q} * total), total - 1)), 6) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99)) + " FROM r", WITH_VALIDATIONS),
     "t18_conflict_metrics": _q(", x AS (SELECT count(*) AS rows, count(*) FILTER (WHERE id % 2 = 1 AND label = 1) AS tp, count(*) FILTER (WHERE id % 2 = 1 AND label = 0) AS fp, count(*) FILTER (WHERE id % 2 = 0 AND label = 1) AS fn FROM s WHERE latency > 3.0 AND risk_score >= 0.6) SELECT rows, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall FROM x"),
-    "t22_merge_datasets": _q("SELECT e AS email, CASE WHEN id % 2 = 0 THEN CAST(label AS VARCHAR) ELSE 'fraud' END AS label, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM s"),
+    "t22_merge_datasets": _q(f"SELECT email, label, source, row_number() OVER (ORDER BY {_draw('42', 'email', 'source', 'label')}, email, source, label) - 1 AS position FROM (SELECT lower(email) AS email, CASE WHEN id % 2 = 0 THEN CAST(label AS VARCHAR) ELSE 'fraud' END AS label, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM s)"),
+    "t6_split": _q(f"SELECT id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_draw('42', 'id')}, CAST(id AS VARCHAR)) <= floor(count(*) OVER (PARTITION BY label) * 0.8 + 0.5) THEN 'fit' ELSE 'held' END AS part FROM s"),
+    "f2_shuffled_sample": _q(f"SELECT * FROM (SELECT id, row_number() OVER (ORDER BY {_draw('7', 'email', 'id', 'label')}, email, id, label) - 1 AS position FROM s) WHERE position < 500"),
+    "t9_bootstrap": _q(f"SELECT CAST(tree AS INT) AS tree, count(*) FILTER (WHERE w > 0) AS in_bag, CAST(sum(w) AS BIGINT) AS draws, count(*) FILTER (WHERE w = 0) AS out_of_bag FROM (SELECT tree, {' + '.join(f'CAST(u >= {c!r} AS INT)' for c in POISSON)} AS w FROM (SELECT tree, CAST({_draw('42', 'tree', 'id')} AS DOUBLE) / 1152921504606846976.0 AS u FROM s, range(10) r(tree))) GROUP BY tree"),
+    "t19_roc_area": _q(', v AS (SELECT risk_score AS v, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM s GROUP BY 1), c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM v) SELECT round(CAST(sum(p * (below + n / 2)) AS DOUBLE) / (sum(p) * sum(n)), 9) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM c'),
     "t25_sample_stats": _q(f"{SAMPLES} SELECT count(*) AS total, count(*) FILTER (WHERE label = 1) AS fraud, count(*) FILTER (WHERE label = 0) AS legit, " + ", ".join(f"count(*) FILTER (WHERE label_source = '{k}') AS {k}" for k in ("model", "manual", "known_disposable", "known_provider")) + ", min(timestamp) AS oldest, max(timestamp) AS newest FROM sm"),
     "t25_label_by_source": _q(f"{SAMPLES} SELECT label, label_source, count(*) AS \"count\" FROM sm GROUP BY ALL"),
     "io3_normalize_label": _q("SELECT id, CAST(CASE WHEN id % 6 IN (0, 2, 3) THEN 1 ELSE 0 END AS INT) AS label FROM s"),

@@ -203,7 +203,31 @@ def _t6(df: DataFrame) -> DataFrame:
 
 
 def _t22(df: DataFrame) -> DataFrame:
-    return t.merge_datasets({"a": (df.where("id % 2 = 0").select("email", F.col("label").cast("string").alias("label")), None), "b": (df.where("id % 2 = 1").select("email"), "fraud")}, seed=None)
+    return t.merge_datasets({"a": (df.where("id % 2 = 0").select("id", "email", F.col("label").cast("string").alias("label")), None), "b": (df.where("id % 2 = 1").select("id", "email"), "fraud")}).select("email", "label", "source", "position")
+
+
+def _bagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    rows = _train_rows(signups(spark, sf_dir))
+    return rows, t.train_bagged(rows, list(f.FEATURE_NAMES), "id", trees=5)
+
+
+def _t9_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _bagged(spark, sf_dir)
+    return t.tree_accuracy(rows, model, "id")
+
+
+def _t9_out_of_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = _bagged(spark, sf_dir)
+    return t.out_of_bag(rows, model, "id")
+
+
+def _t19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = t.random_search(_train_rows(signups(spark, sf_dir)), list(f.FEATURE_NAMES), draws=3, folds=2, trees=(5, 15), depth=(3, 6))
+    return spark.createDataFrame([(i, r["trees"], r["max_depth"], r["min_leaf"], r["auc"]) for i, r in enumerate(best)], "place int, trees int, max_depth int, min_leaf int, auc double")
+
+
+def _sample(df: DataFrame) -> DataFrame:
+    return _features(df, limit=500, shuffle_seed=7).select("id", "position")
 
 
 def _t24(df: DataFrame) -> DataFrame:
@@ -265,6 +289,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d11_geo": _rows(lambda df: wide(df, "id", v=i.geo(F.col("ip_country"), F.col("accept_language"), F.col("ip_country"), F.when(F.col("id") % 2 == 0, "US")))),
     "f1_feature_vector": _rows(lambda df: rounded(f.build_feature_vector(df, {"entropy_score": F.col("latency"), "local_length": F.length("email") * 5, "digit_ratio": F.col("risk_score") - 0.5, "name_in_email": F.col("label") == 1}, ["id"]))),
     "f2_export_features": _rows(lambda df: rounded(_features(df))),
+    "f2_shuffled_sample": _rows(_sample),
     "f4_forest_score": _rows(_f4),
     "f5_decision_tree": _rows(_f5),
     "f7_base_risk": _rows(lambda df: rounded(df.select("id", s.base_risk(F.col("id") % 7 != 0, F.col("id") % 5 == 0, F.when(F.col("id") % 3 != 0, F.col("risk_score"))).alias("base")))),
@@ -290,6 +315,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t7_forest": _t7,
     "t8_tree": _t8,
     "t9_out_of_fold": _t9,
+    "t9_bootstrap": _rows(lambda df: t.bootstrap_sizes(df, "id", 10)),
+    "t9_out_of_bag": _t9_out_of_bag,
+    "t9_tree_accuracy": _t9_accuracy,
     "t10_platt": _t10,
     "t12_threshold_scan": _rows(lambda df: t.threshold_scan(_scores(df))),
     "t13_recommend_cli": _rows(lambda df: t.recommend_thresholds(t.threshold_scan(_scores(df)), "cli")),
@@ -300,6 +328,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t17_detection_rate": _log(t.detection_rate),
     "t17_floor_percentiles": _log(t.floor_percentiles),
     "t18_conflict_metrics": _rows(lambda df: rounded(t.conflict_metrics(df.select("label", F.col("latency").alias("bigram_entropy"), F.col("risk_score").alias("domain_reputation_score"), (F.col("id") % 2).cast("int").alias("predicted"))))),
+    "t19_random_search": _t19,
+    "t19_roc_area": _rows(lambda df: t.roc_area(df, "risk_score").withColumn("auc", F.round("auc", 9))),
     "t20_train_until_passed": _t20,
     "t22_merge_datasets": _rows(_t22),
     "t24_typosquats": _rows(_t24),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.fixtures import SIGNUPS_SQL, VALIDATIONS_SQL, WITH_SIGNUPS, WITH_VALIDATIONS
 from ..streaming import jobs
 from .log_queries import rounded
+from .signup_oracles import HITS
 from .signup_queries import MODEL, YEAR
 
 
@@ -88,5 +89,6 @@ QUERIES = {f.__name__: f for f in (st1_score_stream, st2_samples_stream, st3_hou
 ORACLE_SQL = {
     "st3_hourly_decisions": f"{WITH_VALIDATIONS} SELECT date_trunc('hour', timestamp) AS hour, decision, count(*) AS \"count\", round(avg(risk_score), 6) AS avg_risk_score FROM validations GROUP BY ALL",
     "st4_busy_fingerprints": f"{WITH_VALIDATIONS}, w AS (SELECT *, date_trunc('hour', timestamp) - to_hours(CAST(k AS INT)) AS start FROM validations, range(6) r(k)) SELECT start, start + INTERVAL 6 HOUR AS \"end\", fingerprint_hash, count(*) AS \"count\", round(avg(risk_score), 6) AS avg_risk_score FROM w GROUP BY ALL HAVING count(*) > 3",
+    "st5_limit_hits_stream": f"{HITS} SELECT CAST(id AS BIGINT) AS id, hits > 2 AS limited FROM o",
     "st7_distinct_signups": f"{WITH_SIGNUPS} SELECT DISTINCT sha256(trim(lower(email))) AS email_hash FROM signups",
 }
