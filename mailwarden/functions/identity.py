@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,19 +13,52 @@ from .ngrams import letters
 
 
 def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """Length of the longest common subsequence, a row of the table at a time in the bits of one integer."""
+    full = (1 << len(a)) - 1
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    v = full
+    for y in b:
+        u = v & places.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def lcs_lengths(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """lcs_length for whole columns of texts of the letters a-z: a step for each letter place, not for each row. Null counts as empty.
+
+    The shorter of two texts lies in the bits of a 64-bit word; pairs whose shorter one has over 64 letters go by themselves.
+    """
+    a, b = a.fillna("").to_numpy(dtype=object), b.fillna("").to_numpy(dtype=object)
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    swap = la > lb
+    a, b, la, lb = np.where(swap, b, a), np.where(swap, a, b), np.minimum(la, lb), np.maximum(la, lb)
+    codes, starts = [], []
+    for texts, sizes in ((a, la), (b, lb)):
+        codes.append(np.frombuffer("".join(texts).encode("ascii") + b"a", dtype=np.uint8) - 97)
+        starts.append(np.cumsum(sizes) - sizes)
+    masks = np.zeros((len(a), 26), dtype=np.uint64)
+    for i in range(min(int(la.max(initial=0)), 64)):
+        rows = np.flatnonzero((la > i) & (la <= 64))
+        masks[rows, codes[0][starts[0][rows] + i]] |= np.uint64(1 << i)
+    v = np.full(len(a), ~np.uint64(0))
+    for j in range(int(lb[la <= 64].max(initial=0))):
+        rows = np.flatnonzero((lb > j) & (la > 0) & (la <= 64))
+        u = v[rows] & masks[rows, codes[1][starts[1][rows] + j]]
+        v[rows] = (v[rows] + u) | (v[rows] - u)
+    out = np.bitwise_count(~v).astype(np.int32)  # bits above a text's length stay set
+    for i in np.flatnonzero(la > 64):
+        out[i] = lcs_length(a[i], b[i])
+    return out
 
 
 def longest_common_subsequence(a: Column, b: Column) -> Column:
+    """Its length, of texts of the letters a-z; null counts as empty."""
+
     @F.pandas_udf(T.IntegerType())
     def lengths(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([lcs_length(p, q) if p and q else 0 for p, q in zip(x, y, strict=True)], dtype="int32")
+        return pd.Series(lcs_lengths(x, y))
 
     # Not to be computed again where its value is used, nor inside other functions.
     return lengths.asNondeterministic()(a, b)

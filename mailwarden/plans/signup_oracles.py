@@ -243,6 +243,14 @@ vr AS (SELECT domain, substr(n, 1, i - 1) || x || substr(n, i + 1) || '.' || z A
   UNION ALL SELECT domain, n || '.' || x FROM (SELECT *, unnest({_list(TLD_MISTAKES)}) AS x FROM ty) WHERE x <> z)"""
 
 # ST5: a window opens at the first hit after the last one's end
+# D10 of name and local part l. Rows of the table of common subsequences are running maxima.
+IDENTITY = """, i1 AS (SELECT *, coalesce(length(name) > 0 AND length(l) > 0, false) AS there, regexp_extract_all(lower(coalesce(name, '')), '[a-z]{2,}') AS tk, regexp_replace(lower(l), '[^a-z]', '', 'g') AS lt FROM s),
+i2 AS (SELECT DISTINCT array_to_string(tk, '') AS jn, lt, string_split(lt, '') AS b FROM i1),
+i3 AS (SELECT jn, lt, CASE WHEN jn = '' OR lt = '' THEN 0 ELSE list_max(list_reduce(string_split(jn, ''), lambda r, x: list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1),
+  lambda k: CASE WHEN k = 1 THEN 0 WHEN b[k - 1] = x THEN r[k - 1] + 1 ELSE r[k] END))), list_transform(range(0, len(b) + 1), lambda z: 0))) END AS n FROM i2),
+idn AS (SELECT i1.*, CASE WHEN there THEN n / greatest(length(jn), length(i1.lt), 1) ELSE 0.0 END AS similarity, CASE WHEN there THEN len([t for t in tk if contains(i1.lt, t)]) ELSE 0 END AS found,
+  CASE WHEN there AND len(tk) > 0 THEN len([t for t in tk if contains(i1.lt, t)]) / len(tk) ELSE 0.0 END AS overlap FROM i1 JOIN i3 ON array_to_string(i1.tk, '') = i3.jn AND i1.lt = i3.lt)"""
+
 HITS = f"""{WITH_VALIDATIONS.replace('WITH', 'WITH RECURSIVE', 1)}, h AS (SELECT CAST(id AS VARCHAR) AS id, client_ip AS k, timestamp AS t, row_number() OVER (PARTITION BY client_ip ORDER BY timestamp, CAST(id AS VARCHAR)) AS n FROM validations),
 o AS (SELECT id, k, n, t AS opened, 1 AS hits FROM h WHERE n = 1
   UNION ALL SELECT h.id, h.k, h.n, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN h.t ELSE opened END, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN 1 ELSE hits + 1 END FROM o JOIN h ON h.k = o.k AND h.n = o.n + 1)"""
@@ -254,6 +262,7 @@ ORACLE_SQL = {
     "b8_compare_distributions": _q(f"{BY_DAY} SELECT day, round(x, 6) AS similarity, x > 0.9 AS similar FROM dy"),
     "t24_typosquats": _q(f"{TYPOS} SELECT domain, variant FROM vr"),
     "t24_lookalikes": _q(f"{TYPOS}, im AS (SELECT variant, min(domain) AS imitates FROM vr GROUP BY 1), fo AS (SELECT id, regexp_replace(d, '^([^o.]*)o', '\\10') AS domain FROM s) SELECT id, domain, imitates FROM fo JOIN im ON domain = variant WHERE domain NOT IN (SELECT d FROM s)"),
+    "d10_identity": _q(f"{IDENTITY} SELECT id, round(similarity, 6) AS similarity, round(overlap, 6) AS token_overlap, found > 0 AS name_in_email FROM idn"),
     "st5_limit_hits": f"{HITS} SELECT id, hits > 2 AS limited FROM o",
     "p9_pattern_family": _q(f"{FAMILY} SELECT id, family, substr(sha256(family), 1, 16) AS family_hash, type, round(confidence, 6)::DOUBLE AS confidence, l || '@' || d AS normalized, has_sequential, has_dated, plus AS has_plus, structure, {DOMAIN_TYPE} AS domain_type FROM p9", BASE9),
     "b5_pattern_families": _q(f"{FAMILY}, c1 AS (SELECT family, type, count(*) AS n FROM p9 GROUP BY ALL), c2 AS (SELECT family, sum(n) AS \"count\", arg_max(type, (n, type)) AS type FROM c1 GROUP BY 1) SELECT family, CAST(\"count\" AS BIGINT) AS \"count\", type, row_number() OVER (ORDER BY \"count\" DESC, family) = 1 AS is_top, \"count\" >= 5 OR (\"count\" >= 3 AND type IN ('sequential', 'dated')) AS suspicious FROM c2", BASE9),

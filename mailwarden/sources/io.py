@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.address import clean_address
+
 ALIASES = {"email": ("email", "email_address"), "type": ("type", "label", "classification"), "category": ("category", "subcategory")}
 
 
@@ -15,19 +18,43 @@ def normalize_label(label: Column) -> Column:
     return F.coalesce(F.when(x.isin("fraud", "true"), 1).when(x.isin("legit", "false"), 0).when(number.isNotNull() & ~F.isnan(number), (number >= 0.5).cast("int")), F.lit(0))
 
 
-def read_labeled(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: email, type, category of a CSV with its columns in any order, by known names. Without a header the first
-    column is the address. Rows without @ go; a column that isn't there is null."""
-    raw = spark.read.csv(path, header=False)
-    head = raw.limit(1).collect()
-    names = [str(v or "").strip().lower() for v in head[0]] if head else []
-    find = lambda k: next((i for i, n in enumerate(names) if n in ALIASES[k]), None)
-    if find("email") is None:
-        cols = {k: raw.columns[i] if i < len(raw.columns) else None for i, k in enumerate(ALIASES)}
-    else:
-        cols = {k: raw.columns[i] if (i := find(k)) is not None else None for k in ALIASES}
-    picked = raw.select(*[F.trim(F.col(c)).alias(k) if c else F.lit(None).cast("string").alias(k) for k, c in cols.items()])
-    return picked.where(F.col("email").contains("@"))
+#: A field of a line of CSV that has a comma put before it: quoted, with doubled quotes inside, or plain.
+FIELD = r',("(?:[^"]|"")*"|[^,"]*)'
+
+
+def csv_fields(line: Column) -> Column:
+    """The fields of a line of CSV; null where quotes don't pair up."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(1))
+    read = F.aggregate(found, F.lit(0), lambda n, x: n + F.length(x) + 1)
+    plain = F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    return F.when(read == F.length(line) + 1, plain)
+
+
+def _known(fields: Column, aliases: tuple[str, ...]) -> Column:
+    """The first place (from 0) of a field with one of the names; null without."""
+    return F.array_min(F.filter(F.transform(fields, lambda x, i: F.when(F.lower(F.trim(x)).isin(*aliases), i)), lambda i: i.isNotNull()))
+
+
+def read_labeled(spark: SparkSession, path: str | list[str], keep_corrupt: bool = False) -> DataFrame:
+    """IO1: email, type, category of CSV files, each with its columns in an order of its own, by known names.
+
+    A file's header is its first line with a known name of the address column and no @; the places it gives hold for that file alone. In a file
+    without one the first three columns are address, type and category. Rows without @ go; an empty field or a column that isn't there is null. With keep_corrupt
+    lines whose quotes don't pair up, or with more fields than their header, come in a fourth column `corrupt`, with nulls before it; without, they go.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.where(F.trim("value") != "").withColumn("fields", csv_fields(F.col("value")))
+    places = {k: _known(F.col("fields"), names) for k, names in ALIASES.items()}
+    titles = lines.where(~F.col("value").contains("@")).withColumns({f"at_{k}": v for k, v in places.items()}).where("at_email IS NOT NULL")
+    heads = titles.groupBy("file").agg(F.min_by(F.struct(F.size("fields").alias("width"), *[f"at_{k}" for k in ALIASES]), F.struct("block", "n")).alias("head"))
+    rows = lines.select("file", "value", "fields").join(heads, "file", "left")
+    field = lambda k, i: F.nullif(F.trim(F.get("fields", F.when(F.col("head").isNull(), F.lit(i)).otherwise(F.col(f"head.at_{k}")))), F.lit("")).alias(k)
+    bad = F.col("fields").isNull() | F.coalesce(F.size("fields") > F.col("head.width"), F.lit(False))
+    read = rows.select(*[field(k, i) for i, k in enumerate(ALIASES)], F.when(bad, F.col("value")).alias("corrupt"))
+    good = read.where(F.col("corrupt").isNull() & F.col("email").contains("@"))
+    if not keep_corrupt:
+        return good.drop("corrupt")
+    return good.unionByName(read.where("corrupt IS NOT NULL").select(*[F.lit(None).cast("string").alias(k) for k in ALIASES], "corrupt"))
 
 
 def read_labeled_json(spark: SparkSession, path: str) -> DataFrame:
@@ -36,10 +63,34 @@ def read_labeled_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("emails").alias("e")).select("e.*")
 
 
-def write_features(df: DataFrame, path: str, features: list[str], label: str = "label", include_email: bool = False, fmt: str = "parquet") -> None:
-    """IO4: the feature columns by name, the label last, the address before it if asked."""
+def write_features(df: DataFrame, path: str, features: list[str], label: str = "label", include_email: bool = False, fmt: str = "parquet") -> dict[str, int]:
+    """IO4: write the feature columns by name, the label last, the address before it if asked.
+
+    Returned are the rows written, of these with a label of 1, and with a null among the features, counted by the tasks that write.
+    """
     out = df.select(*sorted(features), *(["email"] if include_email else []), label)
+    seen = Observation()
+    gaps = F.greatest(*[F.col(f).isNull().cast("int") for f in features], F.lit(0))
+    out = out.observe(seen, F.count("*").alias("rows"), F.count(F.when(F.col(label).cast("int") == 1, 1)).alias("positive"), F.coalesce(F.sum(gaps), F.lit(0)).alias("with_nulls"))
     out.write.mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).format(fmt).save(path)
+    return dict(seen.get)
+
+
+def write_clean(df: DataFrame, path: str, email: str = "email", label: str = "label", order: str = "id", source: str = "clean", fmt: str = "parquet") -> dict[str, int]:
+    """Write clean_dataset's rows; returned are how many were kept, duplicates and invalid.
+
+    One pass counts and writes. The counts are taken in the stage that writes, where a task that is run again counts once; so rows without a
+    valid address go through the shuffle too, spread by a hash of their order.
+    """
+    cleaned = df.withColumn(email, clean_address(F.col(email)))
+    apart = F.when(F.col(email).isNull(), F.xxhash64(order))
+    ranked = cleaned.withColumn("_n", F.row_number().over(W.partitionBy(email, apart).orderBy(order)))
+    seen, valid = Observation(), F.col(email).isNotNull()
+    counted = ranked.observe(seen, F.count(F.when(valid & (F.col("_n") == 1), 1)).alias("kept"), F.count(F.when(valid & (F.col("_n") > 1), 1)).alias("duplicates"), F.count(F.when(~valid, 1)).alias("invalid"))
+    first = counted.where(valid & (F.col("_n") == 1)).drop("_n")
+    kept = first.withColumn(label, F.when(F.lower(F.col(label).cast("string")).startswith("fraud"), "fraud").otherwise("legit")).withColumn("source", F.lit(source))
+    kept.write.mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).format(fmt).save(path)
+    return dict(seen.get)
 
 
 def to_log_rows(df: DataFrame) -> DataFrame:

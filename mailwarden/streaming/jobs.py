@@ -12,6 +12,7 @@ from ..operators.scoring import Config, alert_rows, score_signups
 from ..operators.training import auto_label, upsert_samples
 from ..sources.io import to_log_rows
 from .limits import limit_hits, limit_hits_stream
+from .versions import VersionedTable
 
 __all__ = ["limit_hits", "limit_hits_stream"]
 
@@ -40,34 +41,24 @@ def samples_of(scored: DataFrame, model_version: str = "1") -> DataFrame:
 SAMPLE = "email_hash string, feature_vector string, label int, label_source string, risk_score double, decision string, model_version string, timestamp timestamp"
 
 
-def sample_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest rows of each bucket, from versions before a batch if one is named. Only files of those versions are read."""
-    rows = spark.read.schema(f"{SAMPLE}, v int, bucket int").parquet(path)
-    rows = rows if before is None else rows.where(F.col("v") < before)
-    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row for each bucket
-    return rows.join(F.broadcast(newest), ["bucket", "v"])
+def samples_table(spark: SparkSession, path: str, buckets: int = 64, keep: int = 2) -> VersionedTable:
+    return VersionedTable(spark, path, SAMPLE, "email_hash", buckets, keep)
 
 
 def current_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples table that start_samples keeps."""
-    return sample_versions(spark, path).drop("bucket", "v")
+    """The samples table that start_samples keeps, as its newest whole batch left it."""
+    return samples_table(spark, path).current()
 
 
-def start_samples(scored: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger) -> StreamingQuery:
-    """ST2: keep the samples table current. Samples are in `buckets` buckets by their hash; a batch merges the buckets it
-    touches with their newest versions and writes them as version path/v=N, N being the batch.
+def start_samples(scored: DataFrame, path: str, checkpoint: str, buckets: int = 64, keep: int = 2, **trigger) -> StreamingQuery:
+    """ST2: keep the samples table current: a batch merges the buckets that its addresses are in, and publishes them together.
 
-    A batch that is run again after a failure reads what came before it and writes the same version. See current_samples.
+    A batch that is run again after a failure starts from the same version and writes the same one; a stream with a new checkpoint goes on from the newest. Versions that the newest `keep` batches don't
+    need are removed.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
-        new = samples_of(batch)
-        bucket = F.pmod(F.xxhash64("email_hash"), F.lit(buckets)).cast("int")
-        old = new.limit(0)
-        if n:
-            touched = F.broadcast(new.select(bucket.alias("bucket")).distinct())  # no more rows than buckets
-            old = sample_versions(batch.sparkSession, path, n).join(touched, "bucket", "left_semi").select(*new.columns)
-        upsert_samples(old, new).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
+        samples_table(batch.sparkSession, path, buckets, keep).update(samples_of(batch), n, upsert_samples, checkpoint)
 
     return scored.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

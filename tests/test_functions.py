@@ -133,3 +133,25 @@ def test_identity_and_geo(spark):
     g = spark.range(1).select(i.geo(F.lit("us"), F.lit("de-DE,en"), F.lit("A"), F.lit("B")).alias("v")).first().v
     assert (g.language_mismatch, g.timezone_mismatch, g.anomaly_score) == (True, True, 1.0)
     assert i.lcs_length("abcbdab", "bdcaba") == 4
+
+
+def test_subsequences_of_columns():
+    import random
+
+    import pandas as pd
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abcz") for _ in range(n))
+    pairs = [(word(r.randint(0, 12)), word(r.randint(0, 70))) for _ in range(400)] + [(word(n), word(m)) for n in (63, 64, 65, 90) for m in (10, 63, 64, 65, 200)] + [("", ""), (None, "a"), ("a", None)]
+    got = i.lcs_lengths(pd.Series([a for a, _ in pairs], dtype=object), pd.Series([b for _, b in pairs], dtype=object))
+    assert got.tolist() == [plain(a or "", b or "") for a, b in pairs]
+    assert all(i.lcs_length(a or "", b or "") == plain(a or "", b or "") for a, b in pairs)
+    assert i.lcs_lengths(pd.Series([], dtype=object), pd.Series([], dtype=object)).tolist() == []
