@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clamp, let
+from .common import clamp, in_steps, let
 from .ngrams import naturalness
 
 # Consonant clusters that words have.
@@ -60,45 +62,54 @@ def segments(local: Column) -> Column:
     return F.when(F.size(parts) > 0, parts).when(F.length(local) > 0, F.array(local)).otherwise(F.array().cast("array<string>"))
 
 
+def _tidy(local: Column) -> Column:
+    return F.trim(F.lower(F.coalesce(local, F.lit(""))))
+
+
+def _counts(x: Column, mark: Column, c: Column, seg: Column) -> dict[str, Column]:
+    """What is counted in a text, its marked form, its classes and its segments."""
+    count = lambda letter: F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))
+    clusters = F.filter(F.regexp_extract_all(mark, F.lit("[b-df-hj-np-tv-z]{3,}"), F.lit(0)), lambda r: ~r.rlike("|".join(CLUSTERS)))
+    tokens = F.regexp_extract_all(c, F.lit("[VC]+"), F.lit(0))
+    lengths, n_seg = F.transform(seg, lambda p: F.length(p)), F.size(seg)
+    return {
+        "length": F.length(x), "vowels": count("V"), "consonants": count("C"), "digits": count("D"), "symbols": count("S"), "unique_chars": F.size(F.array_distinct(chars(x))),
+        "max_vowel_run": _longest(c, "V+"), "max_consonant_run": _longest(c, "C+"), "max_digit_run": _longest(c, "D+"),
+        "max_repeat_run": F.greatest(_longest(x, r"(.)\1+"), F.when(F.length(x) > 0, 1).otherwise(0)), "repeats": F.length(x) - F.length(F.regexp_replace(x, r"(.)\1+", "$1")),
+        "impossible_clusters": F.size(clusters), "syllables": F.aggregate(tokens, F.lit(0), lambda a, t: a + F.greatest(F.lit(1), F.regexp_count(t, F.lit("V+")))),
+        "has_word_boundaries": x.rlike("[._-]"), "segment_count": n_seg, "avg_segment_length": F.coalesce(F.length(x) / F.nullif(n_seg, F.lit(0)), F.lit(0.0)),
+        "longest_segment": F.coalesce(F.array_max(lengths), F.lit(0)), "shortest_segment": F.coalesce(F.array_min(lengths), F.lit(0)),
+        "segments_without_vowels_ratio": F.coalesce(F.size(F.filter(seg, lambda p: ~p.rlike("[aeiouy]"))) / F.nullif(n_seg, F.lit(0)), F.lit(0.0)),
+        "bigram_entropy": bigram_entropy(x), "entropy": entropy(x)}
+
+
+def _ratios(k: Callable[[str], Column], names: list[str]) -> Column:
+    """The counts, and what follows from them."""
+    letters1, length1 = F.greatest(k("vowels") + k("consonants"), F.lit(1)), F.greatest(k("length"), F.lit(1))
+    sound = pronounceability(k("vowels") / letters1, k("max_consonant_run"), k("max_repeat_run"), k("digits") / length1, k("symbols") / length1, k("impossible_clusters"), k("segments_without_vowels_ratio"), k("has_word_boundaries"))
+    return F.struct(
+        *[k(n).alias(n) for n in names], (k("vowels") / letters1).alias("vowel_ratio"), (k("consonants") / letters1).alias("consonant_ratio"), (k("digits") / length1).alias("digit_ratio"),
+        (k("symbols") / length1).alias("symbol_ratio"), (k("repeats") / length1).alias("repeated_char_ratio"), (k("unique_chars") / length1).alias("unique_char_ratio"), (k("max_consonant_run") / letters1).alias("vowel_gap_ratio"),
+        F.when(k("length") == 0, 0.0).otherwise(sound).alias("pronounceability"))
+
+
+COUNTS = [
+    "length", "vowels", "consonants", "digits", "symbols", "unique_chars", "max_vowel_run", "max_consonant_run", "max_digit_run", "max_repeat_run", "repeats", "impossible_clusters", "syllables",
+    "has_word_boundaries", "segment_count", "avg_segment_length", "longest_segment", "shortest_segment", "segments_without_vowels_ratio", "bigram_entropy", "entropy"]
+
+
 def local_features(local: Column) -> Column:
     """S2-S9 of a local part as one struct; null and empty ones give zeros. Built in steps, so that no part is computed twice."""
+    parts = lambda x: F.struct(x.alias("x"), marked(x).alias("m"), classes(marked(x)).alias("c"), segments(x).alias("seg"))
+    counted = lambda s: F.struct(*[v.alias(n) for n, v in _counts(s["x"], s["m"], s["c"], s["seg"]).items()])
+    return let(_tidy(local), lambda x: let(parts(x), lambda s: let(counted(s), lambda k: _ratios(lambda n: k[n], COUNTS))))
+
 
-    def first(x: Column) -> Column:
-        mark = marked(x)
-        return F.struct(x.alias("x"), mark.alias("m"), classes(mark).alias("c"), segments(x).alias("seg"))
-
-    def counts(s: Column) -> Column:
-        x, c, seg = s["x"], s["c"], s["seg"]
-        count = lambda letter: F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))
-        clusters = F.filter(F.regexp_extract_all(s["m"], F.lit("[b-df-hj-np-tv-z]{3,}"), F.lit(0)), lambda r: ~r.rlike("|".join(CLUSTERS)))
-        tokens = F.regexp_extract_all(c, F.lit("[VC]+"), F.lit(0))
-        n_seg = F.size(seg)
-        lengths = F.transform(seg, lambda p: F.length(p))
-        return F.struct(
-            F.length(x).alias("length"), count("V").alias("vowels"), count("C").alias("consonants"), count("D").alias("digits"), count("S").alias("symbols"),
-            F.size(F.array_distinct(chars(x))).alias("unique_chars"), _longest(c, "V+").alias("max_vowel_run"), _longest(c, "C+").alias("max_consonant_run"), _longest(c, "D+").alias("max_digit_run"),
-            F.greatest(_longest(x, r"(.)\1+"), F.when(F.length(x) > 0, 1).otherwise(0)).alias("max_repeat_run"),
-            (F.length(x) - F.length(F.regexp_replace(x, r"(.)\1+", "$1"))).alias("repeats"),
-            F.size(clusters).alias("impossible_clusters"),
-            F.aggregate(tokens, F.lit(0), lambda a, t: a + F.greatest(F.lit(1), F.regexp_count(t, F.lit("V+")))).alias("syllables"),
-            x.rlike("[._-]").alias("has_word_boundaries"), n_seg.alias("segment_count"),
-            F.coalesce(F.length(x) / F.nullif(n_seg, F.lit(0)), F.lit(0.0)).alias("avg_segment_length"),
-            F.coalesce(F.array_max(lengths), F.lit(0)).alias("longest_segment"), F.coalesce(F.array_min(lengths), F.lit(0)).alias("shortest_segment"),
-            F.coalesce(F.size(F.filter(seg, lambda p: ~p.rlike("[aeiouy]"))) / F.nullif(n_seg, F.lit(0)), F.lit(0.0)).alias("segments_without_vowels_ratio"),
-            bigram_entropy(x).alias("bigram_entropy"), entropy(x).alias("entropy"))
-
-    def ratios(k: Column) -> Column:
-        letters = k["vowels"] + k["consonants"]
-        letters1, length1 = F.greatest(letters, F.lit(1)), F.greatest(k["length"], F.lit(1))
-        names = ("length", "vowels", "consonants", "digits", "symbols", "unique_chars", "max_vowel_run", "max_consonant_run", "max_digit_run", "max_repeat_run", "repeats", "impossible_clusters",
-                 "syllables", "has_word_boundaries", "segment_count", "avg_segment_length", "longest_segment", "shortest_segment", "segments_without_vowels_ratio", "bigram_entropy", "entropy")
-        return F.struct(
-            *[k[n].alias(n) for n in names], (k["vowels"] / letters1).alias("vowel_ratio"), (k["consonants"] / letters1).alias("consonant_ratio"), (k["digits"] / length1).alias("digit_ratio"),
-            (k["symbols"] / length1).alias("symbol_ratio"), (k["repeats"] / length1).alias("repeated_char_ratio"), (k["unique_chars"] / length1).alias("unique_char_ratio"), (k["max_consonant_run"] / letters1).alias("vowel_gap_ratio"),
-            F.when(k["length"] == 0, 0.0).otherwise(pronounceability(k["vowels"] / letters1, k["max_consonant_run"], k["max_repeat_run"], k["digits"] / length1, k["symbols"] / length1, k["impossible_clusters"], k["segments_without_vowels_ratio"], k["has_word_boundaries"])).alias("pronounceability"))
-
-    start = F.trim(F.lower(F.coalesce(local, F.lit(""))))
-    return let(start, lambda x: let(first(x), lambda s: let(counts(s), ratios)))
+def with_local_features(df: DataFrame, local: Column, out: str) -> DataFrame:
+    """df with local_features as a column, in steps."""
+    return in_steps(
+        df, out, lambda at: {"x": _tidy(local)}, lambda at: {"m": marked(at("x")), "seg": segments(at("x"))}, lambda at: {"c": classes(at("m"))},
+        lambda at: _counts(at("x"), at("m"), at("c"), at("seg")), lambda at: {out: _ratios(at, COUNTS)})
 
 
 def pronounceability(vowel_ratio, consonant_run, repeat_run, digit_ratio, symbol_ratio, impossible, vowelless, boundary) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import in_steps, let
 from .grams import BIGRAMS, ENGLISH_BIGRAMS, ENGLISH_TRIGRAMS, TRIGRAMS
 
 # Endings and patterns of languages, the first that matches counts.
@@ -53,9 +53,19 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z]", "")
 
 
+def one_of(words) -> str:
+    """A pattern for words of one length, as a tree of letters: a place that fits none fails at its first letters."""
+    rest: dict[str, set[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], set()).add(w[1:])
+    if all(own == {""} for own in rest.values()):
+        return f"[{''.join(sorted(rest))}]"
+    return "|".join(f"{first}{one_of(own) if all(len(w) == 1 for w in own) else f'(?:{one_of(own)})'}" for first, own in sorted(rest.items()))
+
+
 def _hits(clean: Column, found) -> Column:
-    """How many windows of a text are in a set: places where one of the set begins."""
-    return F.regexp_count(clean, F.lit("(?=" + "|".join(sorted(set(found))) + ")"))
+    """How many windows of a text are in a set of words of one length: places where one of the set begins."""
+    return F.regexp_count(clean, F.lit(f"(?={one_of(set(found))})"))
 
 
 def _by_language(clean: Column, language: Column, sets: dict[str, list[str]]) -> Column:
@@ -100,16 +110,31 @@ def naturalness(text: Column, multilingual: bool = True) -> Column:
             ((two * 0.6 + three * 0.4) > F.when(F.length(text) < 5, 0.30).otherwise(0.40)).alias("is_natural")))))
 
     def rest(s: Column) -> Column:
-        r, n = s["r"], s["n"]
-        two, three = F.greatest(n - 1, F.lit(0)), F.greatest(n - 2, F.lit(0))
-        return F.struct(
-            *[r[k].alias(k) for k in ("language", "bigram_score", "trigram_score", "overall_score", "is_natural")],
-            F.least((two + three) / 10, F.lit(1.0)).alias("confidence"), two.alias("total_bigrams"), three.alias("total_trigrams"),
-            F.floor(two * r["bigram_score"] + 0.5).cast("int").alias("matched_bigrams"), F.floor(three * r["trigram_score"] + 0.5).cast("int").alias("matched_trigrams"))
+        r = s["r"]
+        return _counted(r["language"], r["bigram_score"], r["trigram_score"], r["overall_score"], r["is_natural"], s["n"])
 
     return let(F.struct(score.alias("r"), F.length(base).alias("n")), rest)
 
 
+def with_naturalness(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with a column of N2's fields for a text, as naturalness has them, in steps."""
+    return in_steps(
+        df, out, lambda at: {"text": text},
+        lambda at: {"clean": letters(at("text")), "lang": detect_language(at("text")), "n": F.length(letters(strip_accents(at("text"))))},
+        lambda at: {"two": _share(_by_language(at("clean"), at("lang"), BIGRAMS), at("clean"), 2), "three": _share(_by_language(at("clean"), at("lang"), TRIGRAMS), at("clean"), 3)},
+        lambda at: {"overall": at("two") * 0.6 + at("three") * 0.4},
+        lambda at: {out: _counted(at("lang"), at("two"), at("three"), at("overall"), at("overall") > F.when(at("lang") == "en", 0.40).otherwise(0.30), at("n"))})
+
+
+def _counted(language: Column, bigram: Column, trigram: Column, overall: Column, natural: Column, n: Column) -> Column:
+    """N2's fields; n is the text's length in letters."""
+    two, three = F.greatest(n - 1, F.lit(0)), F.greatest(n - 2, F.lit(0))
+    return F.struct(
+        language.alias("language"), bigram.alias("bigram_score"), trigram.alias("trigram_score"), overall.alias("overall_score"), natural.alias("is_natural"),
+        F.least((two + three) / 10, F.lit(1.0)).alias("confidence"), two.alias("total_bigrams"), three.alias("total_trigrams"),
+        F.floor(two * bigram + 0.5).cast("int").alias("matched_bigrams"), F.floor(three * trigram + 0.5).cast("int").alias("matched_trigrams"))
+
+
 def ngram_risk(text: Column, natural: Column | None = None) -> Column:
     """From 0 to 1; 0.1 under three characters."""
     n = naturalness(text) if natural is None else natural

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .address import domain_part, local_part, normalize_email, tidy
-from .common import let
-from .ngrams import naturalness
+from .common import in_steps, let
+from .ngrams import naturalness, with_naturalness
 
 # Fixed values.
 COMMON_BASES = ("test", "user", "account", "email", "temp", "demo", "admin", "guest", "trial", "sample", "hello", "service", "team", "info", "support", "member")
@@ -147,18 +147,18 @@ def structure(local: Column) -> Column:
 
 def is_random(local: Column) -> Column:
     """Whether a local part looks random."""
+    return F.coalesce(let(naturalness(local), lambda n: _random(local, n)), F.lit(False))
 
-    def rest(n: Column) -> Column:
-        size = F.length(local)
-        vowels = F.regexp_count(F.lower(local), F.lit("[aeiou]")) / size
-        odd = (vowels < 0.15) | (vowels > 0.7)
-        dense = (F.size(F.array_distinct(F.filter(F.split(local, ""), lambda c: c != ""))) / size > 0.75) & (size >= 8)
-        mixed = local.rlike("[a-zA-Z]") & local.rlike("[0-9]") & ~local.rlike("[._-]")
-        unnatural = ~n["is_natural"]
-        found = (n["confidence"] > 0.7) & (dense | odd) | (n["confidence"] > 0.6) & (mixed | dense & odd)
-        return F.when(n["is_natural"] & (n["confidence"] > 0.5), False).when(size < 8, False).otherwise(unnatural & found)
 
-    return F.coalesce(let(naturalness(local), rest), F.lit(False))
+def _random(local: Column, n: Column) -> Column:
+    """P8 from the local part's naturalness."""
+    size = F.length(local)
+    vowels = F.regexp_count(F.lower(local), F.lit("[aeiou]")) / size
+    odd = (vowels < 0.15) | (vowels > 0.7)
+    dense = (F.size(F.array_distinct(F.filter(F.split(local, ""), lambda c: c != ""))) / size > 0.75) & (size >= 8)
+    mixed = local.rlike("[a-zA-Z]") & local.rlike("[0-9]") & ~local.rlike("[._-]")
+    found = (n["confidence"] > 0.7) & (dense | odd) | (n["confidence"] > 0.6) & (mixed | dense & odd)
+    return F.when(n["is_natural"] & (n["confidence"] > 0.5), False).when(size < 8, False).otherwise(~n["is_natural"] & found)
 
 
 def domain_type(domain: Column) -> Column:
@@ -172,23 +172,9 @@ def pattern_family(email: Column, as_of_year: int) -> Column:
 
     The detectors run on the address as its provider reads it; structure and domain come from the one without its tag.
     """
-    token = lambda t: F.when(t == "year", "YEAR").when(t == "short-year", "YY").when(t == "month-year", "MONTH-YEAR").otherwise("DATE")
-
     def choose(s: Column) -> Column:
-        n, d, q = s["n"], s["d"], s["q"]
-        local, domain = local_part(n["normalized"]), domain_part(n["normalized"])
-        at = lambda *parts: F.concat(*parts, F.lit("@"), domain)
-        is_dated, is_seq = d["has"] & (d["confidence"] >= 0.6), q["is_sequential"] & (q["confidence"] >= 0.5)
-        pick = lambda family, kind, c: F.struct(family.alias("family"), F.lit(kind).alias("type"), c.cast("double").alias("confidence"))
-        found = (F.when(is_dated, pick(at(structure(d["base"]), F.lit("."), token(d["type"])), "dated", d["confidence"]))
-                 .when(is_seq, pick(at(structure(q["base"]), F.lit(".NUM")), "sequential", q["confidence"]))
-                 .when(n["has_plus"], pick(at(structure(local), F.lit("+TAG")), "plus-addressing", F.when(n["suspicious_tag"], 0.7).otherwise(0.5)))
-                 .when(is_random(local), pick(at(F.lit("RANDOM")), "random", F.lit(0.6)))
-                 .when(local.rlike("[._-]"), pick(at(structure(local)), "formatted", F.lit(0.4)))
-                 .otherwise(pick(at(structure(local)), "simple", F.lit(0.3))))
-        return let(found, lambda f: F.struct(
-            f["family"].alias("family"), F.substring(F.sha2(f["family"], 256), 1, 16).alias("family_hash"), f["type"].alias("type"), f["confidence"].alias("confidence"), n["normalized"].alias("normalized"),
-            q["is_sequential"].alias("has_sequential"), d["has"].alias("has_dated"), n["has_plus"].alias("has_plus"), structure(local).alias("structure"), domain_type(domain).alias("domain_type")))
+        local = local_part(s["n"]["normalized"])
+        return _family(s["n"], s["d"], s["q"], local, domain_part(s["n"]["normalized"]), structure(local), is_random(local))
 
     def detect(n: Column) -> Column:
         return let(F.struct(n.alias("n"), dated(n["provider_normalized"], as_of_year).alias("d"), sequential(n["provider_normalized"], as_of_year).alias("q")), choose)
@@ -196,6 +182,35 @@ def pattern_family(email: Column, as_of_year: int) -> Column:
     return let(normalize_email(email), detect)
 
 
+def _family(n: Column, d: Column, q: Column, local: Column, domain: Column, shape: Column, random: Column) -> Column:
+    """P9's fields from the address's normal form, its date, its number, and what the local part without tag looks like."""
+    token = lambda t: F.when(t == "year", "YEAR").when(t == "short-year", "YY").when(t == "month-year", "MONTH-YEAR").otherwise("DATE")
+    at = lambda *parts: F.concat(*parts, F.lit("@"), domain)
+    is_dated, is_seq = d["has"] & (d["confidence"] >= 0.6), q["is_sequential"] & (q["confidence"] >= 0.5)
+    pick = lambda family, kind, c: F.struct(family.alias("family"), F.lit(kind).alias("type"), c.cast("double").alias("confidence"))
+    found = (F.when(is_dated, pick(at(structure(d["base"]), F.lit("."), token(d["type"])), "dated", d["confidence"]))
+             .when(is_seq, pick(at(structure(q["base"]), F.lit(".NUM")), "sequential", q["confidence"]))
+             .when(n["has_plus"], pick(at(shape, F.lit("+TAG")), "plus-addressing", F.when(n["suspicious_tag"], 0.7).otherwise(0.5)))
+             .when(random, pick(at(F.lit("RANDOM")), "random", F.lit(0.6)))
+             .when(local.rlike("[._-]"), pick(at(shape), "formatted", F.lit(0.4)))
+             .otherwise(pick(at(shape), "simple", F.lit(0.3))))
+    return let(found, lambda f: F.struct(
+        f["family"].alias("family"), F.substring(F.sha2(f["family"], 256), 1, 16).alias("family_hash"), f["type"].alias("type"), f["confidence"].alias("confidence"), n["normalized"].alias("normalized"),
+        q["is_sequential"].alias("has_sequential"), d["has"].alias("has_dated"), n["has_plus"].alias("has_plus"), shape.alias("structure"), domain_type(domain).alias("domain_type")))
+
+
+def with_pattern_family(df: DataFrame, email: Column, as_of_year: int, out: str, normal: Column | None = None, number: Column | None = None) -> DataFrame:
+    """df with a column of P9's fields, in steps. normal and number: normalize_email and sequential of the address, where df has them already."""
+    natural = f"{out}.natural"
+    df = in_steps(df, f"{out}.n", lambda at: {"n": normalize_email(email) if normal is None else normal})
+    n = F.col(f"`{out}.n`")
+    df = df.withColumns({f"{out}.local": local_part(n["normalized"]), f"{out}.domain": domain_part(n["normalized"]), f"{out}.d": dated(n["provider_normalized"], as_of_year), f"{out}.q": sequential(n["provider_normalized"], as_of_year) if number is None else number})
+    local = F.col(f"`{out}.local`")
+    df = with_naturalness(df, local, natural).withColumns({f"{out}.shape": structure(local), f"{out}.random": F.coalesce(_random(local, F.col(f"`{natural}`")), F.lit(False))})
+    made = ("n", "d", "q", "local", "domain", "shape", "random")
+    return df.withColumn(out, _family(*[F.col(f"`{out}.{k}`") for k in made])).drop(natural, *[f"{out}.{k}" for k in made])
+
+
 def plus_risk(email: Column, group_size: Column | None = None) -> Column:
     """0.2 for a plus tag, 0.3 more for a suspicious one, 0.4 more where its alias group (see operators.batch) has three or more."""
     row = let(normalize_email(email), lambda n: F.when(n["has_plus"] & n["suspicious_tag"], 0.5).when(n["has_plus"], 0.2).otherwise(0.0))

@@ -49,7 +49,8 @@ def signals(df: DataFrame, as_of_year: int, email: str = "email", name: str | No
     out = out.withColumns({
         "s_dom": d.validate_domain(F.col("s_domain"), F.col("s_listed")), "s_reputation": F.when(F.length("s_domain") > 0, d.domain_reputation(F.col("s_domain"), F.col("s_listed"))).otherwise(0.0),
         "s_seq": patterns.sequential(F.col("s_norm.provider_normalized"), as_of_year), "s_plus": patterns.plus_risk(F.col(email))})
-    out = out.withColumns({"s_lex": lexical.local_features(F.col("s_local")), "s_ngram": ngrams.naturalness(F.col("s_local")), "s_hints": lexical.name_digit_hints(F.col("s_local"))})
+    out = ngrams.with_naturalness(lexical.with_local_features(out, F.col("s_local"), "s_lex"), F.col("s_local"), "s_ngram")
+    out = out.withColumn("s_hints", lexical.name_digit_hints(F.col("s_local")))
     out = out.withColumn("s_lcs", i.longest_common_subsequence(F.when(F.length("s_local") > 0, F.array_join(i.name_tokens(col(name)), "")), ngrams.letters(F.col("s_local")))) if name in df.columns else out.withColumn("s_lcs", F.lit(0))
     return out.withColumns({
         "s_ngram_risk": ngrams.ngram_risk(F.col("s_local"), F.col("s_ngram")), "s_identity": i.identity(col(name), F.col("s_local"), F.col("s_lcs")),

@@ -240,7 +240,8 @@ def score_signups(df: DataFrame, as_of_year: int, model: dict | None = None, con
     eligible = valid & ~disposable
     rows = rows.withColumn("s_lift", heuristic_lifts(F.col("s_base"), {k: F.col(k) for k in config.rules}, config, eligible))
     reduced = professional_reduction(F.col("s_lift.score"), F.col("ngram_is_natural") == 1, F.col("alpha_prefix_naturalness"), F.col("mx_has_records") == 1, F.col("provider_is_free") == 1, disposable, F.col("sequential_confidence"), F.col("digit_ratio"), config)
-    rows = rows.withColumns({"risk_score": F.when(valid & ~disposable, reduced).otherwise(F.col("s_lift.score")), "s_family": patterns.pattern_family(F.col(email), as_of_year)})
+    rows = rows.withColumn("risk_score", F.when(valid & ~disposable, reduced).otherwise(F.col("s_lift.score")))
+    rows = patterns.with_pattern_family(rows, F.col(email), as_of_year, "s_family", F.col("s_norm"), F.col("s_seq"))
     rows = rows.withColumn("decision", decide(F.col("risk_score"), config))
     if "timestamp" not in df.columns:
         rows = rows.withColumn("timestamp", F.current_timestamp())

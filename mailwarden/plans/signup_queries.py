@@ -264,14 +264,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_current_date": _rows(lambda df: df.select("id", p.is_current_date(LOCAL(), dt.date(2024, 10, 1)).alias("current"))),
     "p7_structure": _rows(lambda df: df.select("id", p.structure(LOCAL()).alias("structure"))),
     "p8_is_random": _rows(lambda df: df.select("id", p.is_random(LOCAL()).alias("is_random"))),
-    "p9_pattern_family": _rows(lambda df: wide(df, "id", v=p.pattern_family(E(), YEAR))),
+    "p9_pattern_family": _rows(lambda df: wide(spread(df), "id", v=p.pattern_family(E(), YEAR))),
     "p10_domain_type": _rows(lambda df: df.select("id", p.domain_type(DOMAIN()).alias("domain_type"))),
     "p11_plus_risk": _rows(lambda df: rounded(df.select("id", p.plus_risk(E(), (F.col("id") % 5)).alias("plus_risk")))),
     "s1_entropy": _rows(lambda df: rounded(df.select("id", x.entropy(LOCAL()).alias("entropy"), x.bigram_entropy(LOCAL()).alias("bigram_entropy")))),
-    "s3_local_features": _rows(lambda df: wide(df, "id", v=x.local_features(LOCAL()))),
+    "s3_local_features": _rows(lambda df: wide(spread(df), "id", v=x.local_features(LOCAL()))),
     "s10_name_digit_hints": _rows(lambda df: wide(df, "id", v=x.name_digit_hints(LOCAL()))),
-    "n1_multilingual_score": _rows(lambda df: wide(df, "id", v=n.multilingual_score(LOCAL()))),
-    "n2_naturalness": _rows(lambda df: wide(df, "id", v=n.naturalness(F.concat(F.lit("é"), LOCAL())))),
+    "n1_multilingual_score": _rows(lambda df: wide(spread(df), "id", v=n.multilingual_score(LOCAL()))),
+    "n2_naturalness": _rows(lambda df: wide(spread(df), "id", v=n.naturalness(F.concat(F.lit("é"), LOCAL())))),
     "n2_english": _rows(lambda df: wide(df, "id", v=n.naturalness(LOCAL(), False))),
     "n3_detect_language": _rows(lambda df: df.select("id", n.detect_language(LOCAL()).alias("language"))),
     "n4_ngram_risk": _rows(lambda df: rounded(df.select("id", n.ngram_risk(LOCAL()).alias("risk")))),
