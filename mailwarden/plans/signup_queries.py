@@ -332,6 +332,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "t19_roc_area": _rows(lambda df: t.roc_area(df, "risk_score").withColumn("auc", F.round("auc", 9))),
     "t20_train_until_passed": _t20,
     "t22_merge_datasets": _rows(_t22),
+    "t23_synthetic": lambda spark, sf: syn.synthetic_dataset(spark, ids=signups(spark, sf)),
     "t24_typosquats": _rows(_t24),
     "t24_lookalikes": _rows(_lookalikes),
     "t25_sample_stats": _rows(lambda df: t.sample_stats(_samples(df))),

@@ -6,10 +6,10 @@ import math
 import duckdb
 import pytest
 
-from mailwarden.plans import io_queries, log_queries, score_oracles, signup_oracles, signup_queries, stream_queries
+from mailwarden.plans import io_queries, log_queries, score_oracles, signup_oracles, signup_queries, stream_queries, synthetic_oracles
 
 SF = "/root/testdata/sf0.001"
-ORACLES = {**log_queries.ORACLE_SQL, **signup_oracles.ORACLE_SQL, **stream_queries.ORACLE_SQL, **io_queries.ORACLE_SQL, **score_oracles.ORACLE_SQL}
+ORACLES = {**log_queries.ORACLE_SQL, **signup_oracles.ORACLE_SQL, **stream_queries.ORACLE_SQL, **io_queries.ORACLE_SQL, **score_oracles.ORACLE_SQL, **synthetic_oracles.ORACLE_SQL}
 QUERIES = {**log_queries.QUERIES, **signup_queries.QUERIES, **stream_queries.QUERIES, **io_queries.QUERIES}
 
 
