@@ -80,6 +80,31 @@ def dated_batch(df: DataFrame, as_of_year: int, email: str = "email", by: list[s
     return _dominant(rows, by or [], email, 0.7, 0.1, {email: "matching", "component": "dates"}, most_listed)
 
 
+def alias_members(df: DataFrame, email: str = "email", by: list[str] | None = None) -> DataFrame:
+    """B1's lists in full: every row of df that is in its list's largest alias group, with `canonical`. No row holds a group, so groups may have any size."""
+    rows = df.where(F.col(email).isNotNull()).withColumn("canonical", normalize_email(F.col(email))["provider_normalized"])
+    top = _top(rows.groupBy(*(by or []), "canonical").agg(F.count("*").alias("count")), by or [], "canonical")
+    return _members(rows, top, [*(by or []), "canonical"])
+
+
+def sequential_members(df: DataFrame, as_of_year: int, email: str = "email", by: list[str] | None = None) -> DataFrame:
+    """B3's lists in full: every row of df in its list's largest numbered family of two or more, with `family`."""
+    rows = df.withColumn("family", patterns.sequential_family(F.col(email), as_of_year)).where("family IS NOT NULL")
+    return _members(rows, _top(rows.groupBy(*(by or []), "family").agg(F.count("*").alias("count")), by or [], "family").where("count >= 2"), [*(by or []), "family"])
+
+
+def dated_members(df: DataFrame, as_of_year: int, email: str = "email", by: list[str] | None = None) -> DataFrame:
+    """B4's lists in full: every row of df in its list's largest dated family of two or more, with `family` and its date `component`."""
+    rows = df.withColumn("family", patterns.dated_family(F.col(email), as_of_year)).where("family IS NOT NULL")
+    found = _members(rows, _top(rows.groupBy(*(by or []), "family").agg(F.count("*").alias("count")), by or [], "family").where("count >= 2"), [*(by or []), "family"])
+    return found.withColumn("component", patterns.dated(F.col(email), as_of_year)["date_component"])
+
+
+def _members(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the groups. A group with many rows is one row on the other side, so Spark splits it over tasks."""
+    return rows.join(groups.select(*keys), keys, "left_semi")
+
+
 def pattern_families(df: DataFrame, as_of_year: int, email: str = "email", by: list[str] | None = None) -> DataFrame:
     """Each family's count, type, whether it is suspicious and whether it is its list's largest; by count."""
     by = by or []

@@ -28,6 +28,11 @@ def _training_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.training_history(log.where("decision = 'block'"))
 
 
+def _recent_rows(log: DataFrame, **options) -> DataFrame:
+    """The log with the two columns that only a scored one has."""
+    return a.recent_validations(log.withColumns({"tld_risk_score": (F.col("id") * 11 % 90) / 100, "pattern_confidence": F.when(F.col("id") % 4 != 0, (F.col("id") * 3 % 100) / 100)}), **options)
+
+
 QUERIES = {
     "a1_summary": _on_log(a.summary, hours=168),
     "a2_block_reasons": _on_log(a.block_reasons, hours=168),
@@ -60,7 +65,7 @@ QUERIES = {
     "a26_block_rate_by_day": _on_log(a.block_rate, by="day", hours=168),
     "a27_top_blocked_emails": _on_log(a.top_blocked_emails),
     "a28_tree_performance": _on_log(a.tree_performance, hours=168),
-    "a29_recent_validations": _on_log(a.recent_validations, hours=168),
+    "a29_recent_validations": _on_log(_recent_rows, hours=168),
     "a30_latency_percentiles": _on_log(a.latency_percentiles, hours=168),
     "a31_fraud_rate": _on_log(a.fraud_rate),
     "a31_score_ranges": _on_log(a.score_ranges, hours=168),
@@ -142,7 +147,7 @@ ORACLE_SQL = {
     "a26_block_rate_by_day": _sql(f"SELECT CAST(date_trunc('day', timestamp) AS TIMESTAMP) AS day, count(*) AS total, {BLOCKS} AS blocks, round({BLOCKS} * 100.0 / count(*), 2) AS block_rate FROM log GROUP BY ALL"),
     "a27_top_blocked_emails": _sql(f"SELECT {EMAIL} AS email, count(*) AS block_count, coalesce(string_agg(DISTINCT block_reason, ',' ORDER BY block_reason), '') AS reasons FROM log WHERE decision = 'block' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"),
     "a28_tree_performance": _sql("SELECT decision, count(*) AS \"count\", round(avg(latency), 2) AS avg_latency, round(avg(risk_score), 3) AS avg_risk_score FROM log WHERE decision_tree_reason IS NOT NULL GROUP BY ALL"),
-    "a29_recent_validations": _sql(f"SELECT id, {EMAIL} AS email, timestamp, decision, {_r('risk_score', 'risk_score')}, block_reason, country, pattern_type, is_disposable, is_free_provider, {_r('entropy_score', 'entropy_score')}, {_r('bot_score', 'bot_score')}, {_r('domain_reputation_score', 'domain_reputation_score')}, model_version, {_r('latency', 'latency')}, client_ip, fingerprint_hash, decision_tree_reason FROM log ORDER BY timestamp DESC, id LIMIT 500"),
+    "a29_recent_validations": _sql(f"SELECT id, {EMAIL} AS email, timestamp, decision, {_r('risk_score', 'risk_score')}, block_reason, country, pattern_type, is_disposable, is_free_provider, {_r('entropy_score', 'entropy_score')}, {_r('bot_score', 'bot_score')}, {_r('domain_reputation_score', 'domain_reputation_score')}, model_version, {_r('latency', 'latency')}, client_ip, fingerprint_hash, decision_tree_reason, round((id * 11 % 90) / 100, 6) AS tld_risk_score, round(CASE WHEN id % 4 <> 0 THEN (id * 3 % 100) / 100 END, 6) AS pattern_confidence FROM log ORDER BY timestamp DESC, id LIMIT 500"),
     "a30_latency_percentiles": _sql("""
         , r AS (SELECT latency, row_number() OVER (ORDER BY latency) AS n, count(*) OVER () AS total FROM log WHERE latency IS NOT NULL)
         SELECT round(max(latency) FILTER (WHERE n = floor(0.5 * total)), 6) AS p50, round(max(latency) FILTER (WHERE n = floor(0.95 * total)), 6) AS p95, round(max(latency) FILTER (WHERE n = floor(0.99 * total)), 6) AS p99 FROM r"""),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from ..functions import tables
 from ..functions.domains import MX_PROVIDERS
 from ..operators.features import FEATURES
 from ..sources.fixtures import WITH_SIGNUPS
 from . import signup_oracles as o
-from .signup_queries import ODD
+from .signup_queries import MODEL, ODD
 
 NORMAL = f"{WITH_SIGNUPS}, s8 AS (SELECT *, lower(trim(email)) AS e, split_part(lower(trim(email)), '@', 1) AS l, split_part(lower(trim(email)), '@', 2) AS d FROM signups), s AS (SELECT * EXCLUDE (l), {o.DOTLESS} AS l FROM s8)"
 CHECKED = o.ODDS.replace(f"lower(trim({ODD}))", "lower(trim(email))")
@@ -93,4 +95,6 @@ ORACLE_SQL = {
         f"{SCORED}, sm AS (SELECT sha256(lower(trim(email))) AS email_hash, CAST({LABEL} AS INT) AS label, CASE WHEN disposable THEN 'known_disposable' WHEN free AND score < 0.2 THEN 'known_provider' ELSE 'model' END AS label_source, round(score, 6) AS risk_score, decision, '1' AS model_version, timestamp FROM scored), "
         "rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, label DESC) AS k FROM sm) SELECT * EXCLUDE (k) FROM rk WHERE k = 1"),
     "st6_alert_stream": ALERTS,
+    "t14_guardrails": (
+        f"SELECT unnest(['warn', 'block', 'passed', 'failures', 'bytes']) AS name, unnest([CAST(warn AS VARCHAR), CAST(block AS VARCHAR), 'True', '[]', '{len(json.dumps(MODEL, separators=(',', ':')).encode())}']) AS value FROM ({_body('t13_recommend_in_process')}) WHERE warn IS NOT NULL"),
 }

@@ -251,6 +251,16 @@ i3 AS (SELECT jn, lt, CASE WHEN jn = '' OR lt = '' THEN 0 ELSE list_max(list_red
 idn AS (SELECT i1.*, CASE WHEN there THEN n / greatest(length(jn), length(i1.lt), 1) ELSE 0.0 END AS similarity, CASE WHEN there THEN len([t for t in tk if contains(i1.lt, t)]) ELSE 0 END AS found,
   CASE WHEN there AND len(tk) > 0 THEN len([t for t in tk if contains(i1.lt, t)]) / len(tk) ELSE 0.0 END AS overlap FROM i1 JOIN i3 ON array_to_string(i1.tk, '') = i3.jn AND i1.lt = i3.lt)"""
 
+# Newton steps from (0, 0) over counts of equal scores; st is coefficient, intercept, and whether the last step was small.
+PLATT = """, pr AS (SELECT risk_score AS v, label AS y, count(*) AS n FROM s GROUP BY ALL), nn AS (SELECT sum(n) FILTER (WHERE y = 1) AS pos, sum(n) FILTER (WHERE y = 0) AS neg FROM pr),
+ls AS (SELECT list(v ORDER BY v, y) AS v, list(CASE WHEN y = 1 THEN (pos + 1) / (pos + 2) ELSE 1 / (neg + 2) END ORDER BY v, y) AS t, list(CAST(n AS DOUBLE) ORDER BY v, y) AS n, count(*) AS k FROM pr, nn),
+cf AS (SELECT list_reduce(range(100), lambda st, i: CASE WHEN st[3] > 0 THEN st ELSE list_transform(list_transform([list_transform(range(1, k + 1), lambda j: 1 / (1 + exp(-(st[1] * v[j] + st[2]))))],
+  lambda p: [list_sum(list_transform(range(1, k + 1), lambda j: (p[j] - t[j]) * n[j] * v[j])), list_sum(list_transform(range(1, k + 1), lambda j: (p[j] - t[j]) * n[j])), list_sum(list_transform(range(1, k + 1), lambda j: (p[j] * (1 - p[j]) + 1e-12) * n[j] * v[j] * v[j])),
+    list_sum(list_transform(range(1, k + 1), lambda j: (p[j] * (1 - p[j]) + 1e-12) * n[j] * v[j])), list_sum(list_transform(range(1, k + 1), lambda j: (p[j] * (1 - p[j]) + 1e-12) * n[j]))]),
+  lambda h: [st[1] - (h[5] * h[1] - h[4] * h[2]) / (h[3] * h[5] - h[4] * h[4]), st[2] - (h[3] * h[2] - h[4] * h[1]) / (h[3] * h[5] - h[4] * h[4]),
+    CASE WHEN abs((h[5] * h[1] - h[4] * h[2]) / (h[3] * h[5] - h[4] * h[4])) < 1e-8 AND abs((h[3] * h[2] - h[4] * h[1]) / (h[3] * h[5] - h[4] * h[4])) < 1e-8 THEN 1.0 ELSE 0.0 END])[1] END, [CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)]) AS st FROM ls),
+coef AS (SELECT [round(st[1], 6), round(st[2], 6)] AS c FROM cf)"""
+
 HITS = f"""{WITH_VALIDATIONS.replace('WITH', 'WITH RECURSIVE', 1)}, h AS (SELECT CAST(id AS VARCHAR) AS id, client_ip AS k, timestamp AS t, row_number() OVER (PARTITION BY client_ip ORDER BY timestamp, CAST(id AS VARCHAR)) AS n FROM validations),
 o AS (SELECT id, k, n, t AS opened, 1 AS hits FROM h WHERE n = 1
   UNION ALL SELECT h.id, h.k, h.n, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN h.t ELSE opened END, CASE WHEN h.t > opened + INTERVAL 1 HOUR THEN 1 ELSE hits + 1 END FROM o JOIN h ON h.k = o.k AND h.n = o.n + 1)"""
@@ -275,7 +285,11 @@ ORACLE_SQL = {
     "f1_feature_vector": _q("SELECT id, " + ", ".join(f"round(CAST(least(greatest({F1[n]}, {low}), {high}) AS DOUBLE), 6) AS {n}" if n in F1 else f"CAST({fallback} AS DOUBLE) AS {n}" for n, low, high, fallback in FEATURES) + " FROM s"),
     "f8_heuristic_lifts": _q(f"{LIFTS} SELECT id, round(CAST(x AS DOUBLE), 6) AS score, r AS reasons FROM x5"),
     "t2_upsert_samples": _q(f"{SAMPLES}, rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, id % 2 DESC, label DESC) AS k FROM sm) SELECT email_hash, label, label_source, timestamp FROM rk WHERE k = 1"),
-    "t3_correct_labels": _q(f"{SAMPLES}, rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, id % 4 DESC, label DESC) AS k FROM sm WHERE id % 4 IN (0, 1)), fx AS (SELECT DISTINCT email_hash FROM sm WHERE id % 10 = 3) SELECT email_hash, CASE WHEN f.h IS NOT NULL THEN 1 ELSE label END AS label, CASE WHEN f.h IS NOT NULL THEN 'manual' ELSE label_source END AS label_source, CASE WHEN f.h IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE timestamp END AS timestamp FROM (SELECT * FROM rk WHERE k = 1) FULL JOIN (SELECT email_hash, 1 AS h FROM fx) f USING (email_hash)"),
+    "t3_correct_labels": _q(f"{SAMPLES}, rk AS (SELECT *, row_number() OVER (PARTITION BY email_hash ORDER BY timestamp DESC, id % 2 DESC, label DESC) AS k FROM sm), fx AS (SELECT DISTINCT sha256(CASE WHEN id % 20 = 3 THEN 'x' || e ELSE e END) AS email_hash FROM s WHERE id % 10 = 3) SELECT email_hash, CASE WHEN f.h IS NOT NULL THEN 1 ELSE label END AS label, CASE WHEN f.h IS NOT NULL THEN 'manual' ELSE label_source END AS label_source, CASE WHEN f.h IS NOT NULL THEN TIMESTAMP '2024-03-01 00:00:00' ELSE timestamp END AS timestamp FROM (SELECT * FROM rk WHERE k = 1) FULL JOIN (SELECT email_hash, 1 AS h FROM fx) f USING (email_hash)"),
+    "b1_alias_members": _q(f", c AS (SELECT id, d AS domain, {CANONICAL} AS canonical FROM s), n AS (SELECT domain, canonical, count(*) AS n FROM c GROUP BY ALL), b AS (SELECT domain, arg_min(canonical, (-n, canonical)) AS canonical FROM n GROUP BY 1) SELECT id, domain, canonical FROM c JOIN b USING (domain, canonical)"),
+    "b3_sequential_members": _q(f"{SEQ}, c1 AS (SELECT id, d AS domain, b || '[NUM]@' || d AS family FROM seq WHERE c >= 0.4), n AS (SELECT domain, family, count(*) AS n FROM c1 GROUP BY ALL), t AS (SELECT domain, arg_min(family, (-n, family)) AS family FROM n GROUP BY 1 HAVING max(n) >= 2) SELECT id, domain, family FROM c1 JOIN t USING (domain, family)"),
+    "b4_dated_members": _q(f"{DATED}, c1 AS (SELECT id, d AS domain, comp0 AS component, '[PATTERN].' || CASE k WHEN 'month-year' THEN '[MONTH-YEAR]' WHEN 'full-date' THEN '[DATE]' ELSE '[YEAR]' END || '@' || d AS family FROM dat WHERE has), n AS (SELECT domain, family, count(*) AS n FROM c1 GROUP BY ALL), t AS (SELECT domain, arg_min(family, (-n, family)) AS family FROM n GROUP BY 1 HAVING max(n) >= 2) SELECT id, domain, family, component FROM c1 JOIN t USING (domain, family)"),
+    "t10_platt": _q(f"{PLATT} SELECT id, round(1 / (1 + exp(-(c[1] * risk_score + c[2]))), 6) AS calibrated FROM s, coef"),
     "c1_clean_address": _q(f"{CLEAN} SELECT id, clean FROM cl"),
     "c2_clean_dataset": _q(f"{CLEAN} SELECT min(id) AS id, clean AS email, CASE WHEN arg_min(label, id) = 1 THEN 'fraud' ELSE 'legit' END AS label, 'clean' AS source FROM cl WHERE clean IS NOT NULL GROUP BY clean"),
     "c2_clean_counts": _q(f"{CLEAN} SELECT count(DISTINCT clean) AS kept, count(clean) - count(DISTINCT clean) AS duplicates, count(*) FILTER (WHERE clean IS NULL) AS invalid FROM cl"),
