@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import analytics, features
 from ..sources import io
 from ..sources.fixtures import WITH_VALIDATIONS, signups, validations
+from ..sources.io import shared_folder
 from .signup_oracles import CLEAN, _q
 from .signup_queries import DIRTY, MODEL
-from .stream_queries import _folder
 
 
 def io1_read_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sets of files, with their columns in another order and by other names."""
-    df, folder = signups(spark, sf_dir), _folder(spark)
+    df, folder = signups(spark, sf_dir), shared_folder(spark)
     kind, group = F.when(F.col("label") == 1, "fraud").otherwise("legit"), F.concat(F.lit('of "'), F.col("ip_country"), F.lit('", '), F.col("accept_language"))
     df.where("id % 2 = 0").select("email", kind.alias("type"), group.alias("category")).write.option("escape", '"').option("header", True).csv(f"{folder}/one")
     df.where("id % 2 = 1").select(group.alias("Subcategory"), kind.alias("label"), "id", F.col("email").alias("Email_Address")).write.option("escape", '"').option("header", True).csv(f"{folder}/two")
@@ -24,7 +24,7 @@ def io1_read_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def io2_read_labeled_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each hundred sign-ups."""
-    df, folder = signups(spark, sf_dir), _folder(spark)
+    df, folder = signups(spark, sf_dir), shared_folder(spark)
     row = F.struct("email", F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("type"), F.col("ip_country").alias("category"))
     files = df.groupBy(F.floor(F.col("id") / 100).alias("k")).agg(F.count("*").alias("count"), F.collect_list(row).alias("emails")).select(F.lit("now").alias("generated"), "count", "emails")
     files.write.option("maxRecordsPerFile", 1).json(folder)
@@ -32,19 +32,19 @@ def io2_read_labeled_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def io4_write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     io.write_features(signups(spark, sf_dir), folder, ["risk_score", "latency", "id"], include_email=True)
     return spark.read.parquet(folder)
 
 
 def io4_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = signups(spark, sf_dir).withColumn("score", F.when(F.col("id") % 9 != 0, F.col("risk_score")))
-    counts = io.write_features(df, _folder(spark), ["score", "latency"], fmt="csv")
+    counts = io.write_features(df, shared_folder(spark), ["score", "latency"], fmt="csv")
     return spark.createDataFrame([(counts["rows"], counts["positive"], counts["with_nulls"])], "rows long, positive long, with_nulls long")
 
 
 def io7_read_domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, folder = signups(spark, sf_dir), _folder(spark)
+    df, folder = signups(spark, sf_dir), shared_folder(spark)
     domain = F.substring_index("email", "@", -1)
     df.select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("# "), domain)).when(F.col("id") % 7 == 0, "").when(F.col("id") % 2 == 0, F.upper(domain)).otherwise(F.concat(F.lit("  "), domain))).write.text(folder)
     return io.read_domain_list(spark, [folder])
@@ -52,7 +52,7 @@ def io7_read_domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def io8_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log's decisions by country, as CSV and as JSON."""
-    table, folder = validations(spark, sf_dir).groupBy("country", "decision").agg(F.count("*").alias("count")), _folder(spark)
+    table, folder = validations(spark, sf_dir).groupBy("country", "decision").agg(F.count("*").alias("count")), shared_folder(spark)
     back = []
     for fmt in ("csv", "json"):
         io.export(table, f"{folder}/{fmt}", fmt)
@@ -65,19 +65,19 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c2_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = io.write_clean(_dirty(spark, sf_dir), _folder(spark))
+    counts = io.write_clean(_dirty(spark, sf_dir), shared_folder(spark))
     return spark.createDataFrame([(counts["kept"], counts["duplicates"], counts["invalid"])], "kept long, duplicates long, invalid long")
 
 
 def c2_written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     io.write_clean(_dirty(spark, sf_dir).withColumn("label", F.when(F.col("label") == "1", "Fraud_x").otherwise("ham")), folder)
     return spark.read.parquet(folder)
 
 
 def a30_sketched_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketches' percentiles against the log they stand for: which share of the rows is below each, and whether that is within 2 % of the one asked for."""
-    log, folder = validations(spark, sf_dir), _folder(spark)
+    log, folder = validations(spark, sf_dir), shared_folder(spark)
     analytics.latency_sketches(log).write.parquet(folder)
     found = analytics.sketched_percentiles(spark.read.parquet(folder))
     values = found.select("rows", F.explode(F.array(*[F.struct(F.lit(p).alias("share"), F.col(f"p{round(p * 100)}").alias("value")) for p in (0.5, 0.95, 0.99)])).alias("x")).select("rows", "x.*")

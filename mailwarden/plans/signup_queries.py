@@ -142,11 +142,11 @@ def _f13(df: DataFrame) -> DataFrame:
 
 
 def _train_rows(df: DataFrame) -> DataFrame:
-    return _features(df, skip_mx=True)
+    return io.written(_features(df, skip_mx=True), "features")
 
 
 def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _train_rows(signups(spark, sf_dir)).cache()
+    rows = _train_rows(signups(spark, sf_dir))
     fit, held = t.stratified_split(rows, key="id")
     model = t.train_forest(fit, list(f.FEATURE_NAMES), trees=5)
     return s.forest_score(held, model).select("id", "label", "score")
@@ -159,7 +159,7 @@ def _t8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.out_of_fold_scores(_train_rows(signups(spark, sf_dir)).cache(), list(f.FEATURE_NAMES), "id", folds=3, trees=5)
+    return t.out_of_fold_scores(_train_rows(signups(spark, sf_dir)), list(f.FEATURE_NAMES), "id", folds=3, trees=5)
 
 
 def _t10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _t14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _t20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _train_rows(signups(spark, sf_dir)).cache()
+    rows = _train_rows(signups(spark, sf_dir))
     got = t.train_until_passed(rows, list(f.FEATURE_NAMES), trees=5, attempts=2)
     return t.importance_ranking(spark, got["model"])
 

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import SIGNUPS_SQL, VALIDATIONS_SQL, WITH_SIGNUPS, WITH_VALIDATIONS
+from ..sources.io import shared_folder
 from ..streaming import jobs
 from .log_queries import rounded
 from .signup_oracles import HITS
 from .signup_queries import MODEL, YEAR
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
@@ -40,7 +31,7 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
 
     A batch writes a folder of its own, over what an earlier try of it has left.
     """
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else n}")
@@ -56,7 +47,7 @@ def st1_score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def st2_samples_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     scored = jobs.score_stream(signups_stream(spark, sf_dir).drop("risk_score", "latency"), YEAR, MODEL)
     jobs.start_samples(scored, f"{folder}/samples", f"{folder}/checkpoint").awaitTermination()
     return rounded(jobs.current_samples(spark, f"{folder}/samples").drop("feature_vector"))

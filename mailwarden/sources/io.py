@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,21 @@ def normalize_label(label: Column) -> Column:
     return F.coalesce(F.when(x.isin("fraud", "true"), 1).when(x.isin("legit", "false"), 0).when(number.isNotNull() & ~F.isnan(number), (number >= 0.5).cast("int")), F.lit(0))
 
 
+def shared_folder(spark: SparkSession, tag: str = "work") -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share; without that setting there is none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str = "work") -> DataFrame:
+    """df as a table in a shared folder, so that what reads it more than once computes it once."""
+    path = shared_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: A field of a line of CSV that has a comma put before it: quoted, with doubled quotes inside, or plain.
 FIELD = r',("(?:[^"]|"")*"|[^,"]*)'
 
