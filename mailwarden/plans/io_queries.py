@@ -9,6 +9,7 @@ from ..operators import analytics, features
 from ..sources import io
 from ..sources.fixtures import WITH_VALIDATIONS, signups, validations
 from ..sources.io import shared_folder
+from .log_queries import rounded
 from .signup_oracles import CLEAN, _q
 from .signup_queries import DIRTY, MODEL
 
@@ -43,6 +44,15 @@ def io4_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(counts["rows"], counts["positive"], counts["with_nulls"])], "rows long, positive long, with_nulls long")
 
 
+def io5_partitioned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log appended in two parts, in folders by day, of which the look-back reads those it needs."""
+    log, folder = validations(spark, sf_dir), shared_folder(spark)
+    for part in (0, 1):
+        io.append_validations(log.where(F.col("id") % 2 == part), folder)
+    read = io.read_validations(spark, folder)
+    return rounded(analytics.metrics_summary(read, hours=72).join(analytics.top_countries(read, hours=72).agg(F.max("count").alias("most")), how="cross"))
+
+
 def io7_read_domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, folder = signups(spark, sf_dir), shared_folder(spark)
     domain = F.substring_index("email", "@", -1)
@@ -92,7 +102,7 @@ def f3_feature_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy().agg(F.count("*").alias("rows")).select("rows", F.lit(",".join(found["missing"])).alias("missing"), F.lit(found["missing_ratio"]).alias("missing_ratio"), F.lit(found["ok"]).alias("ok"))
 
 
-QUERIES = {f.__name__: f for f in (io1_read_labeled, io2_read_labeled_json, io4_write_features, io4_written_counts, io7_read_domain_list, io8_export, c2_written_counts, c2_written_rows, a30_sketched_percentiles, f3_feature_alignment)}
+QUERIES = {f.__name__: f for f in (io1_read_labeled, io2_read_labeled_json, io4_write_features, io4_written_counts, io5_partitioned_log, io7_read_domain_list, io8_export, c2_written_counts, c2_written_rows, a30_sketched_percentiles, f3_feature_alignment)}
 
 LABEL = "CASE WHEN label = 1 THEN 'fraud' ELSE 'legit' END"
 ORACLE_SQL = {
@@ -100,6 +110,7 @@ ORACLE_SQL = {
     "io2_read_labeled_json": _q(f"SELECT email, {LABEL} AS type, ip_country AS category FROM s"),
     "io4_write_features": _q("SELECT id, latency, risk_score, email, label FROM s"),
     "io4_written_counts": _q("SELECT count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE id % 9 = 0 OR latency IS NULL) AS with_nulls FROM s"),
+    "io5_partitioned_log": f"{WITH_VALIDATIONS}, log AS (SELECT * FROM validations WHERE timestamp >= (SELECT max(timestamp) FROM validations) - INTERVAL 72 HOUR) SELECT count(*) AS total, count(*) FILTER (WHERE decision = 'block') AS blocks, count(*) FILTER (WHERE decision = 'warn') AS warns, count(*) FILTER (WHERE decision = 'allow') AS allows, round(coalesce(avg(latency), 0), 6) AS avg_latency, (SELECT max(n) FROM (SELECT count(*) AS n FROM log WHERE country IS NOT NULL GROUP BY country)) AS most FROM log",
     "io7_read_domain_list": _q("SELECT DISTINCT d AS domain FROM s WHERE id % 5 != 0 AND id % 7 != 0"),
     "io8_export": f"{WITH_VALIDATIONS} SELECT country, decision, count(*) AS \"count\", format FROM validations, (VALUES ('csv'), ('json')) f(format) GROUP BY ALL",
     "c2_written_counts": _q(f"{CLEAN} SELECT count(DISTINCT clean) AS kept, count(clean) - count(DISTINCT clean) AS duplicates, count(*) FILTER (WHERE clean IS NULL) AS invalid FROM cl"),
