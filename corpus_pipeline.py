@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: each stage takes the documents its predecessor kept."""
+"""A training-corpus pipeline: each stage takes the documents its predecessor kept.
+
+All stages take null ids, texts, languages and sources, empty and very long texts; null texts count as empty. Rows that share an id, or
+everything, are documents of their own, of which near-dedup keeps one and the others keep or drop each alike. Extra columns are carried along, whatever their names.
+An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
