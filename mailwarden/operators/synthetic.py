@@ -133,7 +133,7 @@ def fraud_kinds(g) -> dict:
     hexes = lambda salt, n: g.letters(salt, n, 1, HEX)
     spelled, heavy = g.spelled(word, "case", 0.5), g.number("heavy", 900_000, 100_000)
     syllable = lambda i: g.cat(g.chance("loud", 0.4, g.upper(g.pick("syllable", SYLLABLES, i)), g.pick("syllable", SYLLABLES, i), i), g.chance("extra", 0.3, g.number("extra.digit", 10, at=i), g.text(""), i))
-    cluster = lambda i: g.cat(g.pick("cluster", ("xkq", "zpw", "bvg", "jwf", "qzx", "kcv", "gxn"), i), g.chance("cut", 0.4, g.number("cut.digit", 10, at=i), g.text(""), i))
+    cluster = lambda i: g.cat(g.pick("cluster", ("rtk", "zgd", "vqp", "jxb", "wfz", "kzm", "dqv"), i), g.chance("cut", 0.4, g.number("cut.digit", 10, at=i), g.text(""), i))
     address = g.cat(*[x for k in range(4) for x in (g.text("-"), g.number(f"ip{k}", 220, 10))])
     return {
         "sequential": (g.cat(g.pick("base", ("user", "test", "admin", "mail", "info", "support", "contact")), g.number("n", 10_000)), d),
@@ -145,13 +145,13 @@ def fraud_kinds(g) -> dict:
         "consonants": (g.many("clusters", 2, 3, cluster), d),
         "dated": (g.cat(g.choose("dated", g.cat(f, g.text("."), last), g.cat(f, last), g.cat(f, g.text("_"), last), last), g.number("year", 51, 1960)), d),
         "disposable": (named, g.pick("throwaway", THROWAWAY)),
-        "plus": (g.cat(g.choose("stem", g.cat(f, g.text("."), last), g.cat(f, last), f), g.text("+"), g.pick("tagged", ("spam", "test", "promo", "trial", "offer", "signup"))), d),
+        "plus": (g.cat(g.choose("stem", g.cat(f, g.text("."), last), g.cat(f, last), f), g.text("+"), g.pick("tagged", ("test", "spam", "list", "web", "news"))), d),
         "keyboard": (g.pick("walk", ("qwerty", "asdfgh", "zxcvbn", "qazwsx", "123qwe", "qwertyuiop", "1q2w3e4r", "asd123")), d),
         "repeated": (g.choose("repeated", g.cat(g.times(g.letters("one", 1, 1, LETTERS), "long", 4, 4), g.number("rn", 10_000)), g.times(g.letters("one", 1, 1, LETTERS), "long", 4, 4), g.cat(word, g.times(digit, "four", 4, 1)), g.cat(f, g.times(digit, "three", 3, 1))), d),
         "mixed_case": (g.choose("mixed", spelled, g.cat(spelled, g.number("mixed.n", 1000)), g.cat(spelled, g.number("mixed.n", 1000), spelled)), d),
         "heavy_number": (g.choose("heavier", g.cat(heavy, word), g.cat(word, heavy), heavy, g.cat(word, heavy, word)), d),
         "typosquat": (named, g.pick("lookalike", LOOKALIKES)),
-        "vpn": (g.cat(g.pick("marker", ("vpn", "proxy", "exit", "tor", "node")), address, g.text("-"), g.number("port", 999)), g.pick("tunnel", TUNNELS)),
+        "vpn": (g.cat(g.pick("marker", ("vpn", "relay", "hop", "gate")), address, g.text("-"), g.number("port", 999)), g.pick("tunnel", TUNNELS)),
         "homoglyph": (g.replaced(g.cat(f, g.text("."), last), *DOUBLES), d),
         "ai_gibberish": (g.many("syllables", 3, 4, syllable), g.pick("ai", (*THROWAWAY, *TUNNELS)))}
 

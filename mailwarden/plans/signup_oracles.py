@@ -8,7 +8,7 @@ from ..operators.features import FEATURES
 from ..operators.synthetic import SUBSTITUTIONS, TLD_MISTAKES
 from ..operators.training import POISSON
 from ..sources.fixtures import WITH_SIGNUPS, WITH_VALIDATIONS
-from .signup_queries import DIRTY, ODD, YEAR
+from .signup_queries import BETWEEN, DATES, DIRTY, NAMES, ODD, YEAR
 
 RULES = (
     ("risk_score", ((0.9, 0.98, "heuristic_tld_extreme"), (0.8, 0.66, "heuristic_tld_high"))), ("id % 100 / 100", ((0.95, 0.96, "heuristic_domain_reputation_critical"), (0.85, 0.64, "heuristic_domain_reputation_watch"))),
@@ -353,3 +353,21 @@ ORACLE_SQL = {
     "io5_log_rows": _q("SELECT id, CASE WHEN id % 3 <> 0 THEN email END AS email, '[' || label || ']' AS labels, CAST(label = 1 AS INT) AS flag FROM s"),
     "io6_training_dataset": _q(f"{SAMPLES} SELECT CAST(id % 5 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS b, label, CAST(1 AS DOUBLE) AS weight FROM sm"),
 }
+
+
+def _over(name: str, email: str) -> str:
+    """A statement over sign-ups with other addresses."""
+    other = BASE.replace("FROM signups)", f"FROM (SELECT * REPLACE ({email} AS email) FROM signups))")
+    assert ORACLE_SQL[name].startswith(BASE) and other != BASE
+    return other + ORACLE_SQL[name].removeprefix(BASE)
+
+
+NUMBERED = r"^(.+?)[._-]([0-9]+)[._-](.+)$"
+ORACLE_SQL |= {
+    "p3_all_dates": _over("p3_dated", DATES),
+    "n1_all_languages": _over("n1_multilingual_score", NAMES),
+    "n3_all_languages": _over("n3_detect_language", NAMES),
+    "p1_numbers_between": _over("c8_email_hash", BETWEEN).split(" SELECT id, sha256")[0] + f", q1 AS (SELECT id, l, regexp_extract(l, '{NUMBERED}', 2) AS m, regexp_extract(l, '{NUMBERED}', 1) || '.[NUM].' || regexp_extract(l, '{NUMBERED}', 3) AS b FROM s), "
+    "q2 AS (SELECT *, len(m) > 1 AND m[1] = '0' AS z FROM q1), q3 AS (SELECT *, 0.3 + CASE WHEN len(m) >= 3 THEN 0.2 ELSE 0 END + CASE WHEN z THEN 0.2 ELSE 0 END AS c FROM q2) "
+    "SELECT id, c >= 0.4 AS is_sequential, b AS base, CAST(m AS DOUBLE) AS sequence, CAST(round(c, 6) AS DOUBLE) AS confidence, z AS leading_zeros, CAST(len(m) AS INT) AS seq_len FROM q3",
+}

@@ -29,6 +29,12 @@ YEAR = 2025
 DIRTY = """CASE id % 7 WHEN 0 THEN ' <' || upper(email) || '> ' WHEN 1 THEN 'mailto:' || email WHEN 2 THEN '"' || email || '".,' WHEN 3 THEN replace(email, '.', '..')
   WHEN 4 THEN replace(email, '@', ' @ ') WHEN 5 THEN replace(email, '@', '') ELSE email END"""
 ODD = "CASE id % 9 WHEN 0 THEN replace(email, '.', '') WHEN 1 THEN 'a' || substr(email, instr(email, '@')) WHEN 2 THEN email || '.x' WHEN 3 THEN 'é' || email WHEN 4 THEN 'b c' || email ELSE email END"
+#: Addresses with dates of every form, with numbers between marks, and with names of many languages.
+DATES = """CASE id % 6 WHEN 0 THEN 'ann.' || CAST(1930 + id % 100 AS STRING) || lpad(CAST(id % 14 AS STRING), 2, '0') || lpad(CAST(id % 33 AS STRING), 2, '0') WHEN 1 THEN CAST(1990 + id % 40 AS STRING) || '.carla'
+  WHEN 2 THEN 'bob_' || CAST(1950 + id % 80 AS STRING) || '-' || lpad(CAST(id % 13 AS STRING), 2, '0') || '-' || lpad(CAST(id % 32 AS STRING), 2, '0') || '.x'
+  WHEN 3 THEN 'eve' || CASE id % 4 WHEN 0 THEN 'jan' WHEN 1 THEN 'sept' WHEN 2 THEN 'march' ELSE '07' END || CAST(1960 + id % 70 AS STRING) WHEN 4 THEN 'kimmy' || lpad(CAST(id % 100 AS STRING), 2, '0') ELSE 'lee.' || CAST(1940 + id % 90 AS STRING) || '_z' END || '@gmail.com'"""
+BETWEEN = "CASE id % 3 WHEN 0 THEN 'ann' WHEN 1 THEN 'o.neil' ELSE 'x' END || CASE id % 4 WHEN 0 THEN '.' WHEN 1 THEN '_' ELSE '-' END || CASE WHEN id % 5 = 0 THEN '0' ELSE '' END || CAST(id % 2000 AS STRING) || CASE id % 2 WHEN 0 THEN '_' ELSE '.' END || 'shop@acme-corp.com'"
+NAMES = "CASE id % 12 WHEN 0 THEN 'petrovich' WHEN 1 THEN 'gonzalez' WHEN 2 THEN 'moreau' WHEN 3 THEN 'hartmann' WHEN 4 THEN 'bellini' WHEN 5 THEN 'sousinha' WHEN 6 THEN 'abdurrahman' WHEN 7 THEN 'kumarsingh' WHEN 8 THEN 'nguyen' WHEN 9 THEN 'zhangxiao' WHEN 10 THEN 'smithson' ELSE 'schulze' END || CASE WHEN id % 7 = 0 THEN '' ELSE CAST(id % 50 AS STRING) END || '@gmail.com'"
 FIRST_PART = "substr(email, 1, instr(email, '@') - 1)"
 #: A tiny forest over real features.
 MODEL = {
@@ -259,6 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c9_fingerprint": _rows(lambda df: df.select("id", a.fingerprint_hash(F.col("ip_country"), F.lit("j"), F.col("user_id"), F.lit(None), F.when(F.col("id") % 2 == 0, F.col("id"))).alias("fingerprint"))),
     "c10_mask_email": _rows(lambda df: df.select("id", a.mask_email(E()).alias("masked"))),
     "p1_sequential": _rows(lambda df: wide(df, "id", v=p.sequential(E(), YEAR))),
+    "p1_numbers_between": _rows(lambda df: wide(df.withColumn("email", F.expr(BETWEEN)), "id", v=p.sequential(E(), YEAR))),
+    "p3_all_dates": _rows(lambda df: wide(df.withColumn("email", F.expr(DATES)), "id", v=p.dated(E(), YEAR))),
+    "n1_all_languages": _rows(lambda df: wide(spread(df).withColumn("email", F.expr(NAMES)), "id", v=n.multilingual_score(LOCAL()))),
+    "n3_all_languages": _rows(lambda df: df.withColumn("email", F.expr(NAMES)).select("id", n.detect_language(LOCAL()).alias("language"))),
     "p2_sequential_family": _rows(lambda df: df.select("id", p.sequential_family(E(), YEAR).alias("family"))),
     "p3_dated": _rows(lambda df: wide(df, "id", v=p.dated(E(), YEAR))),
     "p4_year_age": _rows(lambda df: wide(df, "id", v=p.year_age((F.col("id") % 150 + 1890).cast("int"), "year", YEAR))),
