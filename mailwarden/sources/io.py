@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,34 +80,36 @@ def read_labeled_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("emails").alias("e")).select("e.*")
 
 
+def _saved(df: DataFrame, path: str, fmt: str, *parts: str) -> DataFrame:
+    """Write df, and return what was written as a frame over the files."""
+    options = {"header": True} if fmt == "csv" else {}
+    df.write.mode("overwrite").options(**options).format(fmt).partitionBy(*parts).save(path)
+    return df.sparkSession.read.schema(df.schema).options(**options).format(fmt).load(path)
+
+
 def write_features(df: DataFrame, path: str, features: list[str], label: str = "label", include_email: bool = False, fmt: str = "parquet") -> dict[str, int]:
     """IO4: write the feature columns by name, the label last, the address before it if asked.
 
-    Returned are the rows written, of these with a label of 1, and with a null among the features, counted by the tasks that write.
+    Returned are the rows written, of these with a label of 1, and with a null among the features, counted over the written files.
     """
-    out = df.select(*sorted(features), *(["email"] if include_email else []), label)
-    seen = Observation()
+    saved = _saved(df.select(*sorted(features), *(["email"] if include_email else []), label), path, fmt)
     gaps = F.greatest(*[F.col(f).isNull().cast("int") for f in features], F.lit(0))
-    out = out.observe(seen, F.count("*").alias("rows"), F.count(F.when(F.col(label).cast("int") == 1, 1)).alias("positive"), F.coalesce(F.sum(gaps), F.lit(0)).alias("with_nulls"))
-    out.write.mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).format(fmt).save(path)
-    return dict(seen.get)
+    return saved.agg(F.count("*").alias("rows"), F.count(F.when(F.col(label).cast("int") == 1, 1)).alias("positive"), F.coalesce(F.sum(gaps), F.lit(0)).alias("with_nulls")).first().asDict()
 
 
 def write_clean(df: DataFrame, path: str, email: str = "email", label: str = "label", order: str = "id", source: str = "clean", fmt: str = "parquet") -> dict[str, int]:
-    """Write clean_dataset's rows; returned are how many were kept, duplicates and invalid.
+    """Write clean_dataset's rows to path/status=kept; returned are how many were kept, duplicates and invalid.
 
-    One pass counts and writes. The counts are taken in the stage that writes, where a task that is run again counts once; so rows without a
-    valid address go through the shuffle too, spread by a hash of their order.
+    One pass over df writes duplicates and invalid rows too, into folders of their own, so nothing is lost; the counts come from the
+    written files, for Parquet from their footers alone, so tasks that are run again don't count twice. Rows without a valid address are spread by a hash of their order.
     """
-    cleaned = df.withColumn(email, clean_address(F.col(email)))
-    apart = F.when(F.col(email).isNull(), F.xxhash64(order))
-    ranked = cleaned.withColumn("_n", F.row_number().over(W.partitionBy(email, apart).orderBy(order)))
-    seen, valid = Observation(), F.col(email).isNotNull()
-    counted = ranked.observe(seen, F.count(F.when(valid & (F.col("_n") == 1), 1)).alias("kept"), F.count(F.when(valid & (F.col("_n") > 1), 1)).alias("duplicates"), F.count(F.when(~valid, 1)).alias("invalid"))
-    first = counted.where(valid & (F.col("_n") == 1)).drop("_n")
-    kept = first.withColumn(label, F.when(F.lower(F.col(label).cast("string")).startswith("fraud"), "fraud").otherwise("legit")).withColumn("source", F.lit(source))
-    kept.write.mode("overwrite").options(**({"header": True} if fmt == "csv" else {})).format(fmt).save(path)
-    return dict(seen.get)
+    original = F.col(email)
+    cleaned = df.withColumns({"_clean": clean_address(original)})
+    ranked = cleaned.withColumn("_n", F.row_number().over(W.partitionBy("_clean", F.when(F.col("_clean").isNull(), F.xxhash64(order))).orderBy(order)))
+    status = F.when(F.col("_clean").isNull(), "invalid").when(F.col("_n") == 1, "kept").otherwise("duplicates")
+    rows = ranked.withColumn("status", status).withColumns({email: F.coalesce("_clean", original), label: F.when(F.lower(F.col(label).cast("string")).startswith("fraud"), "fraud").otherwise("legit"), "source": F.lit(source)}).drop("_clean", "_n")
+    counts = {r.status: r["count"] for r in _saved(rows, path, fmt, "status").groupBy("status").count().collect()}
+    return {k: counts.get(k, 0) for k in ("kept", "duplicates", "invalid")}
 
 
 def to_log_rows(df: DataFrame) -> DataFrame:

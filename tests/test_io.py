@@ -27,8 +27,9 @@ def test_writes_are_counted(spark, tmp_path):
     rows = [(i, f"u{i % 7}@x.org" if i % 5 else "nothing", "Fraud" if i % 2 else "ham") for i in range(100)]
     df = spark.createDataFrame(rows, "id long, email string, label string").repartition(4)
     counts = io.write_clean(df, str(tmp_path / "clean"))
-    kept = spark.read.parquet(str(tmp_path / "clean"))
+    kept = spark.read.parquet(str(tmp_path / "clean/status=kept"))
     assert counts == {"kept": 7, "duplicates": 73, "invalid": 20} and kept.count() == 7
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == 100
     assert {r.id for r in kept.collect()} == {min(i for i, e, _ in rows if e == f"u{k}@x.org") for k in range(7)}
     assert io.write_clean(df.limit(0), str(tmp_path / "none")) == {"kept": 0, "duplicates": 0, "invalid": 0}
     features = spark.createDataFrame([(1.0, None, 1), (2.0, 3.0, 0)], "a double, b double, label int")
