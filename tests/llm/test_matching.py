@@ -383,6 +383,43 @@ def test_noisy_recordings_are_in_the_classes_of_all_pairs(spark):
     assert np.mean([got[i] == got[j] for i, j in pairs]) >= 0.95
 
 
+@pytest.mark.parametrize("large", [2048, 16])
+def test_links_among_many_unlike_recordings_of_one_bucket(spark, large):
+    rng = np.random.default_rng(21)
+    tone = lambda n: (np.sin(np.cumsum(rng.choice([0.2, 0.35, 0.5, 0.9], n).repeat(256))) + 1) * 110 + 17
+    opening = tone(8)  # the same in all: they share buckets, but not half of their integers
+    own = [np.concatenate([opening, tone(16)]) for _ in range(150)]
+    rows = [np.clip(x + rng.normal(0, 6 * copy, len(x)), 0, 255).astype(np.uint8).tobytes() for copy in (0, 1) for x in own]
+    order = rng.permutation(300).tolist()
+    rows = [rows[i] for i in order]
+    codes = audio.all_fingerprints(rows, 128, 64)
+    pairs = [(i, j) for i in range(300) for j in range(i)]
+    links = [x for x, y in zip(pairs, audio.aligning([(codes[i], codes[j]) for i, j in pairs], 0.1), strict=True) if y]
+    assert len(links) > 100
+    group = list(range(300))
+    for i, j in links:
+        group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "doc_id long, audio binary")
+    got = {r.doc_id: r.class_id for r in audio.recording_classes(df, frame=128, hop=64, large=large).collect()}
+    assert sum(got[i] != got[j] for i, j in links) <= len(links) // 100
+    assert all(group[i] == group[j] for i, j in pairs if got[i] == got[j])
+
+
+def test_alignments_of_many_pairs_against_one_by_one():
+    rng = np.random.default_rng(6)
+    pairs = []
+    for _ in range(300):
+        a, b = (rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) for k in rng.integers(0, 60, 2))
+        if len(a) and len(b) and rng.random() < 0.6:
+            n, at = min(len(a), len(b)), 0 if rng.random() < 0.5 else min(len(a), len(b)) // 2
+            flips = (rng.random((n - at, 32)) < rng.choice([0.05, 0.1, 0.12])) @ (1 << np.arange(32, dtype=np.uint64))
+            b[: n - at] = a[at:n] ^ flips.astype(np.uint32)
+        pairs.append((a, b))
+    want = [audio.align(a, b)[1] <= 0.1 for a, b in pairs]
+    assert 30 < sum(want) < 250
+    assert audio.aligning(pairs, 0.1).tolist() == want
+
+
 def test_pipeline_runs_and_each_stage_decides(spark):
     import corpus_pipeline
 
