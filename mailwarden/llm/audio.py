@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 from .common import blocks, bounded_batches, texts, written
 from .components import connected_components
-from .near_dedup import RUN, U, dealt_pairs, joined_parts, mixed, open_buckets, with_classes
+from .near_dedup import RUN, U, joined_parts, mixed, open_buckets, probable, with_classes
 
 RATE = 8000
 WIDTH = 8  # frames under the widest filter
 AT_ONCE = 1 << 20  # samples
-AROUND = (0, 3, -3, 6, -6, 9, -9, -12)  # the integers kept with an anchor, by their distance from it
+#: The integers kept with an anchor, by their distance from it: two in a word with 16 bits each, or four with 8 bits each.
+AROUND = ((1, 2), (3, 4), (5, 6), (-1, -2), (-3, -4), (-5, -6), (7, -7), (9, 12, 17, 24), (-9, -12, -17, -24), (34, -34, 48, -48))
+FAR = 48
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -193,12 +195,18 @@ def fingerprints(recordings: DataFrame, audio_col: str = "audio", frame: int = 1
     return recordings.mapInArrow(run, schema)
 
 
+def kept_bits() -> list[tuple[int, int, np.uint32]]:
+    """(word of a sample, distance from the anchor, bits of the integer there that the word has)."""
+    kinds = {2: (0xAAAAAAAA, 0x55555555), 4: (0x11111111, 0x22222222, 0x44444444, 0x88888888)}
+    return [(k, d, np.uint32(bits)) for k, word in enumerate(AROUND) for d, bits in zip(word, kinds[len(word)], strict=True)]
+
+
 def anchored(nodes: DataFrame, bands: int, parts: int) -> DataFrame:
     """Rows (hash, node, sample), one for each band, for nodes (node, codes) of 8 integers or more.
 
     A band looks at `parts` of the 16 filters only, so that recordings whose integers have wrong bits still meet in
-    bands that don't look at these. Its hash is that of one integer, the anchor; `sample` has the integers around it
-    (0 beyond the ends), and how many stand before it and from it on.
+    bands that don't look at these. Its hash is that of one integer, the anchor; `sample` has bits of the integers around
+    it (0 beyond the ends; see AROUND), and how many stand before it and from it on.
     """
     masks = band_masks(bands, parts)
     schema = T.StructType([T.StructField("hash", T.LongType()), nodes.schema["node"], T.StructField("sample", T.BinaryType())])
@@ -212,9 +220,9 @@ def anchored(nodes: DataFrame, bands: int, parts: int) -> DataFrame:
             before = place - starts[:, None]
             after = size[:, None] - before
             sample = np.zeros((*place.shape, len(AROUND) + 2), dtype="<u4")
-            for k, d in enumerate(AROUND):
+            for k, d, bits in kept_bits():
                 inside = (before + d >= 0) & (d < after)
-                sample[:, :, k] = np.where(inside, codes[np.where(inside, place + d, 0)], 0)
+                sample[:, :, k] |= np.where(inside, codes[np.where(inside, place + d, 0)], 0) & bits
             sample[:, :, -2], sample[:, :, -1] = before, after
             data, width = pa.py_buffer(sample.tobytes()), sample.shape[2] * 4
             n = least.size
@@ -224,20 +232,36 @@ def anchored(nodes: DataFrame, bands: int, parts: int) -> DataFrame:
     return nodes.where("octet_length(codes) >= 32").select("node", "codes").mapInArrow(run, schema)
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For rows of samples (see anchored) the share of equal bits of the integers that both have, with their anchors one
-    upon the other; 0 if so laid they don't overlap over 8 integers and half of the shorter recording."""
-    low = np.minimum(x[:, -2:], y[:, -2:]).astype(np.int64)
-    before, after = low[:, 0], low[:, 1]
-    shorter = np.minimum(x[:, -2] + x[:, -1], y[:, -2] + y[:, -1]).astype(np.int64)
-    out = np.zeros(len(before))
-    at = np.flatnonzero(before + after >= np.maximum(8, (shorter + 1) // 2))
-    d = np.array(AROUND)
-    inside = (before[at, None] + d >= 0) & (d < after[at, None])
-    one, two = (z if len(z) == 1 else z[at] for z in (x, y))
-    wrong = np.where(inside, np.bitwise_count(one[:, :-2] ^ two[:, :-2]), 0).sum(axis=1)
-    out[at] = 1 - wrong / (32 * inside.sum(axis=1))
-    return out
+class Likeness:
+    """Whether samples (see anchored), with their anchors one upon the other, are like enough for a link at a share of wrong bits.
+
+    They overlap over 8 integers and half of the shorter recording, and of the bits that both have at most 1.6 times that
+    share differ, or the share and 4 standard deviations of as many draws if that is more: few bits tell less. The
+    anchors themselves, which agree in most bits wherever recordings meet, don't count.
+    """
+
+    def __init__(self, wrong_bits: float):
+        before, after = (np.zeros((FAR + 2, len(AROUND)), dtype="<u4") for _ in range(2))
+        for k, d, bits in kept_bits():
+            before[max(0, -d) :, k] |= bits if d < 0 else np.uint32(0)
+            after[d + 1 :, k] |= bits if d > 0 else np.uint32(0)
+        # Words of 64 bits; by how many integers both have before the anchors, and from them on.
+        self.before, self.after = before.view("<u8"), after.view("<u8")
+        self.n_before, self.n_after = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (before, after))
+        n = np.arange(self.n_before[-1] + self.n_after[-1] + 1)
+        self.most = np.floor(np.maximum(1.6 * wrong_bits * n, wrong_bits * n + 4 * np.sqrt(max(0.0, wrong_bits * (1 - wrong_bits)) * n)) + 1e-6)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        low = np.minimum(x[:, -2:], y[:, -2:]).astype(np.int64)
+        before, after = low[:, 0], low[:, 1]
+        shorter = np.minimum(x[:, -2] + x[:, -1], y[:, -2] + y[:, -1]).astype(np.int64)
+        out = np.zeros(len(before), dtype=bool)
+        at = np.flatnonzero(before + after >= np.maximum(8, (shorter + 1) // 2))
+        before, after = np.minimum(before[at], FAR + 1), np.minimum(after[at], FAR + 1)
+        one, two = ((z if len(z) == 1 else z[at]).view("<u8")[:, :-1] for z in (x, y))
+        wrong = np.bitwise_count((one ^ two) & (self.before[before] | self.after[after])).sum(axis=1, dtype=np.int64)
+        out[at] = wrong <= self.most[self.n_before[before] + self.n_after[after]]
+        return out
 
 
 def samples_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -251,15 +275,16 @@ def longer_first(s: np.ndarray, node: np.ndarray, p: np.ndarray, q: np.ndarray)
     return np.where(swap, q, p), np.where(swap, p, q)
 
 
-def bucket_pairs(rows: DataFrame, least: float, large: int = 2048, each: int = 16) -> DataFrame:
-    """Rows (hash, a, b, sample) from rows (hash, node, sample): the pairs (a, b) of a bucket whose samples are alike in a
-    share of `least` or more, the longer recording first, their sample null, and rows (hash, a, null, sample) of the buckets that are left to later.
+def bucket_pairs(rows: DataFrame, wrong_bits: float, large: int = 2048, each: int = 16) -> DataFrame:
+    """Rows (hash, a, b, sample) from rows (hash, node, sample): the pairs (a, b) of a bucket whose samples are alike
+    (see Likeness), the longer recording first, their sample null, and rows (hash, a, null, sample) of the buckets that are left to later.
 
     Rows are range-partitioned by bucket, sample and node, so a large bucket spreads over tasks. Left to later are
     buckets that may span tasks, those of more than `large` nodes, and those with more than `each` pairs for each node:
     of these, pairs come only from neighbours and with the first, which join most of a group of copies.
     """
     schema = T.StructType([T.StructField("hash", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sample", T.BinaryType())])
+    alike = Likeness(wrong_bits)
 
     def within(t: pa.Table, first: bool, last: bool, going_on: bool) -> Iterator[pa.RecordBatch]:
         """Whole buckets; the first or last may be one that spans tasks. If going_on, its first row was in the table before."""
@@ -276,7 +301,7 @@ def bucket_pairs(rows: DataFrame, least: float, large: int = 2048, each: int = 1
             at = at[at + lag < edge[bucket[at] + 1]]
             for i in range(0, len(at), 1 << 15):
                 p = at[i : i + (1 << 15)]
-                p = p[alike(s[p], s[p + lag]) >= least]
+                p = p[alike(s[p], s[p + lag])]
                 found.append(np.stack([p, p + lag]))
                 n_pairs += np.bincount(bucket[p], minlength=len(size))
             lag += 1
@@ -290,7 +315,7 @@ def bucket_pairs(rows: DataFrame, least: float, large: int = 2048, each: int = 1
         starred = np.arange(len(a)) >= keep.sum()
         for i in range(0, len(a), 1 << 14):
             p, q = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
-            ok = ~starred[i : i + (1 << 14)] | (alike(s[p], s[q]) >= least)
+            ok = ~starred[i : i + (1 << 14)] | alike(s[p], s[q])
             p, q = p[ok], q[ok]
             p, q = longer_first(s, node, p, q)
             yield pa.RecordBatch.from_arrays([pa.array(h[p]), pa.array(node[p]), pa.array(node[q]), pa.nulls(len(p), pa.binary())], names=schema.names)
@@ -387,23 +412,35 @@ def aligned(pairs: DataFrame, nodes: DataFrame, wrong_bits: float) -> DataFrame:
                 names, both, size = [], [], 0
         yield found(names, both)
 
-    return dealt_pairs(pairs, nodes).mapInArrow(run, schema)
+    return dealt_codes(pairs, nodes).mapInArrow(run, schema)
+
+
+def dealt_codes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (a, run, b, codes) for pairs (a, b, run): in each run the row of `a` itself, its b null, comes first and those
+    of its partners after it, all in one task. nodes are (node, codes).
+
+    Both ends of the pairs get their codes in one join, and most nodes that are in no pair stay out of it.
+    """
+    heads = pairs.select("a", "run", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), F.col("a").alias("node")).distinct()
+    ends = heads.union(pairs.select("a", "run", "b", F.col("b").alias("node")))
+    return ends.join(probable(nodes, ends.select("node")), "node").select("a", "run", "b", "codes").repartition("a", "run").sortWithinPartitions("a", "run", "b")
 
 
 def in_runs(pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) with a `run` of about RUN partners of one first, so that they can be dealt to several tasks."""
-    many = pairs.groupBy("a").count().where(F.col("count") > RUN)
+    many = written(pairs.groupBy("a").count().where(F.col("count") > RUN), "many-partners")  # few, so that Spark can broadcast them
     runs = F.ceil(F.col("count") / RUN)
     return pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), runs), F.lit(0)).cast("int").alias("run"))
 
 
-def open_pairs(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """The pairs (a, b), the longer recording first, of nodes of one bucket but different parts whose samples are alike in
-    a share of `least` or more: rows are (hash, n, node, part, sample), n the bucket's number of nodes.
+def open_pairs(rows: DataFrame, wrong_bits: float, block: int = 1024) -> DataFrame:
+    """The pairs (a, b), the longer recording first, of nodes of one bucket but different parts whose samples are alike
+    (see Likeness): rows are (hash, n, node, part, sample), n the bucket's number of nodes.
 
     A bucket of more nodes than a block is cut, and each pair of blocks is a group of its own.
     """
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    alike = Likeness(wrong_bits)
 
     def compare(group: pa.Table) -> pa.Table:
         node, part, own = (group.column(c).to_numpy() for c in ("node", "part", "own"))
@@ -411,7 +448,7 @@ def open_pairs(rows: DataFrame, least: float, block: int = 1024) -> DataFrame:
         left, right, found = np.flatnonzero(own == i), np.flatnonzero(own == j), [np.zeros((2, 0), dtype=np.int64)]
         for p in left.tolist():
             q = right[(part[right] != part[p]) & ((i != j) | (right > p))]
-            q = q[alike(s[q], s[p : p + 1]) >= least]
+            q = q[alike(s[q], s[p : p + 1])]
             found.append(np.stack([np.full(len(q), p), q]))
         p, q = np.concatenate(found, axis=1)
         p, q = longer_first(s, node, p, q)
@@ -431,8 +468,8 @@ def recording_classes(recordings: DataFrame, id_col: str = "doc_id", audio_col:
     recordings are one node of the graph, in one class whatever their length. Null and empty recordings have no
     integers and are classes of their own; an empty table gives no rows.
 
-    Candidates share a band or more whose anchors have like integers around them (8 of them, every third, with 1.6 times
-    the wrong bits at most); every two of a bucket are looked at. Buckets of more than `large` nodes, or of very many
+    Candidates share a band or more whose anchors have like integers around them (320 bits of 26 integers, up to 48 away;
+    see Likeness); every two of a bucket are looked at. Buckets of more than `large` nodes, or of very many
     candidates, are linked by neighbours first; where that leaves more than one class, all their nodes of different
     classes are compared, by blocks. Each candidate is aligned once, however many bands it shares.
     """
@@ -445,8 +482,7 @@ def recording_classes(recordings: DataFrame, id_col: str = "doc_id", audio_col:
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("codes").alias("codes"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     # Rows get a short number where they are written: 40 bands of each name it.
     nodes = written(nodes.withColumnRenamed("node", "name").withColumn("node", F.monotonically_increasing_id()), "recordings")
-    least = 1 - 1.6 * wrong_bits
-    found = bucket_pairs(anchored(nodes, bands, parts), least, large)
+    found = bucket_pairs(anchored(nodes, bands, parts), wrong_bits, large)
     pairs = written(found.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
     codes = nodes.select("node", "codes")
     named = connected_components(written(aligned(written(in_runs(pairs), "likely"), codes, wrong_bits).select("a", "b"), "alignments"))
@@ -454,7 +490,7 @@ def recording_classes(recordings: DataFrame, id_col: str = "doc_id", audio_col:
     size = codes.select("node", F.octet_length("codes").cast("long").alias("bytes"))
     rest = open_buckets(rest.join(size, "node"), named, 1)
     if not rest.isEmpty():
-        more = aligned(written(in_runs(written(open_pairs(rest, least), "open-pairs")), "likely"), codes, wrong_bits).select("a", "b")
+        more = aligned(written(in_runs(written(open_pairs(rest, wrong_bits), "open-pairs")), "likely"), codes, wrong_bits).select("a", "b")
         named = joined_parts(named, written(more, "more-alignments"))
     names = nodes.select("node", "name")
     named = named.join(names, "node").join(names.toDF("component", "of"), "component").select(F.col("name").alias("node"), F.col("of").alias("component"))

@@ -405,6 +405,22 @@ def test_links_among_many_unlike_recordings_of_one_bucket(spark, large):
     assert all(group[i] == group[j] for i, j in pairs if got[i] == got[j])
 
 
+def test_candidates_are_alike_in_all_integers_around_their_anchors(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    base, rows = draw(60), []
+    for _ in range(30):  # agree in every third integer only
+        rows.append(draw(60))
+        rows[-1][::3] = base[::3]
+    for _ in range(30):  # and copies with 5 % wrong bits
+        rows.append(draw(int(rng.integers(24, 80))))
+        rows.append(rows[-1] ^ ((rng.random((len(rows[-1]), 32)) < 0.05) @ (1 << np.arange(32, dtype=np.uint64))).astype(np.uint32))
+    nodes = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(rows)], "node long, codes binary")
+    found = audio.bucket_pairs(audio.anchored(nodes, 40, 11), 0.1).where("b IS NOT NULL").collect()
+    got = {tuple(sorted((r.a, r.b))) for r in found}
+    assert got == {(i, i + 1) for i in range(30, 90, 2)}
+
+
 def test_alignments_of_many_pairs_against_one_by_one():
     rng = np.random.default_rng(6)
     pairs = []
