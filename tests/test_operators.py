@@ -246,3 +246,19 @@ def test_plus_tags_of_an_address(spark):
     rows = [("a+1@x.com",), ("a+2@x.com",), ("a+02@x.com",), ("b+1@x.com",), ("b+9@x.com",), ("c+jan@x.com",), ("c+b@x.com",), ("d+k@x.com",), ("d+K@x.com",), ("d+k@x.com",), (None,)]
     got = {r.canonical: (r.n_tags, r.pattern) for r in batch.plus_tag_pattern(spark.createDataFrame(rows, "email string")).collect()}
     assert got == {"a@x.com": (3, "sequential"), "b@x.com": (2, "none"), "c@x.com": (2, "dated"), "d@x.com": (3, "keyword")}
+
+
+def test_cuts_of_a_split_are_searched_for_once(spark, monkeypatch):
+    df = spark.range(600).select("id", (F.col("id") % 100 / 100.0).alias("a"), F.rand(5).alias("b"), (F.col("id") % 100 > 60).cast("int").alias("label")).cache()
+    searches = []
+    monkeypatch.setattr(training, "kth_least", lambda *frames, search=training.kth_least: searches.append(1) or search(*frames))
+    monkeypatch.setattr(training, "guardrails", lambda *_: {"passed": False})
+    monkeypatch.setattr(training, "train_forest", lambda fit, *args, train=training.train_forest, **kw: plans.append(fit) or train(fit, *args, **kw))
+    plans: list = []
+    got = training.train_until_passed(df, ["a", "b"], trees=2, max_depth=2)
+    assert got["attempts"] == 3 and len(plans) == 3 and len(searches) == 1
+    assert not any("Window" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)
+    monkeypatch.undo()
+    kept, lazy = training.stratified_split(df, key="id", write_cuts=True), training.stratified_split(df, key="id")
+    assert all(x.columns == y.columns and sorted(x.collect()) == sorted(y.collect()) for x, y in zip(kept, lazy, strict=True))
+    assert kept[0].groupBy("label").count().orderBy("label").collect() == [(0, 293), (1, 187)]
