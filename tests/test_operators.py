@@ -262,3 +262,13 @@ def test_cuts_of_a_split_are_searched_for_once(spark, monkeypatch):
     kept, lazy = training.stratified_split(df, key="id", write_cuts=True), training.stratified_split(df, key="id")
     assert all(x.columns == y.columns and sorted(x.collect()) == sorted(y.collect()) for x, y in zip(kept, lazy, strict=True))
     assert kept[0].groupBy("label").count().orderBy("label").collect() == [(0, 293), (1, 187)]
+
+
+def test_forest_query_does_not_search_for_cuts_in_each_reader(spark, monkeypatch):
+    from mailwarden.plans import signup_queries
+
+    rows = lambda df: df.select("id", "label", *[(F.col("id") * (i + 3) % 97 / 97.0).alias(n) for i, n in enumerate(features.FEATURE_NAMES)])
+    monkeypatch.setattr(signup_queries, "_train_rows", rows)
+    got = signup_queries.QUERIES["t7_forest"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["id", "label", "score"] and got.count() == 200 and got.where("score BETWEEN 0 AND 1").count() == 200
