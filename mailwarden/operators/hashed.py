@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 BITS, SLICE_BITS = 60, 12
 
 
+def digits(seed: int | str, *keys: Column) -> Column:
+    """A draw as 15 hex digits, which sort as the draws do."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])), 1, 15)
+
+
 def draw(seed: int | str, *keys: Column) -> Column:
     """0 to 2^60 - 1: the first 15 hex digits of the MD5 of `seed|key|key...`; null keys count as empty."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(digits(seed, *keys), 16, 10).cast("long")
 
 
 def unit(seed: int | str, *keys: Column) -> Column:
@@ -21,6 +25,15 @@ def unit(seed: int | str, *keys: Column) -> Column:
     return draw(seed, *keys) / float(1 << BITS)
 
 
+def digits_from(share: float) -> str:
+    """The digits of the least draw whose unit is `share` (from 0 to below 1) or more: `digits >= digits_from(share)` says what `unit >= share` does."""
+    low, high = 0, 1 << BITS
+    while low < high:
+        at = (low + high) // 2
+        low, high = (low, at) if at / float(1 << BITS) >= share else (at + 1, high)
+    return f"{low:015x}"
+
+
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     out = F.lit(True)
     for n in names:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import io
-from .hashed import draw, kth_least, numbered, unit
+from .hashed import digits, digits_from, draw, kth_least, numbered, unit
 from .ranks import at_rank, interpolated, roc_area, running_counts
 from .scoring import apply_platt, forest_leaves, forest_score, validate_model
 
@@ -161,6 +161,14 @@ def bootstrap_weight(seed: int, tree: int, key: Column) -> Column:
     return out
 
 
+def _times(drawn: Column) -> Column:
+    """bootstrap_weight from a column that has the digits of its draw. Most rows are settled by the first comparisons."""
+    out = F.when(drawn < digits_from(POISSON[0]), 0)
+    for k, c in enumerate(POISSON[1:], 1):
+        out = out.when(drawn < digits_from(c), k)
+    return out.otherwise(len(POISSON))
+
+
 def side_by_side(spark: SparkSession, tasks: list[Callable[[], T]], at_once: int) -> list[T]:
     """Results of independent Spark jobs in the order of the tasks, so many of which run at a time."""
     with ThreadPool(max(1, min(at_once, len(tasks)))) as pool:
@@ -174,41 +182,43 @@ def train_bagged(df: DataFrame, features: list[str], key: str, label: str = "lab
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"), F.col(key).cast("string").alias("_key"), w.alias("_weight"))
-    data = _assembled(rows, features).select("features", "label", "_key", "_weight").persist()
+    drawn = rows.withColumns({f"_digits_{i}": digits(seed, F.lit(i), F.col("_key")) for i in range(trees)})
+    drawn = drawn.select(*rows.drop("_key").columns, *[_times(F.col(f"_digits_{i}")).cast("byte").alias(f"_times_{i}") for i in range(trees)])
+    data = io.written(drawn, "bags")  # a tree reads the features and its own draws
 
     def grown(i: int) -> dict:
-        sample = data.withColumn("weight", F.col("_weight") * bootstrap_weight(seed, i, F.col("_key"))).where("weight > 0")
+        sample = data.withColumn("weight", F.col("_weight") * F.col(f"_times_{i}")).where("weight > 0")
+        sample = _assembled(sample, features).select("features", "label", "weight")
         model = RandomForestClassifier(numTrees=1, bootstrap=False, maxDepth=max_depth, minInstancesPerNode=min_leaf, impurity="gini", featureSubsetStrategy="sqrt", weightCol="weight", seed=seed + i).fit(sample)
         return _tree_json(model.trees[0]._call_java("rootNode"), features)
 
-    try:
-        forest = side_by_side(df.sparkSession, [partial(grown, i) for i in range(trees)], at_once)
-    finally:
-        data.unpersist()
+    forest = side_by_side(df.sparkSession, [partial(grown, i) for i in range(trees)], at_once)
     return {"meta": {"version": "1", "features": features, "tree_count": trees, "config": {"max_depth": max_depth, "min_leaf": min_leaf, "n_trees": trees}, "bootstrap_seed": seed}, "forest": forest}
 
 
 def _judged(df: DataFrame, model: dict, key: str, label: str) -> DataFrame:
-    """key, label, and `votes`: the leaf value of each tree that didn't see the row, with the tree's number."""
-    seed, trees = model["meta"]["bootstrap_seed"], len(model["forest"])
-    weights = F.array(*[bootstrap_weight(seed, i, F.col(key)) for i in range(trees)])
-    scored = forest_leaves(df, model, "_leaves").withColumn("_weights", weights)
-    votes = F.transform("_leaves", lambda v, i: F.struct(i.alias("tree"), v.alias("value"), F.element_at("_weights", i + 1).alias("weight")))
-    return scored.select(key, F.col(label).cast("int").alias("label"), F.filter(votes, lambda v: v["weight"] == 0).alias("votes"))
+    """key, label, and `votes`: in the order of the trees the leaf value of each that didn't see the row, null for the others."""
+    seed, least = model["meta"]["bootstrap_seed"], digits_from(POISSON[0])
+    # Each tree has its own expression: in a function over the leaves Spark would draw for all trees anew at each leaf.
+    votes = [F.when(digits(seed, F.lit(i), F.col(key)) < least, F.col("_leaves")[i]) for i in range(len(model["forest"]))]
+    return forest_leaves(df, model, "_leaves").select(key, F.col(label).cast("int").alias("label"), F.array(*votes).alias("votes"))
 
 
 def out_of_bag(df: DataFrame, model: dict, key: str, label: str = "label") -> DataFrame:
     """Key, label, n_trees, score and correct (at 0.5) of each row, from the trees of train_bagged that didn't see it; null where all did."""
-    votes = _judged(df, model, key, label).withColumn("n_trees", F.size("votes"))
-    score = F.when(F.col("n_trees") > 0, F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["value"]) / F.col("n_trees"))
+    votes = _judged(df, model, key, label).withColumn("votes", F.array_compact("votes")).withColumn("n_trees", F.size("votes"))
+    score = F.when(F.col("n_trees") > 0, F.aggregate("votes", F.lit(0.0), lambda a, v: a + v) / F.col("n_trees"))
     return votes.select(key, "label", "n_trees", score.alias("score")).withColumn("correct", ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int"))
 
 
 def tree_accuracy(df: DataFrame, model: dict, key: str, label: str = "label") -> DataFrame:
     """Tree, rows and accuracy (at 0.5) of each tree of train_bagged over the rows it didn't see."""
-    votes = _judged(df, model, key, label).select("label", F.explode("votes").alias("v"))
-    right = ((F.col("v.value") >= 0.5).cast("int") == F.col("label")).cast("double")
-    return votes.groupBy(F.col("v.tree").alias("tree")).agg(F.count("*").alias("rows"), F.avg(right).alias("accuracy"))
+    sums = []
+    for i in range(len(model["forest"])):
+        vote = F.col("votes")[i]
+        right = F.when(vote.isNotNull(), ((vote >= 0.5).cast("int") == F.col("label")).cast("double"))
+        sums.append(F.struct(F.lit(i).alias("tree"), F.count(vote).alias("rows"), F.avg(right).alias("accuracy")))
+    return _judged(df, model, key, label).agg(F.array(*sums).alias("trees")).select(F.inline("trees")).where("rows > 0")
 
 
 def bootstrap_sizes(df: DataFrame, key: str, trees: int, seed: int = 42) -> DataFrame:

@@ -83,6 +83,30 @@ def test_out_of_bag_trees_saw_nothing_of_the_row(spark):
     assert [t["f"] for t in again["forest"]] == [t["f"] for t in model["forest"]]
 
 
+def test_draws_are_made_once_a_tree(spark):
+    leaf = lambda v: {"t": "l", "v": v}
+    trees = [{"t": "n", "f": "a", "v": 0.5, "l": leaf(0.1), "r": leaf(0.9)}, leaf(0.2), leaf(0.7), leaf(0.5)]
+    model = {"meta": {"version": "1", "features": ["a"], "tree_count": 4, "config": {"max_depth": 3}, "bootstrap_seed": 42}, "forest": trees}
+    df = spark.range(500).select("id", (F.col("id") % 100 / 100.0).alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("label"))
+    bags = df.select("id", "label", F.array(*[training.bootstrap_weight(42, i, F.col("id")) for i in range(4)]).alias("w")).collect()
+    judged, rated = training.out_of_bag(df, model, "id"), training.tree_accuracy(df, model, "id")
+    for got in (judged, rated):
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 4
+    assert {r.id: r.n_trees for r in judged.collect()} == {r.id: r.w.count(0) for r in bags}
+    assert {r.tree: r.rows for r in rated.collect()} == {i: sum(r.w[i] == 0 for r in bags) for i in range(4)}
+    known = [r for r in bags if r.w[1] == 0 and r.label is not None]
+    assert {r.tree: r.accuracy for r in rated.collect()}[1] == pytest.approx(sum(r.label == 0 for r in known) / len(known))
+    assert training.tree_accuracy(df.limit(0), model, "id").collect() == []
+
+
+def test_digits_say_what_units_say(spark):
+    rows = spark.range(4000).select(*[c for i in range(2) for c in (hashed.digits(42, F.lit(i), F.col("id")).alias(f"d{i}"), training.bootstrap_weight(42, i, F.col("id")).alias(f"w{i}"))])
+    assert rows.where((training._times(F.col("d0")) != F.col("w0")) | (training._times(F.col("d1")) != F.col("w1"))).count() == 0
+    for share in (0.0, 0.25, *training.POISSON):
+        at = int(hashed.digits_from(share), 16)
+        assert at / float(1 << 60) >= share and (at == 0 or (at - 1) / float(1 << 60) < share)
+
+
 def test_roc_area(spark):
     r = random.Random(2)
     rows = [(round(r.random(), 1) if i % 50 else None, r.randint(0, 1)) for i in range(800)] + [(0.5, None), (0.5, 7)]
