@@ -148,7 +148,7 @@ def _f13(df: DataFrame) -> DataFrame:
 
 
 def _train_rows(df: DataFrame) -> DataFrame:
-    return io.written(_features(df, skip_mx=True), "features")
+    return io.written(f.export_features_once(df, YEAR, ["id", "label"], skip_mx=True), "features")
 
 
 def _t7(spark: SparkSession, sf_dir: str) -> DataFrame:

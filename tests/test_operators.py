@@ -272,3 +272,16 @@ def test_forest_query_does_not_search_for_cuts_in_each_reader(spark, monkeypatch
     got = signup_queries.QUERIES["t7_forest"](spark, "/root/testdata/sf0.001")
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.columns == ["id", "label", "score"] and got.count() == 200 and got.where("score BETWEEN 0 AND 1").count() == 200
+
+
+def test_features_of_rows_that_agree_are_worked_out_once(spark, monkeypatch):
+    from mailwarden.plans import signup_queries
+
+    mails = ["anna.smith1990@gmail.com", "x9q8@mail.com", "", None, "Jo.Hn+3@Proton.me"]
+    rows = [(i, mails[i % 5], [None, "Anna Smith"][i % 2], ["US", None, "DE"][i % 3], "de-DE", i % 2 if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, email string, name string, ip_country string, accept_language string, label int").repartition(3)
+    once, plain = features.export_features_once(df, 2025, ["id", "label"], skip_mx=True), features.export_features(df, 2025, keep=["id", "label"], skip_mx=True)
+    assert once.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, plain.collect())) and once.count() == 180
+    monkeypatch.setattr(signup_queries.io, "written", lambda made, *_: made)
+    assert "collect_list" in signup_queries._train_rows(df)._jdf.queryExecution().optimizedPlan().toString()
